@@ -184,7 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     f = with_matches(d, benchmark, "text", max_bytes).select("doc_id", "_found.*")
     items = F.array_sort(F.array_distinct("items"))
-    return f.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), items.alias("items"), "spans")
+    return f.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), items.alias("items"), "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
