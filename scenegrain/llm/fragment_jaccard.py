@@ -6,7 +6,7 @@ into one segment for each fragment. Overlaps are counted for each fragment on it
 
 Shingles of a single node can't be shared: they only count in the sizes, and a node with too few shared shingles for
 the threshold is done. Candidates share a shingle within the prefix that the threshold leaves (any two sets above it
-do). In a first round each shingle's nodes are held against the smallest of them; in a second one, against all those
+do). In a first round each shingle's nodes are held against the one with the most common shingles; in a second one, against all those
 with which they aren't yet connected. So a group of near copies takes about one pair a member, and no link between two
 components is missed.
 """
@@ -38,7 +38,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text): words are runs without ASCII white space, A-Z lower-cased.
+    """(hash of each word, number of words of each text): words are runs without ASCII white space, A-Z lower-cased."""
+    parts = [some_hashes(part) for part in batches(texts, 500_000)]
+    return (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def some_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of a part of the texts: several numbers are held for each byte.
 
     The hash of a word is a polynomial of its bytes modulo 2^64, mixed; it is taken from sums over all bytes at once.
     """
@@ -109,8 +115,8 @@ def shingle_nodes(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bucket: int = 2_000_000) -> DataFrame:
-    """(node, n, keys): the shingles that at least two nodes have, of the nodes that have enough of them to reach the
-    threshold, as ascending keys of the global order.
+    """(node, n, common, keys): the shingles that at least two nodes have, of the nodes that have enough of them to reach the
+    threshold, as ascending keys of the global order; `common` is their mean frequency on a logarithmic scale.
 
     Shingles are dealt by hash into buckets of about `per_bucket`, in packed runs: a node's id, size and number of
     shingles, then the shingles. A bucket drops what a single node has and packs the rest by node.
@@ -121,7 +127,7 @@ def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bu
     def pack(rows):
         schema = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("shingles", pa.binary())])
         for batch in rows:
-            for texts in batches(batch.column(0).to_pylist(), 8_000_000):
+            for texts in batches(batch.column(0).to_pylist(), 5_000_000):
                 s, n = shingle_sets(texts, k)
                 node = signatures(s, n)
                 _, one = np.unique(node, return_index=True)  # equal sets of a batch count once
@@ -192,12 +198,14 @@ def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bu
         head = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, int)
         ends = np.concatenate((head[1:], [len(ids)])).astype(int)
         ok = (100 * (ends - head)) >= t * sizes[head]
+        total = np.concatenate(([0], np.cumsum(key >> U(57)))).astype(np.int64)
+        common = ((total[ends] - total[head]) / np.maximum(1, sizes[head])) if len(ids) else np.zeros(0)
         key = key.view(np.int64)
-        return pd.DataFrame({"node": ids[head[ok]], "n": sizes[head[ok]].astype(np.int64), "keys": [key[a:b] for a, b in zip(head[ok], ends[ok])]})
+        return pd.DataFrame({"node": ids[head[ok]], "n": sizes[head[ok]].astype(np.int64), "common": common[ok], "keys": [key[a:b] for a, b in zip(head[ok], ends[ok])]})
 
     packed = "bucket int, nodes binary, shingles binary"
     runs = docs.select("text").mapInArrow(pack, packed).groupBy("bucket").applyInPandas(count, packed)
-    return runs.groupBy("bucket").applyInPandas(gather, "node long, n long, keys array<long>")
+    return runs.groupBy("bucket").applyInPandas(gather, "node long, n long, common double, keys array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, pivots: list[int], t: int = 75) -> DataFrame:
@@ -225,13 +233,15 @@ def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, i
     # Prefixes: the singles stand first in the order, so `size(keys) - needed + 1` shared ones are left of it.
     least = F.ceil(F.col("n") * t / 100.0).cast("int")
     left = F.size("keys") - least + 1
-    prefix = save(sets.select("node", "n", F.size("keys").alias("m"), F.posexplode(F.slice("keys", 1, left)).alias("at", "key")), "prefix")
+    prefix = save(sets.select("node", "n", "common", F.size("keys").alias("m"), F.posexplode(F.slice("keys", 1, left)).alias("at", "key")), "prefix")
     a, b = (prefix.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "at")), "key") for x in "ab")
     may = lambda: (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t) & (F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b")) >= needed(F.col("n_a"), F.col("n_b"), t))
     pair = [F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"]
-    # Round 1: against the smallest node of each shingle (of some length, so that lengths mostly agree).
-    least_node = prefix.groupBy("key").agg(F.min(F.struct("node", "n", "m", "at")).alias("low"))
-    stars = least_node.select("key", *(F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "m", "at"))).join(b, "key").where((F.col("node_a") < F.col("node_b")) & may()).select(*pair).distinct()
+    # Round 1: against the node of each shingle whose shingles are the most common, which of near copies is the one that
+    # has changed least.
+    centre = prefix.groupBy("key").agg(F.max(F.struct("common", "node", "n", "m", "at")).alias("low"))
+    stars = centre.select("key", *(F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "m", "at"))).join(b, "key").where((F.col("node_a") != F.col("node_b")) & may())
+    stars = stars.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.when(F.col("node_a") < F.col("node_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("node_a") < F.col("node_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
     stars = save(stars, "stars")
     first = save(verified(stars, sets, pivots, t), "links")
     comps = connected_components(first, "a", "b")
