@@ -58,3 +58,74 @@ def dense_ids(df: DataFrame, key: Column | str, out: str = "dense_id", void: int
     starts = sizes.select("_p", (F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_s"))
     ranks = dealt.join(F.broadcast(starts), "_p").select("_k", (F.col("_i") + F.col("_s")).alias("_r"))
     return df.join(ranks, key == ranks["_k"], "left").withColumn(out, F.when(key == void, F.lit(void).cast("long")).otherwise(F.col("_r"))).drop("_k", "_r") if void is not None else df.join(ranks, key == ranks["_k"], "left").withColumnRenamed("_r", out).drop("_k")
+
+
+def radius_pairs(points: DataFrame, r: float, key: str = "point_id") -> DataFrame:
+    """src < dst and their distance d < r: both sides meet by grid cell, one of them in the 27 cells around it."""
+    import math
+
+    cell = [F.floor(F.col(c) / F.lit(r)).alias(f"c{c}") for c in "xyz"]
+    a = points.select(F.col(key).alias("src"), *(F.col(c).alias(f"{c}a") for c in "xyz"), *cell)
+    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    for c in "xyz":
+        a = a.withColumn("_o", F.explode(near)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_o")).drop("_o")
+    b = points.select(F.col(key).alias("dst"), *(F.col(c).alias(f"{c}b") for c in "xyz"), *cell)
+    d = F.sqrt(sum(((F.col(f"{c}a") - F.col(f"{c}b")) * (F.col(f"{c}a") - F.col(f"{c}b")) for c in "yz"), (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))))
+    assert math.isfinite(r) and r > 0
+    return a.join(b, ["cx", "cy", "cz"]).where("src < dst").withColumn("d", d).where(F.col("d") < r).select("src", "dst", "d")
+
+
+def group_distances(pairs: DataFrame, points: DataFrame, group: str, key: str = "point_id") -> DataFrame:
+    """a < b, d: the least distance of two points of different groups, from pairs of points."""
+    g = points.select(F.col(key).alias("k"), F.col(group).alias("g"))
+    d = pairs.join(g.select(F.col("k").alias("src"), F.col("g").alias("ga")), "src").join(g.select(F.col("k").alias("dst"), F.col("g").alias("gb")), "dst").where("ga <> gb")
+    return d.groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.min("d").alias("d"))
+
+
+def nearest_neighbours(points: DataFrame, k: int, r: float, key: str = "point_id") -> DataFrame:
+    """src, dst, d, rn: the k nearest points of each point, ties by id. Cells of side r; a point whose k-th neighbour
+    isn't within r looks again with twice the side, so the result is exact; those left at last are few."""
+    from pyspark.sql import Window
+
+    from scenegrain.sources.tables import save
+
+    n = points.count()
+    want, done, left = min(k, max(0, n - 1)), None, points.select(F.col(key).alias("src"))
+    while want:
+        p = radius_pairs(points, r, key)
+        both = p.union(p.select(F.col("dst"), F.col("src"), F.col("d"))).join(left, "src", "left_semi")
+        top = both.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rn") <= want)
+        found = save(top.withColumn("_n", F.count("*").over(Window.partitionBy("src"))), "knn")
+        full = found.where(F.col("_n") == want).drop("_n")
+        done = full if done is None else done.union(full)
+        left = save(left.join(full.select("src").distinct(), "src", "left_anti"), "left")
+        if left.isEmpty():
+            return done
+        r *= 2
+    return points.select(F.col(key).alias("src"), F.col(key).alias("dst"), F.lit(0.0).alias("d"), F.lit(1).alias("rn")).limit(0)
+
+
+def merge_by_threshold(nodes: DataFrame, edges: DataFrame, t: float, agglomerative: bool = False) -> DataFrame:
+    """id, cluster of every node: components of the edges above the threshold (and, agglomerative, of a distance 1 - w
+    of at most t: single linkage stops there); nodes without an edge are their own cluster."""
+    e = threshold_edges(edges, t).where("w > 1e-3")
+    e = e.where(F.lit(1.0) - F.col("w") <= t) if agglomerative else e
+    c = connected_components(e)
+    return nodes.select("id").join(c, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
+def single_linkage(nodes: DataFrame, sims: DataFrame, cut: float = 0.5) -> DataFrame:
+    """Single-linkage clusters at a distance of at most `cut`: the components of edges with 1 - w <= cut."""
+    c = connected_components(sims.where(F.lit(1.0) - F.col("w") <= F.lit(cut)))
+    return nodes.select("id").join(c, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
+def mask_overlap(pairs: DataFrame, contrib: DataFrame, n_mask: int = 8) -> DataFrame:
+    """a, b, overlap: shared over all masks of two segments, of the first n_mask masks of either."""
+    a = pairs.join(contrib.select(F.col("spt_id").alias("a"), "mask_id"), "a").select("a", "b", "mask_id", F.lit(1).alias("l"), F.lit(0).alias("r"))
+    b = pairs.join(contrib.select(F.col("spt_id").alias("b"), "mask_id"), "b").select("a", "b", "mask_id", F.lit(0).alias("l"), F.lit(1).alias("r"))
+    from pyspark.sql import Window
+
+    m = a.union(b).groupBy("a", "b", "mask_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    m = m.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy("mask_id"))).where(F.col("rn") <= n_mask)
+    return m.groupBy("a", "b").agg((F.sum(F.col("l") * F.col("r")) / (F.count("*") + 1e-6)).alias("overlap"))

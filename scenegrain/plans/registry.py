@@ -1,4 +1,665 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and the SQL that each is held against.
+
+Vectors of `embeddings` stand for points (the first three components), their label for segments, literal cameras and
+rectangles for frames and masks, `lineitem` for a large cloud, `nation`, `part` and `documents` for labels and texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scenegrain.functions import scalar as s
+from scenegrain.operators import cluster as c
+from scenegrain.operators import geometry as g
+from scenegrain.operators import graph as gr
+from scenegrain.operators import segments as sg
+from scenegrain.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Cameras: frame_id, camera-to-world rotation by row, position.
+FRAMES = [(0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, -2.0]), (1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.3, 0.0, -1.5]), (2, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, -0.2, -1.0]), (3, [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [0.1, 0.1, -2.0])]
+#: Masks: frame_id, mask_id, x0, y0, x1, y1, score.
+RECTS = [(0, 1, 200, 150, 330, 260, 0.9), (0, 2, 300, 200, 420, 330, 0.7), (1, 3, 0, 0, 260, 480, 0.8), (1, 4, 200, 180, 400, 300, 0.6), (2, 5, 320, 100, 640, 480, 0.5), (3, 6, 250, 200, 340, 280, 0.95), (3, 7, 255, 205, 259, 212, 0.4)]
+FRAMES_SQL = "f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {list(r)}::DOUBLE[], {list(t)}::DOUBLE[])" for i, r, t in FRAMES) + f") f(frame_id, rot, t)), cam AS (SELECT frame_id, point_id, spt_id, feat, {', '.join(f'rot[{1 + k}]*(x-t[1]) + rot[{4 + k}]*(y-t[2]) + rot[{7 + k}]*(z-t[3]) AS p{a}' for k, a in enumerate('xyz'))} FROM p, f)"
+P_SQL = "p AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, CAST(label AS BIGINT) AS label, CAST(label AS BIGINT) * 10 + vec_id % 10 AS spt_id, embedding AS feat FROM embeddings)"
+UV = f"proj AS (SELECT frame_id, point_id, spt_id, feat, CAST(round_even(px*{s.FX}::DOUBLE/(CASE WHEN abs(pz)<1e-6 THEN 1e-6 ELSE pz END)+{s.CX}::DOUBLE, 0) AS BIGINT) AS u, CAST(round_even(py*{s.FY}::DOUBLE/(CASE WHEN abs(pz)<1e-6 THEN 1e-6 ELSE pz END)+{s.CY}::DOUBLE, 0) AS BIGINT) AS v, pz FROM cam), vis AS (SELECT * FROM proj WHERE u>=0 AND u<640 AND v>=0 AND v<480 AND pz>0), dep AS (SELECT frame_id, v, u, min(pz) AS d FROM vis GROUP BY ALL)"
+RECT_SQL = "rect AS (SELECT * FROM (VALUES " + ", ".join(map(str, RECTS)) + ") r(frame_id, mask_id, x0, y0, x1, y1, score)), hits AS (SELECT vis.frame_id, mask_id, point_id, spt_id, feat, score FROM vis JOIN rect ON vis.frame_id=rect.frame_id AND u>=x0 AND u<x1 AND v>=y0 AND v<y1)"
+VIEW = f"WITH {P_SQL}, {FRAMES_SQL}, {UV}, {RECT_SQL} "
+COV = "n AS (SELECT spt_id, count(*) AS n FROM p GROUP BY 1), cov AS (SELECT spt_id, mask_id, cnt, cnt/(n+1e-6) AS frac FROM (SELECT spt_id, mask_id, count(*) AS cnt FROM hits GROUP BY 1,2) JOIN n USING (spt_id))"
+EDGE = "e AS (SELECT a.point_id AS src, b.point_id AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM p a JOIN p b ON a.point_id<b.point_id), near AS (SELECT *, exp(-d) AS w FROM e WHERE d < 0.05)"
+REACH = "both_ AS (SELECT src, dst FROM {e} UNION ALL SELECT dst, src FROM {e}), reach(id, c) AS (SELECT point_id, point_id FROM p UNION SELECT b.dst, r.c FROM reach r JOIN both_ b ON b.src=r.id WHERE r.c < b.dst), comp AS (SELECT id, min(c) AS cluster FROM reach GROUP BY 1)"
+
+
+def q(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    lab = F.col("label").cast("long")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), *(e[i].cast("double").alias(a) for i, a in enumerate("xyz")), lab.alias("label"), (lab * 10 + F.col("vec_id") % 10).alias("spt_id"), e.alias("feat"))
+
+
+def frames(spark: SparkSession) -> DataFrame:
+    f = spark.createDataFrame(FRAMES, "frame_id int, rot array<double>, t array<double>")
+    return f.select("*", F.lit(s.FX).alias("fx"), F.lit(s.FY).alias("fy"), F.lit(s.CX).alias("cx"), F.lit(s.CY).alias("cy"))
+
+
+def rects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RECTS, "frame_id int, mask_id int, x0 int, y0 int, x1 int, y1 int, score double")
+
+
+def visible(spark: SparkSession, d: str) -> DataFrame:
+    return g.in_front(g.in_image(g.project(points(spark, d), frames(spark)), s.WIDTH, s.HEIGHT))
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    return g.point_masks(visible(spark, d), rects(spark))
+
+
+def cloud(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
+
+
+def near_edges(spark: SparkSession, d: str, r: float = 0.05) -> DataFrame:
+    return gr.radius_pairs(points(spark, d), r).withColumn("w", F.exp(-F.col("d")))
+
+
+r6 = lambda col: F.round(col, 6)
+
+# ---- scalar arithmetic
+
+
+@q("q_adjust_intrinsic", "SELECT frame_id, round(577.870605*floor(968*640/480.0)/1296, 6) AS fx, round(577.870605*968.0/968, 6) AS fy, round(319.5*1295.0/1295, 6) AS cx, round(239.5*967.0/967, 6) AS cy FROM (SELECT DISTINCT label AS frame_id FROM embeddings) WHERE false UNION ALL SELECT vec_id, round(577.870605*floor(968*640/480.0)/640, 6), round(577.870605*968.0/480, 6), round(319.5*1295.0/639, 6), round(239.5*967.0/479, 6) FROM embeddings")
+def q_adjust_intrinsic(spark, d):
+    k = s.adjust_intrinsic(F.lit(s.FX), F.lit(s.FY), F.lit(s.CX), F.lit(s.CY), (640, 480), (1296, 968))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), *(r6(v).alias(n) for v, n in zip(k, ("fx", "fy", "cx", "cy"))))
+
+
+@q("q_project", VIEW + "SELECT frame_id, point_id, u, v, round(pz,6) AS pz FROM proj")
+def q_project(spark, d):
+    return g.project(points(spark, d), frames(spark)).withColumn("pz", r6("pz"))
+
+
+@q("q_normalize_color", "SELECT p_partkey, round((p_size % 256)/127.5 - 1, 6) AS c FROM part")
+def q_normalize_color(spark, d):
+    return table(spark, d, "part").select("p_partkey", r6(s.normalize_color(F.col("p_size") % 256)).alias("c"))
+
+
+@q("q_scale_mapping", VIEW + "SELECT frame_id, point_id, round(u*(320/640.0),6) AS x, round(v*(240/480.0),6) AS y FROM vis")
+def q_scale_mapping(spark, d):
+    x, y = s.scale_mapping(F.col("u"), F.col("v"), 640, 480, 320, 240)
+    return visible(spark, d).select("frame_id", "point_id", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@q("q_l2_normalize", "WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x))) AS n FROM embeddings) SELECT vec_id, round(embedding[1]::DOUBLE/n,6) AS first, round(embedding[64]::DOUBLE/n,6) AS last FROM n")
+def q_l2_normalize(spark, d):
+    v = s.l2_normalize(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", r6(F.col("v")[0]).alias("first"), r6(F.col("v")[63]).alias("last"))
+
+
+CENTRE = "cm AS (SELECT label, pos, sum(v)/(count(*)+1e-6) AS m FROM (SELECT CAST(label AS BIGINT) AS label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1)-1 AS pos FROM embeddings) GROUP BY 1,2), cv AS (SELECT label, pos, m/sqrt(sum(m*m) OVER (PARTITION BY label)) AS val FROM cm), voc AS (SELECT label AS class_id, list(val ORDER BY pos) AS t FROM cv GROUP BY 1)"
+
+
+def vocabulary(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("class_id"), "embedding")
+    return sg.as_arrays(sg.mean_vectors(e, "class_id", "embedding"), "class_id", "t")
+
+
+def class_scores(spark, d):
+    """Every point against the classes, whose number is checked before they are broadcast."""
+    v = vocabulary(spark, d)
+    v = F.broadcast(v) if v.limit(10_001).count() <= 10_000 else v
+    return points(spark, d).select("point_id", "spt_id", "feat").crossJoin(v).select("point_id", "spt_id", "class_id", s.dot(F.col("feat"), F.col("t")).alias("logit"))
+
+
+CLS = f"WITH {P_SQL}, {CENTRE}, lg AS (SELECT point_id, spt_id, class_id, list_dot_product(feat::DOUBLE[], t) AS logit FROM p, voc), sm AS (SELECT *, exp(logit-max(logit) OVER w)/sum(exp(logit)) OVER w*exp(max(logit) OVER w) AS p FROM lg WINDOW w AS (PARTITION BY point_id)) "
+
+
+@q("q_cosine", CLS + "SELECT point_id, class_id, round(logit,6) AS cos FROM lg")
+def q_cosine(spark, d):
+    return class_scores(spark, d).select("point_id", "class_id", r6("logit").alias("cos"))
+
+
+@q("q_remap_similarity", CLS + "SELECT point_id, class_id, round(CASE WHEN greatest(0.0,least(1.0,(logit+1)/2))<0.8 THEN 1.0 ELSE greatest(0.0,least(1.0,(logit+1)/2)) END,6) AS sim FROM lg")
+def q_remap_similarity(spark, d):
+    return class_scores(spark, d).select("point_id", "class_id", r6(s.remap_similarity(F.col("logit"), 0.8)).alias("sim"))
+
+
+@q("q_softmax", CLS + "SELECT point_id, class_id, round(p,6) AS p FROM sm")
+def q_softmax(spark, d):
+    return sg.softmax(class_scores(spark, d), "point_id", "logit").select("point_id", "class_id", r6("p").alias("p"))
+
+
+@q("q_classify", CLS + "SELECT point_id, arg_max(class_id, (logit, -class_id)) AS class_id FROM lg GROUP BY 1")
+def q_classify(spark, d):
+    return sg.argmax(class_scores(spark, d), "point_id", "class_id", "logit").select("point_id", "class_id")
+
+
+@q("q_argmax", CLS + "SELECT point_id, arg_max(class_id, (p, -class_id)) AS class_id, round(max(p),6) AS p FROM sm GROUP BY 1")
+def q_argmax(spark, d):
+    return sg.argmax(sg.softmax(class_scores(spark, d), "point_id", "logit"), "point_id", "class_id", "p").withColumn("p", r6("p"))
+
+
+@q("q_instance_scores", CLS + "SELECT spt_id, class_id, round(avg(p),6) AS score FROM sm GROUP BY 1,2")
+def q_instance_scores(spark, d):
+    return sg.softmax(class_scores(spark, d), "point_id", "logit").groupBy("spt_id", "class_id").agg(r6(F.avg("p")).alias("score"))
+
+
+@q("q_label_revise", CLS + "SELECT p.point_id, CASE WHEN b.p > 0.105 THEN b.class_id ELSE p.label END AS label FROM p JOIN (SELECT point_id, arg_max(class_id,(p,-class_id)) AS class_id, max(p) AS p FROM sm GROUP BY 1) b USING (point_id)")
+def q_label_revise(spark, d):
+    pr = sg.softmax(class_scores(spark, d), "point_id", "logit").select("point_id", F.col("class_id").alias("cls"), "p")
+    return sg.revise_labels(points(spark, d).select("point_id", "label"), pr, "point_id", 0.105)
+
+
+@q("q_morton", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(list_sum(list_transform(range(0,10), lambda i: (((l_orderkey>>i)&1)<<(3*i)) + (((l_partkey>>i)&1)<<(3*i+1)) + (((l_suppkey>>i)&1)<<(3*i+2)))) AS BIGINT) AS code FROM lineitem")
+def q_morton(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s.morton(F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")).alias("code"))
+
+
+@q("q_fnv")
+def q_fnv(spark, d):
+    return table(spark, d, "part").select("p_partkey", s.fnv_key([F.col("p_partkey"), F.col("p_size")]).cast("string").alias("key"))
+
+
+@q("q_ravel_key", "WITH b AS (SELECT min(l_linenumber) AS a0, min(l_suppkey) AS b0, max(l_suppkey) AS b1, min(l_partkey) AS c0, max(l_partkey) AS c1 FROM lineitem) SELECT CAST(l_linenumber AS BIGINT) AS vx, l_suppkey AS vy, l_partkey AS vz, ((l_linenumber-a0)*(b1-b0+1)+(l_suppkey-b0))*(c1-c0+1)+(l_partkey-c0) AS key FROM lineitem, b")
+def q_ravel_key(spark, d):
+    return g.ravel_key(table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("vx"), F.col("l_suppkey").alias("vy"), F.col("l_partkey").alias("vz")))
+
+
+@q("q_boxes", "SELECT vec_id, [label, label+1, label+10, label+20] AS box FROM embeddings")
+def q_boxes(spark, d):
+    lab = F.col("label")
+    det = F.struct(F.struct(lab.alias("xmin"), (lab + 1).alias("ymin"), (lab + 10).alias("xmax"), (lab + 20).alias("ymax")).alias("box"))
+    return table(spark, d, "embeddings").select("vec_id", det.alias("r")).select("vec_id", F.array(*(F.col(f"r.box.{k}") for k in ("xmin", "ymin", "xmax", "ymax"))).alias("box"))
+
+
+# ---- projection and visibility
+
+
+@q("q_visible", VIEW + "SELECT frame_id, point_id FROM vis JOIN dep USING (frame_id, v, u) WHERE abs(d-pz) <= 0.1")
+def q_visible(spark, d):
+    v = visible(spark, d)
+    return g.unoccluded(v, g.render_depth(v)).select("frame_id", "point_id")
+
+
+@q("q_visible_rel", VIEW + "SELECT frame_id, point_id FROM vis JOIN dep USING (frame_id, v, u) WHERE abs(d-pz) <= 0.1*d")
+def q_visible_rel(spark, d):
+    v = visible(spark, d)
+    return g.unoccluded(v, g.render_depth(v), relative=True).select("frame_id", "point_id")
+
+
+@q("q_zbuffer", VIEW + "SELECT frame_id, point_id FROM vis JOIN dep USING (frame_id, v, u) WHERE pz-d <= 0.2")
+def q_zbuffer(spark, d):
+    return g.z_buffer(visible(spark, d)).select("frame_id", "point_id")
+
+
+@q("q_visibility_mask", VIEW + "SELECT frame_id, point_id FROM vis JOIN dep USING (frame_id, v, u) WHERE d<>0 AND abs(pz-d) < 0.005")
+def q_visibility_mask(spark, d):
+    v = visible(spark, d)
+    return g.visibility_mask(v, g.render_depth(v)).select("frame_id", "point_id")
+
+
+@q("q_point_masks", VIEW + "SELECT frame_id, mask_id, point_id FROM hits")
+def q_point_masks(spark, d):
+    return hits(spark, d)
+
+
+@q("q_visibility", VIEW + "SELECT point_id, count(DISTINCT frame_id) AS n_frames FROM vis GROUP BY 1")
+def q_visibility(spark, d):
+    return visible(spark, d).groupBy("point_id").agg(F.countDistinct("frame_id").alias("n_frames"))
+
+
+@q("q_resize_mask", VIEW + ", px AS (SELECT frame_id, mask_id, unnest(range(0,240)) AS y FROM rect), pxx AS (SELECT frame_id, mask_id, y, unnest(range(0,320)) AS x FROM px) SELECT r.frame_id, r.mask_id, count(*) AS area, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, (SELECT count(*) FROM embeddings) AS n_points FROM pxx JOIN rect r USING (mask_id) WHERE x*2>=x0 AND x*2<x1 AND y*2>=y0 AND y*2<y1 GROUP BY 1,2")
+def q_resize_mask(spark, d):
+    p = g.resize_pixels(g.mask_pixels(rects(spark)), (640, 480), (320, 240))
+    n = points(spark, d).agg(F.count("*").alias("n_points"))
+    return p.groupBy("frame_id", "mask_id").agg(F.count("*").alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy")).crossJoin(F.broadcast(n))
+
+
+@q("q_mask_bbox", VIEW + "SELECT frame_id, mask_id, min(u) AS x0, min(v) AS y0, max(u)+1 AS x1, max(v)+1 AS y1, count(*) AS area FROM (SELECT DISTINCT h.frame_id, h.mask_id, u, v FROM hits h JOIN vis USING (frame_id, point_id)) GROUP BY 1,2 HAVING count(*) >= 32")
+def q_mask_bbox(spark, d):
+    px = hits(spark, d).join(visible(spark, d), ["frame_id", "point_id"]).select("frame_id", "mask_id", F.col("u").alias("x"), F.col("v").alias("y")).distinct()
+    return g.mask_boxes(px)
+
+
+# ---- segments
+
+
+@q("q_valid_groups", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 590")
+def q_valid_groups(spark, d):
+    return sg.valid_groups(table(spark, d, "lineitem"), "l_suppkey", 590)
+
+
+@q("q_group_counts", f"WITH {P_SQL} SELECT spt_id, count(*) AS n FROM p GROUP BY 1")
+def q_group_counts(spark, d):
+    return points(spark, d).groupBy("spt_id").agg(F.count("*").alias("n"))
+
+
+@q("q_mask_coverage", VIEW + f", {COV} SELECT spt_id, mask_id, cnt FROM cov")
+def q_mask_coverage(spark, d):
+    return sg.mask_coverage(points(spark, d), hits(spark, d)).select("spt_id", "mask_id", "cnt")
+
+
+@q("q_coverage_fraction", VIEW + f", {COV} SELECT spt_id, mask_id, round(frac,6) AS frac FROM cov WHERE frac >= 0.3")
+def q_coverage_fraction(spark, d):
+    return sg.mask_coverage(points(spark, d), hits(spark, d)).where("frac >= 0.3").select("spt_id", "mask_id", r6("frac").alias("frac"))
+
+
+TOP = ", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY frac DESC, spt_id) AS rn FROM cov) WHERE rn <= 10)"
+
+
+@q("q_topk_per_mask", VIEW + f", {COV}{TOP} SELECT mask_id, spt_id, round(frac,6) AS frac FROM top")
+def q_topk_per_mask(spark, d):
+    return sg.top_per_mask(sg.mask_coverage(points(spark, d), hits(spark, d))).select("mask_id", "spt_id", r6("frac").alias("frac"))
+
+
+@q("q_spt_confidence", VIEW + f", {COV}{TOP} SELECT spt_id, round(greatest(0, sum(frac*score)/(sum(frac)+1e-6)),6) AS conf FROM top JOIN rect USING (mask_id) GROUP BY 1")
+def q_spt_confidence(spark, d):
+    t = sg.top_per_mask(sg.mask_coverage(points(spark, d), hits(spark, d)))
+    return sg.segment_confidence(t, rects(spark).select("mask_id", "score")).withColumn("conf", r6("conf"))
+
+
+@q("q_mean_feature", f"WITH {CENTRE} SELECT label, pos, round(val,6) AS val FROM cv")
+def q_mean_feature(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "embedding")
+    return sg.mean_vectors(e, "label", "embedding").select("label", F.col("pos").cast("long").alias("pos"), r6("val").alias("val"))
+
+
+@q("q_point_features", VIEW + ", mf AS (SELECT frame_id, mask_id, score, unnest([score, score*x0, score*y1]) AS x, generate_subscripts([1,2,3],1)-1 AS pos FROM rect), seen AS (SELECT point_id, count(DISTINCT frame_id) AS n FROM vis GROUP BY 1), m AS (SELECT point_id, pos, sum(x)/max(n) AS m FROM hits JOIN mf USING (frame_id, mask_id) JOIN seen USING (point_id) GROUP BY 1,2) SELECT point_id, pos, round(m/sqrt(sum(m*m) OVER (PARTITION BY point_id)),6) AS val FROM m")
+def q_point_features(spark, d):
+    m = rects(spark).select("frame_id", "mask_id", F.array(F.col("score"), F.col("score") * F.col("x0"), F.col("score") * F.col("y1")).alias("feat"))
+    return sg.point_features(hits(spark, d), visible(spark, d), m).select("point_id", F.col("pos").cast("long").alias("pos"), r6("val").alias("val"))
+
+
+@q("q_relation_matrix", "WITH m AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS p FROM lineitem), n AS (SELECT g, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.g AS i, b.g AS j, count(*) AS inter FROM m a JOIN m b USING (p) GROUP BY 1,2) SELECT i, j, inter, round(inter/(a.n+b.n-inter+1e-6),6) AS iou, round(inter/(b.n+1e-6),6) AS precision, round(inter/(a.n+1e-6),6) AS recall FROM x JOIN n a ON a.g=i JOIN n b ON b.g=j")
+def q_relation_matrix(spark, d):
+    m = sg.relation_matrix(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+    return m.select("i", "j", "inter", *(r6(k).alias(k) for k in ("iou", "precision", "recall")))
+
+
+@q("q_resolve_3d", VIEW + "SELECT point_id, mask_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY score DESC, mask_id) AS r FROM hits) WHERE r=1")
+def q_resolve_3d(spark, d):
+    return sg.resolve_masks(hits(spark, d), rects(spark).select("mask_id", "score"), "point_id").select("point_id", "mask_id")
+
+
+@q("q_resolve_2d", VIEW + "SELECT point_id, mask_id FROM (SELECT *, rank() OVER (PARTITION BY point_id ORDER BY score DESC) AS r FROM hits) WHERE r=1 OR score > 0.65")
+def q_resolve_2d(spark, d):
+    return sg.resolve_masks(hits(spark, d), rects(spark).select("mask_id", "score"), "point_id", 0.65).select("point_id", "mask_id")
+
+
+@q("q_any_channel", "SELECT doc_id, quality + toxic > 0 AS on_ FROM labels")
+def q_any_channel(spark, d):
+    return table(spark, d, "labels").select("doc_id", F.explode(F.array("quality", "toxic")).alias("c")).groupBy("doc_id").agg(F.bool_or(F.col("c") > 0).alias("on_"))
+
+
+@q("q_gmm_params", f"WITH {P_SQL} SELECT label, round(count(*)/(SELECT count(*) FROM p),6) AS pi, round(sum(x)/(count(*)+1e-5),6) AS mu_x, round(sum(y)/(count(*)+1e-5),6) AS mu_y, round(sum(z)/(count(*)+1e-5),6) AS mu_z FROM p GROUP BY 1")
+def q_gmm_params(spark, d):
+    m = sg.gmm(points(spark, d).withColumn("one", F.lit(1.0)), "label", "one", ["x", "y", "z"])
+    return m.select("label", *(r6(k).alias(k) for k in ("pi", "mu_x", "mu_y", "mu_z")))
+
+
+@q("q_union_masks", VIEW + "SELECT frame_id, mask_id, score FROM rect WHERE frame_id < 2 UNION ALL SELECT frame_id, mask_id, score FROM rect WHERE frame_id >= 2 AND (SELECT count(*) FROM embeddings) > 0")
+def q_union_masks(spark, d):
+    m = rects(spark).select("frame_id", "mask_id", "score")
+    some = points(spark, d).select(F.lit(1).alias("one")).distinct()
+    return m.where("frame_id < 2").unionByName(m.where("frame_id >= 2").crossJoin(F.broadcast(some)).drop("one"))
+
+
+# ---- voxels
+
+
+@q("q_voxelize", "SELECT CAST(floor(l_quantity/5) AS BIGINT) AS vx, CAST(floor(l_discount/0.02) AS BIGINT) AS vy, CAST(floor(l_tax/0.02) AS BIGINT) AS vz, count(*) AS n FROM lineitem GROUP BY 1,2,3")
+def q_voxelize(spark, d):
+    return g.voxelize(cloud(spark, d), [5, 0.02, 0.02], ["l_orderkey"]).select("vx", "vy", "vz", "n")
+
+
+VOX = f"WITH {P_SQL}, vx AS (SELECT *, CAST(floor(x/0.1) AS BIGINT) AS vx, CAST(floor(y/0.1) AS BIGINT) AS vy, CAST(floor(z/0.1) AS BIGINT) AS vz FROM p) "
+
+
+@q("q_voxel_first", VOX + "SELECT vx, vy, vz, min(point_id) AS point_id FROM vx GROUP BY 1,2,3")
+def q_voxel_first(spark, d):
+    return g.voxelize(points(spark, d), [0.1] * 3, ["point_id"]).select("vx", "vy", "vz", "point_id")
+
+
+@q("q_voxel_collision", VOX + "SELECT vx, vy, vz, CASE WHEN count(*) > 1 THEN 255 ELSE min(label) END AS voxel_label FROM vx GROUP BY 1,2,3")
+def q_voxel_collision(spark, d):
+    return g.voxelize(points(spark, d), [0.1] * 3, ["point_id"], "label").select("vx", "vy", "vz", F.col("voxel_label").cast("long").alias("voxel_label"))
+
+
+@q("q_voxel_inverse", VOX + "SELECT point_id, min(point_id) OVER (PARTITION BY vx, vy, vz) AS first_id FROM vx")
+def q_voxel_inverse(spark, d):
+    return g.voxel_inverse(points(spark, d), [0.1] * 3, ["point_id"]).select("point_id", F.col("first.point_id").alias("first_id"))
+
+
+@q("q_clip_box", f"WITH {P_SQL}, m AS (SELECT (min(x)+max(x))/2 AS mx, (min(y)+max(y))/2 AS my, (min(z)+max(z))/2 AS mz FROM p) SELECT point_id FROM p, m WHERE x>=mx-0.15 AND x<mx+0.15 AND y>=my-0.15 AND y<my+0.15 AND z>=mz-0.15 AND z<mz+0.15")
+def q_clip_box(spark, d):
+    return g.clip_box(points(spark, d), 0.15).select("point_id")
+
+
+MESH = f"WITH {P_SQL}, fc AS (SELECT a.point_id AS face_id, a.point_id AS v0, b.point_id AS v1, c.point_id AS v2, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS a, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS b, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS c FROM p a JOIN p b ON b.point_id=a.point_id+1 JOIN p c ON c.point_id=a.point_id+2), fn AS (SELECT *, sqrt(a*a+b*b+c*c)+1e-8 AS len FROM fc) "
+
+
+def mesh(spark, d):
+    n = points(spark, d)
+    ids = n.select(F.col("point_id").alias("face_id"), F.col("point_id").alias("v0"), (F.col("point_id") + 1).alias("v1"), (F.col("point_id") + 2).alias("v2"))
+    return ids, n
+
+
+@q("q_face_normal", MESH + "SELECT face_id, round(a/len,6) AS nx, round(b/len,6) AS ny, round(c/len,6) AS nz, round(len/2,6) AS area FROM fn")
+def q_face_normal(spark, d):
+    return g.face_normals(*mesh(spark, d)).select("face_id", *(r6(k).alias(k) for k in ("nx", "ny", "nz", "area")))
+
+
+@q("q_vertex_normal", MESH + ", s AS (SELECT point_id, sum(a/2) AS nx, sum(b/2) AS ny, sum(c/2) AS nz FROM (SELECT unnest([v0,v1,v2]) AS point_id, a, b, c FROM fn) GROUP BY 1) SELECT point_id, round(nx/(sqrt(nx*nx+ny*ny+nz*nz)+1e-8),5) AS nx, round(ny/(sqrt(nx*nx+ny*ny+nz*nz)+1e-8),5) AS ny, round(nz/(sqrt(nx*nx+ny*ny+nz*nz)+1e-8),5) AS nz FROM s")
+def q_vertex_normal(spark, d):
+    return g.vertex_normals(*mesh(spark, d)).select("point_id", *(F.round(k, 5).alias(k) for k in ("nx", "ny", "nz")))
+
+
+# ---- graphs
+
+
+@q("q_radius_join", f"WITH {P_SQL}, {EDGE} SELECT src, dst, round(d,6) AS d FROM near")
+def q_radius_join(spark, d):
+    return gr.radius_pairs(points(spark, d), 0.05).withColumn("d", r6("d"))
+
+
+@q("q_min_dist", f"WITH {P_SQL}, {EDGE} SELECT least(a.spt_id,b.spt_id) AS a, greatest(a.spt_id,b.spt_id) AS b, round(min(d),6) AS d FROM near JOIN p a ON a.point_id=src JOIN p b ON b.point_id=dst WHERE a.spt_id<>b.spt_id GROUP BY 1,2")
+def q_min_dist(spark, d):
+    p = points(spark, d)
+    return gr.group_distances(gr.radius_pairs(p, 0.05), p, "spt_id").withColumn("d", r6("d"))
+
+
+@q("q_knn", f"WITH {P_SQL}, e AS (SELECT a.point_id AS src, b.point_id AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM p a JOIN p b ON a.point_id<>b.point_id) SELECT src, dst, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY d, dst) AS INTEGER) AS rn FROM e) WHERE rn <= 4")
+def q_knn(spark, d):
+    return gr.nearest_neighbours(points(spark, d), 4, 0.1).select("src", "dst", "rn")
+
+
+@q("q_threshold_edges", f"WITH {P_SQL}, {EDGE} SELECT src, dst, round(CASE WHEN w > 0.96 THEN w ELSE 0 END,6) AS w FROM near")
+def q_threshold_edges(spark, d):
+    return gr.threshold_edges(near_edges(spark, d), 0.96).select("src", "dst", r6("w").alias("w"))
+
+
+@q("q_connected_components", f"WITH RECURSIVE {P_SQL}, {EDGE}, {REACH.format(e='near')} SELECT id, cluster FROM comp")
+def q_connected_components(spark, d):
+    return gr.merge_by_threshold(points(spark, d).select(F.col("point_id").alias("id")), near_edges(spark, d), 0.0)
+
+
+@q("q_cc_members", f"WITH RECURSIVE {P_SQL}, {EDGE}, {REACH.format(e='near')} SELECT cluster AS component, count(*) AS n_members, min(id) AS lowest, max(id) AS highest FROM comp GROUP BY 1 HAVING count(*) > 1")
+def q_cc_members(spark, d):
+    m = gr.component_members(gr.connected_components(near_edges(spark, d)))
+    return m.select("component", "n_members", F.element_at("members", 1).alias("lowest"), F.element_at("members", -1).alias("highest"))
+
+
+@q("q_hac", f"WITH RECURSIVE {P_SQL}, {EDGE}, cutoff AS (SELECT * FROM near WHERE 1-w <= 0.03), {REACH.format(e='cutoff')} SELECT id, cluster FROM comp")
+def q_hac(spark, d):
+    return gr.single_linkage(points(spark, d).select(F.col("point_id").alias("id")), near_edges(spark, d), 0.03)
+
+
+SPT = "sd AS (SELECT least(a.spt_id,b.spt_id) AS src, greatest(a.spt_id,b.spt_id) AS dst, min(d) AS d FROM near JOIN p a ON a.point_id=src JOIN p b ON b.point_id=dst WHERE a.spt_id<>b.spt_id GROUP BY 1,2)"
+
+
+@q("q_merge_superpoints", f"WITH RECURSIVE {P_SQL}, {EDGE}, {SPT}, strong AS (SELECT * FROM sd WHERE exp(-d) > 0.975), both_ AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong), reach(id, c) AS (SELECT DISTINCT spt_id, spt_id FROM p UNION SELECT b.dst, r.c FROM reach r JOIN both_ b ON b.src=r.id WHERE r.c < b.dst), comp AS (SELECT id, min(c) AS cluster FROM reach GROUP BY 1) SELECT point_id, cluster FROM p JOIN comp ON id=spt_id")
+def q_merge_superpoints(spark, d):
+    p = points(spark, d)
+    e = gr.group_distances(gr.radius_pairs(p, 0.05), p, "spt_id").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.exp(-F.col("d")).alias("w"))
+    lab = gr.merge_by_threshold(p.select(F.col("spt_id").alias("id")).distinct(), e, 0.975)
+    return p.join(lab, p.spt_id == lab.id).select("point_id", "cluster")
+
+
+ADJ = VIEW.rstrip() + f", {EDGE}, {SPT}, {COV}{TOP}, con AS (SELECT spt_id, mask_id FROM top WHERE frac >= 0.3), um AS (SELECT src, dst, mask_id, max(l) AS l, max(r) AS r FROM (SELECT src, dst, mask_id, 1 AS l, 0 AS r FROM sd JOIN con ON spt_id=src UNION ALL SELECT src, dst, mask_id, 0, 1 FROM sd JOIN con ON spt_id=dst) GROUP BY 1,2,3), ov AS (SELECT src, dst, sum(l*r)/(count(*)+1e-6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY mask_id) AS rn FROM um) WHERE rn <= 8 GROUP BY 1,2), fm AS (SELECT spt_id, pos, sum(v)/(count(*)+1e-6) AS m FROM (SELECT spt_id, unnest(feat)::DOUBLE AS v, generate_subscripts(feat,1) AS pos FROM p) GROUP BY 1,2), fv AS (SELECT spt_id, list(val ORDER BY pos) AS t FROM (SELECT spt_id, pos, m/sqrt(sum(m*m) OVER (PARTITION BY spt_id)) AS val FROM fm) GROUP BY 1) "
+
+
+@q("q_mask_overlap", ADJ + "SELECT src AS a, dst AS b, round(overlap,6) AS overlap FROM ov")
+def q_mask_overlap(spark, d):
+    p = points(spark, d)
+    pairs = gr.group_distances(gr.radius_pairs(p, 0.05), p, "spt_id").select("a", "b")
+    con = sg.top_per_mask(sg.mask_coverage(p, hits(spark, d))).where("frac >= 0.3").select("spt_id", "mask_id")
+    return gr.mask_overlap(pairs, con).withColumn("overlap", r6("overlap"))
+
+
+@q("q_adjacency", ADJ + "SELECT sd.src, sd.dst, round(greatest(exp(-d), coalesce(overlap,0)*(CASE WHEN s<0.8 THEN 1.0 ELSE s END)),6) AS w FROM (SELECT sd.*, greatest(0.0, least(1.0, (list_dot_product(x.t,y.t)+1)/2)) AS s FROM sd JOIN fv x ON x.spt_id=src JOIN fv y ON y.spt_id=dst) sd LEFT JOIN ov ON ov.src=sd.src AND ov.dst=sd.dst")
+def q_adjacency(spark, d):
+    p = points(spark, d)
+    e = gr.group_distances(gr.radius_pairs(p, 0.05), p, "spt_id")
+    con = sg.top_per_mask(sg.mask_coverage(p, hits(spark, d))).where("frac >= 0.3").select("spt_id", "mask_id")
+    f = sg.as_arrays(sg.mean_vectors(p, "spt_id", "feat"), "spt_id")
+    a, b = (f.select(F.col("spt_id").alias(k), F.col("feat").alias(f"f{k}")) for k in "ab")
+    m = e.join(gr.mask_overlap(e.select("a", "b"), con), ["a", "b"], "left").join(a, "a").join(b, "b")
+    sim = s.remap_similarity(s.dot(F.col("fa"), F.col("fb")), 0.8)
+    return m.select(F.col("a").alias("src"), F.col("b").alias("dst"), r6(F.greatest(F.exp(-F.col("d")), F.coalesce("overlap", F.lit(0.0)) * sim)).alias("w"))
+
+
+LAB = f"WITH {P_SQL}, {EDGE}, x AS (SELECT src, dst, w FROM near UNION ALL SELECT dst, src, w FROM near), y AS (SELECT a.label AS ci, b.label AS cj, w FROM x JOIN p a ON a.point_id=src JOIN p b ON b.point_id=dst WHERE a.label <= b.label) "
+
+
+@q("q_cluster_edge_mean", LAB + "SELECT ci, cj, round(sum(w)/(count(*)+1e-6),6) AS w FROM y GROUP BY 1,2")
+def q_cluster_edge_mean(spark, d):
+    return sg.cluster_edges(near_edges(spark, d), points(spark, d).select(F.col("point_id").alias("id"), F.col("label").alias("cluster"))).withColumn("w", r6("w"))
+
+
+@q("q_cluster_edge_max", LAB + "SELECT ci, cj, round(max(w),6) AS w FROM y GROUP BY 1,2")
+def q_cluster_edge_max(spark, d):
+    return sg.cluster_edges(near_edges(spark, d), points(spark, d).select(F.col("point_id").alias("id"), F.col("label").alias("cluster")), "max").withColumn("w", r6("w"))
+
+
+@q("q_cluster_confidence", f"WITH {P_SQL} SELECT label AS cluster, round(greatest(0, least(1, sum(abs(x))/(count(*)+1e-6))),6) AS conf FROM p GROUP BY 1")
+def q_cluster_confidence(spark, d):
+    p = points(spark, d)
+    m = sg.cluster_confidence(p.select(F.col("point_id").alias("id"), F.col("label").alias("cluster")), p.select(F.col("point_id").alias("id"), F.abs("x").alias("conf")))
+    return m.withColumn("conf", r6("conf"))
+
+
+@q("q_num_to_natural", "WITH x AS (SELECT DISTINCT p_size AS k FROM part WHERE p_size <> 7) SELECT p_partkey, CASE WHEN p_size = 7 THEN 7 ELSE (SELECT count(*) FROM x WHERE k < p_size) END AS dense_id FROM part")
+def q_num_to_natural(spark, d):
+    return gr.dense_ids(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", void=7).select("p_partkey", "dense_id")
+
+
+@q("q_project_labels", f"WITH {P_SQL} SELECT point_id, min(point_id) OVER (PARTITION BY spt_id) AS cluster FROM p")
+def q_project_labels(spark, d):
+    p = points(spark, d)
+    return p.join(p.groupBy("spt_id").agg(F.min("point_id").alias("cluster")), "spt_id").select("point_id", "cluster")
+
+
+@q("q_map_merged", f"WITH {P_SQL} SELECT point_id, label % 3 AS merged FROM p")
+def q_map_merged(spark, d):
+    p = points(spark, d)
+    a = p.select("spt_id", F.floor(F.col("spt_id") / 10).alias("cluster")).distinct()
+    return p.select("point_id", "spt_id").join(a, "spt_id").join(a.select("cluster", (F.col("cluster") % 3).alias("merged")).distinct(), "cluster").select("point_id", "merged")
+
+
+# ---- labels and sets
+
+
+@q("q_semi_segments", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def q_semi_segments(spark, d):
+    p = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left_semi")
+
+
+@q("q_label_lookup", "SELECT p_partkey, coalesce(CAST((SELECT min(n_nationkey) FROM nation WHERE n_nationkey = p_size) AS INTEGER), 0) AS n_nationkey FROM part")
+def q_label_lookup(spark, d):
+    v = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_nationkey")
+    return sg.lookup(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", v, "k", "n_nationkey", 0).select("p_partkey", "n_nationkey")
+
+
+@q("q_annotate", "SELECT l_partkey, arg_max(l_quantity, (l_orderkey, l_linenumber, l_suppkey, l_quantity)) AS quantity FROM lineitem GROUP BY 1")
+def q_annotate(spark, d):
+    li = table(spark, d, "lineitem").withColumn("quantity", F.col("l_quantity"))
+    return sg.last_writer(li, "l_partkey", ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"], "quantity")
+
+
+@q("q_first_match", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1")
+def q_first_match(spark, d):
+    return sg.first_match(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
+@q("q_split", "SELECT c_custkey, CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM customer")
+def q_split(spark, d):
+    cu = table(spark, d, "customer").select("c_custkey")
+    tr, va = cu.where("c_custkey % 10 < 7").withColumn("t", F.lit("train")), cu.where("c_custkey % 10 IN (7, 8)").withColumn("v", F.lit("val"))
+    return cu.join(tr, "c_custkey", "left").join(va, "c_custkey", "left").select("c_custkey", F.coalesce("t", "v", F.lit("test")).alias("split"))
+
+
+@q("q_coarse_labels", "SELECT c_custkey, r_name FROM customer JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey")
+def q_coarse_labels(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
+
+
+@q("q_intersect_names", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def q_intersect_names(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@q("q_except_names", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
+def q_except_names(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey"))
+
+
+@q("q_id_maps", "SELECT n_nationkey AS id, n_name AS cat FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def q_id_maps(spark, d):
+    m = table(spark, d, "nation").agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("m"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("id")).distinct().crossJoin(F.broadcast(m)).select("id", F.col("m")[F.col("id")].alias("cat"))
+
+
+@q("q_class_normalization", "SELECT p_partkey, CASE p_size WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE CASE WHEN p_size BETWEEN 1 AND 40 THEN (SELECT count(*) FROM range(1,41) r(i) WHERE i < p_size AND i NOT IN (1,3)) + 2 ELSE -100 END END AS norm_id FROM part")
+def q_class_normalization(spark, d):
+    rank = F.col("p_size") - 1 - (F.col("p_size") > 1).cast("int") - (F.col("p_size") > 3).cast("int") + 2
+    v = F.when(F.col("p_size") == 1, 0).when(F.col("p_size") == 3, 1).when(F.col("p_size").between(1, 40), rank).otherwise(-100)
+    return table(spark, d, "part").select("p_partkey", v.cast("long").alias("norm_id"))
+
+
+@q("q_frame_sample")
+def q_frame_sample(spark, d):
+    return table(spark, d, "events").select("event_id").orderBy(F.xxhash64("event_id", F.lit(7)), "event_id").limit(80)
+
+
+@q("q_frame_skip", "SELECT event_id FROM events WHERE event_id % 20 = 0")
+def q_frame_skip(spark, d):
+    return table(spark, d, "events").where("event_id % 20 = 0").select("event_id")
+
+
+@q("q_segment_json", "SELECT CAST(json_extract(props,'$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def q_segment_json(spark, d):
+    return table(spark, d, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+# ---- texts
+
+WORDS = "string_split(p_name, ' ')"
+
+
+@q("q_filter_list", f"WITH w AS (SELECT p_partkey, list_filter(list_concat({WORDS}, [' ', '12', 'a']), lambda x: x IS NOT NULL AND trim(x)<>'' AND NOT regexp_full_match(x,'[0-9]+') AND length(x)>1) AS l FROM part) SELECT p_partkey, array_to_string(CASE WHEN len(l)=0 THEN ['floor'] ELSE l END, '|') AS l FROM w")
+def q_filter_list(spark, d):
+    items = F.concat(F.split("p_name", " "), F.array(F.lit(None).cast("string"), F.lit(" "), F.lit("12"), F.lit("a")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(s.clean_list(items), "|").alias("l"))
+
+
+@q("q_stopwords", f"SELECT p_partkey, array_to_string(list_filter(list_concat({WORDS}, ['lamp']), lambda x: x NOT IN ('background','box','contours')), '|') AS l FROM part")
+def q_stopwords(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(s.drop_stop_words(F.concat(F.split("p_name", " "), F.array(F.lit("box"), F.lit("lamp")))), "|").alias("l"))
+
+
+@q("q_strip_alnum", "SELECT page_id, regexp_replace(url, '[0-9a-zA-Z]', '', 'g') AS t FROM pages")
+def q_strip_alnum(spark, d):
+    return table(spark, d, "pages").select("page_id", s.strip_alnum(F.col("url")).alias("t"))
+
+
+@q("q_clean_labels", r"WITH t AS (SELECT p_partkey, trim(regexp_replace(p_name || '!', '[^a-zA-Z0-9\s]+', '', 'g')) AS t FROM part) SELECT p_partkey, CASE WHEN t='' OR len(regexp_split_to_array(t,'\s+'))>2 THEN 'floor' ELSE t END AS t FROM t")
+def q_clean_labels(spark, d):
+    return table(spark, d, "part").select("p_partkey", s.clean_label(F.concat("p_name", F.lit("!"))).alias("t"))
+
+
+@q("q_after_marker", "SELECT conv_id, turn, lower(string_split('ask [/INST] ' || text, '[/INST]')[-1]) AS t FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def q_after_marker(spark, d):
+    return table(spark, d, "conversations").where(r"text IS NOT NULL AND NOT text RLIKE '[^\\x00-\\x7F]'").select("conv_id", "turn", s.after_marker(F.concat(F.lit("ask [/INST] "), "text")).alias("t"))
+
+
+@q("q_tokens", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) WHERE w <> '' GROUP BY 1")
+def q_tokens(spark, d):
+    return table(spark, d, "conversations").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+
+
+@q("q_normalize_output", "SELECT n_nationkey, CASE WHEN trim(CASE WHEN n_nationkey%5=0 THEN ' ' ELSE n_name END)='' THEN 'floor' ELSE lower(trim(n_name)) END AS t, (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey) AS n FROM nation")
+def q_normalize_output(spark, d):
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    t = table(spark, d, "nation").select("n_nationkey", s.normalize_output(F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.col("n_name"))).alias("t"))
+    return t.join(n, "n_nationkey", "left").na.fill(0, ["n"])
+
+
+@q("q_suffix", "SELECT p_partkey, 'a ' || CASE WHEN x LIKE '%.' THEN x ELSE x || '.' END AS t FROM (SELECT p_partkey, CASE WHEN p_partkey%2=0 THEN p_name||'.' ELSE p_name END AS x FROM part)")
+def q_suffix(spark, d):
+    x = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("."))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("a "), s.with_suffix(x)).alias("t"))
+
+
+@q("q_chunk", "SELECT conv_id, turn, CAST(ceil(len(string_split(text,' '))/5.0) AS BIGINT) AS n_chunks, string_split(text,' ')[5*CAST(ceil(len(string_split(text,' '))/5.0)-1 AS INTEGER)+1] AS head FROM conversations")
+def q_chunk(spark, d):
+    ch = table(spark, d, "conversations").select("conv_id", "turn", s.chunked(F.split("text", " ")).alias("c"))
+    return ch.select("conv_id", "turn", F.size("c").cast("long").alias("n_chunks"), F.element_at(F.element_at("c", -1), 1).alias("head"))
+
+
+@q("q_path_rewrite", "SELECT page_id, replace(url, 'http', 'ftp') AS path, regexp_extract(url, '/([0-9]+)', 1) AS frame FROM pages")
+def q_path_rewrite(spark, d):
+    return table(spark, d, "pages").select("page_id", F.replace("url", F.lit("http"), F.lit("ftp")).alias("path"), F.regexp_extract("url", "/([0-9]+)", 1).alias("frame"))
+
+
+@q("q_label_distinct", "SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1")
+def q_label_distinct(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.size(F.collect_set("l_returnflag")).cast("long").alias("n"))
+
+
+# ---- iterative, without SQL
+
+
+@q("q_fps")
+def q_fps(spark, d):
+    return c.farthest_points(points(spark, d), "label", 16)
+
+
+@q("q_fps_center")
+def q_fps_center(spark, d):
+    return c.farthest_points(points(spark, d), "label", 16, centre=True)
+
+
+def label_graph(spark, d):
+    e, p = near_edges(spark, d, 0.2), points(spark, d).select("point_id", "label")
+    e = e.join(p.select(F.col("point_id").alias("src"), F.col("label").alias("g")), "src").join(p.select(F.col("point_id").alias("dst"), F.col("label").alias("h")), "dst")
+    return e.where("g = h").select(F.col("g").alias("scene"), "src", "dst", "w")
+
+
+@q("q_spectral")
+def q_spectral(spark, d):
+    return c.spectral_clusters(label_graph(spark, d), "scene", 8)
+
+
+@q("q_eigengap")
+def q_eigengap(spark, d):
+    return c.eigengaps(label_graph(spark, d), "scene")
+
+
+@q("q_wkmeans")
+def q_wkmeans(spark, d):
+    return c.kmeans_groups(points(spark, d), "label", 6)
+
+
+@q("q_sinkhorn_rpm")
+def q_sinkhorn_rpm(spark, d):
+    sc = class_scores(spark, d).select((F.col("point_id") % 20).alias("g"), F.col("point_id").alias("row"), F.col("class_id").alias("col"), F.col("logit").alias("s"))
+    return c.transport(sc, "g", hard=True)
+
+
+@q("q_sinkhorn")
+def q_sinkhorn(spark, d):
+    sc = class_scores(spark, d).select((F.col("point_id") % 20).alias("g"), F.col("point_id").alias("row"), F.col("class_id").alias("col"), F.col("logit").alias("s"))
+    return c.transport(sc, "g")
