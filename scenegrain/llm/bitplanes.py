@@ -26,7 +26,7 @@ CHUNK = "shard int, chunk int, n_ids long, before long, block int, width int, bi
 class Encoder:
     """Ids of whole texts by the tokenizers library; what it gives for a chunk is kept in a bounded cache."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -40,10 +40,13 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t, self.special) for t in texts]
-        self.cache.resolve(set().union(*(c[1:] for c in cut if c)), lambda new: self.encode([" " + w for w in new]))
+        for c in cut:
+            if c:
+                c[0] = "\0 " + c[0]  # no other chunk has a space: the first one, without a space before it
+        self.cache.resolve(set().union(*(c for c in cut if c)), lambda new: self.encode([w[2:] if w[:2] == "\0 " else " " + w for w in new]))
         get = self.cache.__getitem__
-        first = self.encode([t if c is None else c[0] for t, c in zip(texts, cut)])
-        return [np.frombuffer(f if c is None else f + b"".join(map(get, c[1:])), "<u4") for f, c in zip(first, cut)]
+        whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
+        return [np.frombuffer(next(whole) if c is None else b"".join(map(get, c)), "<u4") for c in cut]
 
 
 @lru_cache(2)

@@ -11,13 +11,15 @@ import re
 
 #: Fixed value: the characters that Unicode calls white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space that may be one of those: quick to look for, as it starts with a plain character.
+MAYBE = re.compile(f" (?![^{SPACES}\x1c-\x1f])")
 #: A space before which no cut may be made (the C0 separators are included to be safe).
 NO_CUT = re.compile(f"[{SPACES}\x1c-\x1f] (?:[{SPACES}\x1c-\x1f]|\\Z)")
 
 
 def chunks(text: str, special: tuple[str, ...]) -> list[str] | None:
     """The chunks of a text, without the space that starts each but the first; None if it must stay whole."""
-    if NO_CUT.search(text) or any(s in text for s in special):
+    if (MAYBE.search(text) and NO_CUT.search(text)) or any(s in text for s in special):
         return None
     return text.split(" ")
 

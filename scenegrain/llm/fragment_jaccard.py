@@ -127,7 +127,7 @@ def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bu
     def pack(rows):
         schema = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("shingles", pa.binary())])
         for batch in rows:
-            for texts in batches(batch.column(0).to_pylist(), 5_000_000):
+            for texts in batches(batch.column(0).to_pylist(), 3_000_000):
                 s, n = shingle_sets(texts, k)
                 node = signatures(s, n)
                 _, one = np.unique(node, return_index=True)  # equal sets of a batch count once
