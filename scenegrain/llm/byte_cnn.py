@@ -104,17 +104,22 @@ def clean(text: str | None) -> bytes:
 def learn(docs: DataFrame, train: Column, per_label: int = 300, windows_per_doc: int = 8, epochs: int = 6, text_col: str = "text", lang_col: str = "lang") -> Net:
     """Trains on a bounded sample: `per_label` documents of each language, those with the smallest hashes.
 
-    Fitting alone is sampled. The number of languages is that of the labels; each gives per_label rows at most, taken
-    by partial top lists (no window over a whole language).
+    Fitting alone is sampled. The number of languages is that of the labels, at most 1000. From the counts of the labels
+    follows a share of hashes that holds about twice per_label texts of each; only those, without repeats, come to the
+    driver, which keeps the per_label smallest.
     """
     d = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), train.alias("t")).where("t AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    langs = sorted(r.lang for r in d.select("lang").distinct().limit(1000).collect())
-    texts, y = [], []
-    for i, lang in enumerate(langs):  # one bounded top list for each label
-        for r in d.where(F.col("lang") == lang).select("h", F.col("text")).orderBy("h").limit(per_label).select(F.col("text")).collect():
-            if any(c.isalpha() for c in r.text):
+    sizes = {r.lang: r["count"] for r in d.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
+    langs, texts, y = sorted(sizes), [], []
+    if langs:
+        share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1 << 31, -(-(2 * per_label << 31) // sizes[k])))))
+        drawn = d.where(F.pmod("h", F.lit(1 << 31)) < share[F.col("lang")]).dropDuplicates(["lang", "h"])
+        taken = dict.fromkeys(langs, 0)
+        for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.h % (1 << 31), r.h)):
+            if taken[r.lang] < per_label and any(map(str.isalpha, r.text)):
+                taken[r.lang] += 1
                 texts.append(clean(r.text))
-                y.append(i)
+                y.append(langs.index(r.lang))
     net = Net(langs)
     if texts:
         w, owner, n = cut_windows(texts)
