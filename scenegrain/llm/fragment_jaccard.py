@@ -9,6 +9,9 @@ the threshold is done. Candidates share a shingle within the prefix that the thr
 do). In a first round each shingle's nodes are held against the one with the most common shingles; in a second one, against all those
 with which they aren't yet connected. So a group of near copies takes about one pair a member, and no link between two
 components is missed.
+
+No task gathers a hot group: shingles that a sample finds common are known to be shared and take their place in the order
+from the sample, so they go past the buckets by shingle; of a text with very many copies one row is packed.
 """
 
 from __future__ import annotations
@@ -114,41 +117,108 @@ def shingle_nodes(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long")
 
 
-def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bucket: int = 2_000_000) -> DataFrame:
+def common_shingles(docs: DataFrame, rows: int, k: int = K, least: int = 16, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks): the shingles that at least `least` nodes of a sample have, ascending, with their estimated
+    frequency on a logarithmic scale; at most the `most` most common ones.
+
+    The sample has one document in 1000, or about 4096 if that is more. It only decides how shingles are routed and ordered:
+    any order gives the same links. So what is left to a bucket by shingle has a bound, about 1 / `most` of all shingles.
+    """
+    share = max(1, min(1000, rows // 4096))
+
+    def shingles(rows):
+        for batch in rows:
+            for texts in batches(batch.column(0).to_pylist(), 3_000_000):
+                s, n = shingle_sets(texts, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(signatures(s, n), n)), pa.array(s.view(np.int64))], ["node", "shingle"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(share)) == 0).select("text").mapInArrow(shingles, "node long, shingle long")
+    counts = save(drawn.distinct().groupBy("shingle").count().where(F.col("count") >= least), "common")
+    steps = counts.groupBy(F.floor(F.log2("count") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("count").alias("count")).orderBy(F.desc("step")).collect()
+    left, from_ = most, None
+    for r in steps:
+        left -= r.n
+        if left < 0:
+            break
+        from_ = r["count"]
+    if from_ is None:
+        return np.zeros(0, U), np.zeros(0, U)
+    top = counts.where(F.col("count") >= from_).toPandas()
+    s = top["shingle"].to_numpy(np.int64).view(U)
+    order = np.argsort(s)
+    return s[order], np.minimum(63, np.log2(top["count"].to_numpy(float) * share) * 3).astype(U)[order]
+
+
+def copied_nodes(members: DataFrame, rows: int, many: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, doc_ids): nodes with more than `many` rows and a 100,000th of all, so at most 100,000, ascending, and the row
+    that stands for each."""
+    top = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where((F.col("n") > max(many, rows // 100_000)) & F.col("low").isNotNull()).select("node", "low").toPandas().sort_values("node")
+    return top["node"].to_numpy(np.int64), top["low"].to_numpy(np.int64)
+
+
+def looked_up(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `sorted_`, whether it is there) of each of `x`."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+def packed_runs(bucket: np.ndarray, node: np.ndarray, n: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, runs, values) of arrays in the order of bucket and node: a run is a node's id, size and number of values."""
+    if not len(node):
+        return []
+    head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))))
+    runs = np.zeros(len(head), "i8,i4,i4")
+    runs["f0"], runs["f1"], runs["f2"] = node[head], n[head], np.diff(np.append(head, len(node)))
+    of = bucket[head]
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    last = np.append(first[1:], len(head))
+    at = np.append(head, len(node))
+    return [(int(of[a]), runs[a:z].tobytes(), values[at[a] : at[z]].tobytes()) for a, z in zip(first, last)]
+
+
+def shared_shingles(docs: DataFrame, members: DataFrame, k: int = K, t: int = 75, per_bucket: int = 2_000_000, least_common: int = 16, many_copies: int = 1000) -> DataFrame:
     """(node, n, common, keys): the shingles that at least two nodes have, of the nodes that have enough of them to reach the
     threshold, as ascending keys of the global order; `common` is their mean frequency on a logarithmic scale.
 
     Shingles are dealt by hash into buckets of about `per_bucket`, in packed runs: a node's id, size and number of
-    shingles, then the shingles. A bucket drops what a single node has and packs the rest by node.
+    shingles, then the shingles. A bucket drops what a single node has and packs the rest by node. Those of
+    common_shingles() are keys from the start, in buckets by node with negative numbers.
     """
+    rows, total = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     bits = max(2, int(total // per_bucket).bit_length())
-    parts = 1 << bits
+    hot, ranks = common_shingles(docs, rows, k, least_common)
+    copied, stands = copied_nodes(members, rows, many_copies)
+
+    def by_node(node):
+        return (node.view(U) >> U(64 - bits)).astype(np.int64)
 
     def pack(rows):
-        schema = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("shingles", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("shingles", pa.binary())])
         for batch in rows:
-            for texts in batches(batch.column(0).to_pylist(), 3_000_000):
+            ids = batch.column(0)
+            known, ids, at = ids.is_valid().to_numpy(False), ids.fill_null(0).to_numpy(), 0
+            for texts in batches(batch.column(1).to_pylist(), 3_000_000):
                 s, n = shingle_sets(texts, k)
-                node = signatures(s, n)
-                _, one = np.unique(node, return_index=True)  # equal sets of a batch count once
+                node, part = signatures(s, n), slice(at, at + len(texts))
+                at += len(texts)
+                place, many = looked_up(copied, node)
+                spare = many & known[part] & (ids[part] != stands[place]) if len(copied) else many
+                use = np.flatnonzero((n > 0) & ~spare)
+                _, one = np.unique(node[use], return_index=True)  # equal sets of a batch count once
                 keep = np.zeros(len(n), bool)
-                keep[one] = True
-                keep &= n > 0
+                keep[use[one]] = True
                 ok = np.repeat(keep, n)
                 s, node, n = s[ok], node[keep], n[keep]
                 owner = np.repeat(np.arange(len(n)), n)
                 bucket = (s >> U(64 - bits)).astype(np.int64)
+                place, often = looked_up(hot, s)
+                bucket[often] = -1 - by_node(node)[owner[often]]
+                s[often] = (ranks[place[often]] << U(57)) | (s[often] >> U(7)) if len(hot) else s[often]
                 order = np.argsort((bucket << 32) | owner, kind="stable")
-                s, owner, bucket = s[order], owner[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(parts + 1))
-                out = []
-                for b in range(parts):
-                    if cut[b] < cut[b + 1]:
-                        o = owner[cut[b] : cut[b + 1]]
-                        head = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                        runs = np.zeros(len(head), "i8,i4,i4")
-                        runs["f0"], runs["f1"], runs["f2"] = node[o[head]], n[o[head]], np.diff(np.concatenate((head, [len(o)])))
-                        out.append((b, runs.tobytes(), s[cut[b] : cut[b + 1]].tobytes()))
+                owner = owner[order]
+                out = packed_runs(bucket[order], node[owner], n[owner], s[order])
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
@@ -158,10 +228,11 @@ def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bu
 
     def count(pdf):
         node, n, size, s = unpack(pdf)
+        is_key = pdf.bucket.iloc[0] < 0
         order = np.argsort(s, kind="stable")
-        same = s[order][1:] == s[order][:-1]
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        order = order[shared]
+        if not is_key:
+            same = s[order][1:] == s[order][:-1]
+            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
         owner = np.repeat(np.arange(len(node)), size)[order]
         s, ids, sizes = s[order], node[owner], n[owner]
         order = np.lexsort((ids, s))  # equal sets of several batches: once
@@ -170,24 +241,16 @@ def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bu
             return pd.DataFrame({"bucket": [], "nodes": [], "shingles": []})
         one = np.concatenate(([True], (s[1:] != s[:-1]) | (ids[1:] != ids[:-1])))
         s, ids, sizes = s[one], ids[one], sizes[one]
-        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        df = np.repeat(d := np.diff(np.concatenate((head, [len(s)]))), d)
-        s, ids, sizes, df = s[df > 1], ids[df > 1], sizes[df > 1], df[df > 1]
-        # The global order: frequency on a logarithmic scale in the upper 6 bits, then the hash.
-        key = (np.minimum(63, np.log2(df) * 3).astype(U) << U(57)) | (s >> U(7))
-        bucket = (ids.view(U) >> U(64 - bits)).astype(np.int64)
+        key = s
+        if not is_key:
+            head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            df = np.repeat(d := np.diff(np.concatenate((head, [len(s)]))), d)
+            s, ids, sizes, df = s[df > 1], ids[df > 1], sizes[df > 1], df[df > 1]
+            # The global order: frequency on a logarithmic scale in the upper 6 bits, then the hash.
+            key = (np.minimum(63, np.log2(df) * 3).astype(U) << U(57)) | (s >> U(7))
+        bucket = by_node(ids)
         order = np.lexsort((key, ids, bucket))
-        key, ids, sizes, bucket = key[order], ids[order], sizes[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(parts + 1))
-        out = []
-        for b in range(parts):
-            if cut[b] < cut[b + 1]:
-                o = ids[cut[b] : cut[b + 1]]
-                head = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                runs = np.zeros(len(head), "i8,i4,i4")
-                runs["f0"], runs["f1"], runs["f2"] = o[head], sizes[cut[b] : cut[b + 1]][head], np.diff(np.concatenate((head, [len(o)])))
-                out.append((b, runs.tobytes(), key[cut[b] : cut[b + 1]].tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "nodes", "shingles"])
+        return pd.DataFrame(packed_runs(bucket[order], ids[order], sizes[order], key[order]), columns=["bucket", "nodes", "shingles"])
 
     def gather(pdf):
         node, n, size, key = unpack(pdf)
@@ -203,8 +266,8 @@ def shared_shingles(docs: DataFrame, total: int, k: int = K, t: int = 75, per_bu
         key = key.view(np.int64)
         return pd.DataFrame({"node": ids[head[ok]], "n": sizes[head[ok]].astype(np.int64), "common": common[ok], "keys": [key[a:b] for a, b in zip(head[ok], ends[ok])]})
 
-    packed = "bucket int, nodes binary, shingles binary"
-    runs = docs.select("text").mapInArrow(pack, packed).groupBy("bucket").applyInPandas(count, packed)
+    packed = "bucket long, nodes binary, shingles binary"
+    runs = docs.select("doc_id", "text").mapInArrow(pack, packed).groupBy("bucket").applyInPandas(count, packed)
     return runs.groupBy("bucket").applyInPandas(gather, "node long, n long, common double, keys array<long>")
 
 
@@ -221,13 +284,12 @@ def verified(pairs: DataFrame, sets: DataFrame, pivots: list[int], t: int = 75)
     return summed.where(100 * F.col("overlap") >= t * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
-def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, id_col: str = "doc_id", text_col: str = "text", **hot: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, n_shingles and node of each row, links the pairs of nodes that connect
     all that the threshold connects (pairs within a component that the others imply are left out)."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = save(shingle_nodes(d, k), "members")
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    sets = save(shared_shingles(d, total, k, t), "sets")
+    sets = save(shared_shingles(d, members, k, t, **hot), "sets")
     pivots = sets.select(F.explode("keys").alias("key")).agg(F.percentile_approx("key", [i / fragments for i in range(1, fragments)], 1000)).first()[0]
     pivots = sorted(set(pivots or []))
     # Prefixes: the singles stand first in the order, so `size(keys) - needed + 1` shared ones are left of it.

@@ -213,6 +213,9 @@ def test_op8_brute_force(spark):
     got = fragment_jaccard.near_documents(df).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got if x.doc_id is not None} == {2 * i: (len(s), 2 * low[c]) for i, (s, c) in enumerate(zip(sets, comp))}
     assert [x.component_id for x in got if x.doc_id is None] == [2 * low[comp[3]]]
+    # All shared shingles common, all copies but one left out: the same result.
+    again = fragment_jaccard.near_documents(df, least_common=2, many_copies=1).collect()
+    assert collections.Counter(again) == collections.Counter(got)
     assert fragment_jaccard.near_documents(df.limit(0)).count() == 0
 
 
