@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenegrain.functions.scalar import pixel
+from scenegrain.functions.scalar import pixel, rotation
 
 
 def to_camera(points: DataFrame, frames: DataFrame) -> DataFrame:
@@ -109,6 +110,30 @@ def clip_box(points: DataFrame, half: float) -> DataFrame:
     return near.crossJoin(F.broadcast(some)).where("inside OR NOT some").select(*points.columns)
 
 
+def transformed(points: DataFrame, matrix: list[list[float]], prefix: str = "") -> DataFrame:
+    """x, y, z (or normals, by prefix) after a 3 x 3 matrix and, in a fourth column, a shift."""
+    c = [F.col(prefix + a) for a in "xyz"]
+    rows = [sum((F.lit(float(m)) * v for m, v in zip(row[1:3], c[1:])), F.lit(float(row[0])) * c[0]) + F.lit(float(row[3]) if len(row) > 3 else 0.0) for row in matrix]
+    return points.withColumns({prefix + a: r for a, r in zip("xyz", rows)})
+
+
+def random_affine(voxel_size: float, seed: int, bounds: tuple[tuple[float, float], ...] = ((-np.pi / 64, np.pi / 64), (-np.pi / 64, np.pi / 64), (-np.pi, np.pi)), scale: tuple[float, float] = (0.9, 1.1)) -> list[list[float]]:
+    """A seeded rotation about the axes, in an order drawn as well, times a scale over the size of a voxel."""
+    r = np.random.default_rng(seed)
+    turns = [np.array(rotation(tuple(np.eye(3)[k]), r.uniform(*b))) for k, b in enumerate(bounds)]
+    out = np.eye(3)
+    for k in r.permutation(3):
+        out = out @ turns[k]
+    return (out * r.uniform(*scale) / voxel_size).tolist()
+
+
+def voxelize_affine(points: DataFrame, matrix: list[list[float]], order: list[str], half: float | None = None, label: str | None = None) -> DataFrame:
+    """Clips (with `half`), transforms, cuts into unit voxels that start at 0, and takes the first point of each."""
+    v = voxelize(transformed(points if half is None else clip_box(points, half), matrix), [1, 1, 1], order, label)
+    low = v.agg(*(F.min(c).alias(f"lo_{c}") for c in ("vx", "vy", "vz")))
+    return v.crossJoin(F.broadcast(low)).withColumns({c: F.col(c) - F.col(f"lo_{c}") for c in ("vx", "vy", "vz")}).drop(*low.columns)
+
+
 def ravel_key(points: DataFrame) -> DataFrame:
     """Adds `key`: mixed-radix number of integer coordinates vx, vy, vz after subtracting their minimum."""
     b = points.agg(*(F.min(c).alias(f"lo_{c}") for c in ("vx", "vy", "vz")), *(F.max(c).alias(f"hi_{c}") for c in ("vx", "vy", "vz")))

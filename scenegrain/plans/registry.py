@@ -13,6 +13,7 @@ from scenegrain.functions import scalar as s
 from scenegrain.operators import cluster as c
 from scenegrain.operators import geometry as g
 from scenegrain.operators import graph as gr
+from scenegrain.operators import polygons as pg
 from scenegrain.operators import segments as sg
 from scenegrain.sources.tables import table
 
@@ -663,3 +664,34 @@ def q_sinkhorn_rpm(spark, d):
 def q_sinkhorn(spark, d):
     sc = class_scores(spark, d).select((F.col("point_id") % 20).alias("g"), F.col("point_id").alias("row"), F.col("class_id").alias("col"), F.col("logit").alias("s"))
     return c.transport(sc, "g")
+
+
+# ---- polygons and affine voxels
+
+#: Three neighbouring components of a vector make a triangle of whole pixels.
+TRI_SQL = "t AS (SELECT vec_id, " + ", ".join(f"CAST(floor(embedding[{k + 1}]::DOUBLE*100) AS BIGINT) AS {n}" for k, n in enumerate(("x0", "y0", "x1", "y1", "x2", "y2"))) + " FROM embeddings)"
+
+
+def triangles(spark, d):
+    at = [F.floor(F.col("embedding")[k].cast("double") * 100) for k in range(6)]
+    return table(spark, d, "embeddings").select("vec_id", F.array(at[0], at[2], at[4]).alias("xs"), F.array(at[1], at[3], at[5]).alias("ys"))
+
+
+@q("q_polygon_fill", f"WITH {TRI_SQL} SELECT vec_id, CAST((abs((x1-x0)*(y2-y0)-(x2-x0)*(y1-y0)) + gcd(abs(x1-x0),abs(y1-y0)) + gcd(abs(x2-x1),abs(y2-y1)) + gcd(abs(x0-x2),abs(y0-y2)))//2 + 1 AS BIGINT) AS area FROM t")
+def q_polygon_fill(spark, d):
+    return pg.polygon_pixels(triangles(spark, d), "vec_id").groupBy("vec_id").agg(F.count("*").alias("area"))
+
+
+@q("q_refine_masks")
+def q_refine_masks(spark, d):
+    return pg.refine_masks(pg.polygon_pixels(triangles(spark, d), "vec_id"), "vec_id").groupBy("vec_id").agg(F.count("*").alias("area"))
+
+
+@q("q_mask_polygons")
+def q_mask_polygons(spark, d):
+    return pg.mask_polygons(pg.polygon_pixels(triangles(spark, d), "vec_id"), "vec_id")
+
+
+@q("q_voxelize_affine", f"WITH {P_SQL}, v AS (SELECT CAST(floor(-10*y) AS BIGINT) AS vx, CAST(floor(10*x) AS BIGINT) AS vy, CAST(floor(10*z) AS BIGINT) AS vz, point_id FROM p) SELECT vx-min(vx) OVER () AS vx, vy-min(vy) OVER () AS vy, vz-min(vz) OVER () AS vz, n, point_id FROM (SELECT vx, vy, vz, count(*) AS n, min(point_id) AS point_id FROM v GROUP BY 1,2,3)")
+def q_voxelize_affine(spark, d):
+    return g.voxelize_affine(points(spark, d), [[0, -10, 0], [10, 0, 0], [0, 0, 10]], ["point_id"])

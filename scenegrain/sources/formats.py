@@ -181,3 +181,10 @@ def run_length_pixels(masks: DataFrame, width: int) -> DataFrame:
 def write_scenes(points: DataFrame, path: str) -> None:
     """Processed scenes, a folder for each split and scene."""
     points.write.mode("overwrite").partitionBy("split", "scene_id").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def list_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(path, number) of all files whose name ends in a number; contents are not read. Sort by number to show them."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    n = F.regexp_extract("path", r"(\d+)\.[^./]*$", 1)
+    return f.where(n != "").select("path", n.cast("int").alias("number"))

@@ -9,6 +9,7 @@ from scenegrain.functions import scalar as s
 from scenegrain.operators import cluster as c
 from scenegrain.operators import geometry as g
 from scenegrain.operators import graph as gr
+from scenegrain.operators import polygons as pg
 from scenegrain.sources import formats as fm
 from scenegrain.streaming import accumulate
 
@@ -102,3 +103,29 @@ def test_models_and_streaming(spark, tmp_path):
     q = accumulate.running_means(stream, "k", "v").writeStream.outputMode("complete").format("memory").queryName("means").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.k: (r.n, r["mean"]) for r in spark.table("means").collect()} == {1: (2, 3.0), 2: (1, 5.0)}
+
+
+def test_masks_and_polygons(spark):
+    """Refining keeps the largest part and fills holes; the polygon of a mask, filled, is the refined mask."""
+    ring = [(1, x, y) for x in range(5) for y in range(5) if (x, y) != (2, 2)] + [(1, 9, 9), (1, 9, 9)]
+    r = np.random.default_rng(3)
+    rows = ring + [(m, x, y) for m in range(2, 8) for x in range(9) for y in range(9) if r.random() < m / 9]
+    px = spark.createDataFrame(rows + [(8, None, 1)], "mask_id int, x int, y int")
+    refined = {tuple(t) for t in pg.refine_masks(px).collect()}
+    assert {t for t in refined if t[0] == 1} == {(1, x, y) for x in range(5) for y in range(5)}
+    assert {tuple(t) for t in pg.polygon_pixels(pg.mask_polygons(px)).collect()} == refined
+    odd = spark.createDataFrame([(1, [], []), (2, None, None), (3, [4], [5]), (4, [0, 4, None], [0, 0, 4])], "mask_id int, xs array<int>, ys array<int>")
+    assert {tuple(t) for t in pg.polygon_pixels(odd).collect()} == {(3, 4, 5), *((4, x, 0) for x in range(5))}
+
+
+def test_affine(spark):
+    m = np.array(g.random_affine(0.5, 7, scale=(1.0, 1.0)))
+    assert np.allclose(m @ m.T, np.eye(3) * 4) and np.allclose(m, g.random_affine(0.5, 7, scale=(1.0, 1.0)))
+    p = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
+    assert list(g.transformed(p, [[0, -1, 0, 5], [1, 0, 0, 0], [0, 0, 2, 1]]).first()) == [3.0, 1.0, 7.0]
+
+
+def test_list_frames(spark, tmp_path):
+    for n in ("10.jpg", "2.jpg", "frame-7.png", "notes.txt"):
+        (tmp_path / n).write_bytes(b"x")
+    assert [r.number for r in fm.list_frames(spark, str(tmp_path)).orderBy("number").collect()] == [2, 7, 10]
