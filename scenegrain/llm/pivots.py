@@ -1,9 +1,12 @@
-"""Near-duplicate vectors by a pivot-permutation index.
-
-A bounded sample of the vectors serves as reference points (pivots). Each vector is described by its nearest pivots in
-order. Inverted lists have the vectors of each pivot and label; pairs of a list that share enough pivots are verified
-by their cosine in double precision. Long lists are cut into blocks, and pairs of blocks are dealt to tasks, so there
-is no cap on a list. A pair is verified only in the list of the smallest pivot that it shares.
+"""Near-duplicate vectors by a complete pivot index.
+
+Unit vectors are mixed by an isometry and cut into sections. Of two vectors at the cosine or above, one section at least
+is no farther apart than `reach`, its share of the distance. Each section has reference points (pivots): a bounded
+sample, spread apart, so a dense group gets few of them. The middle of two close sections is in the cell of some pivot,
+and both are within reach / 2 of that cell; so a vector is in the inverted lists of all pivots whose cell may be that
+near, and each pair that qualifies shares a list. Pairs of a list are verified by their cosine in double precision, in
+the list of the smallest pivot that they share. Long lists are cut into blocks, and pairs of blocks are dealt to tasks,
+so there is no cap on a list. Tasks return the number of links of each vector and a forest of them, not the links.
 """
 
 from __future__ import annotations
@@ -28,75 +31,145 @@ def usable(v, dims) -> F.Column:
     return v.isNotNull() & (dims > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def similar_vectors(vectors: DataFrame, cosine: float = 0.98, nearest: int = 8, share: int = 2, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): equal vectors of a label form a class; links are pairs of classes.
-
-    members: vec_id, node (the class, null for vectors that link with nothing); classes: node, size; links: a, b with
-    a < b. Vectors link only when labels are equal and not null and lengths are equal. Null, zero and non-finite ones
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def sections(x: np.ndarray, width: int = 16) -> list[np.ndarray]:
+    """Unit rows under an isometry (signs, Fourier transform, order, all fixed) that spreads what a few components hold,
+    cut into sections of about `width`."""
+    dim = x.shape[1]
+    r = np.random.default_rng(dim)
+    f = np.fft.rfft(x * r.choice((-1.0, 1.0), dim), axis=1, norm="ortho")
+    twice = np.full(f.shape[1], 2**0.5)
+    twice[0] = 1
+    if dim % 2 == 0:
+        twice[-1] = 1
+    y = np.concatenate((f.real * twice, f.imag * twice), 1)
+    return np.array_split(y[:, r.permutation(y.shape[1])], max(1, dim // width), axis=1)
+
+
+def spread(sample: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """Up to `most` rows of the sample in order, each farther than `apart` from those before it."""
+    far, taken = np.ones(len(sample), bool), []
+    while len(taken) < most and far.any():
+        taken.append(int(far.argmax()))
+        far &= ((sample - sample[taken[-1]]) ** 2).sum(1) > apart**2
+    return sample[taken]
+
+
+def met(x: np.ndarray, ref: np.ndarray, reach: float, nearest: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pivot) for each pivot whose cell may be within reach / 2 of the row: those that are no farther than that
+    beyond the bisecting plane to each of the row's nearest pivots."""
+    square = (ref**2).sum(1)
+    d = (x**2).sum(1)[:, None] + square - 2 * x @ ref.T
+    k = min(nearest, len(ref))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
+    first, rows = near[:, 0], np.arange(len(x))
+    gap = np.sqrt(np.maximum(square[first][:, None] + square - 2 * ref[first] @ ref.T, 0))
+    i, p = np.nonzero(d - d[rows, first][:, None] <= gap * reach + 1e-9)
+    for c in range(1, k):
+        q = near[i, c]
+        ok = d[i, p] - d[i, q] <= np.linalg.norm(ref[p] - ref[q], axis=1) * reach + 1e-9
+        i, p = i[ok], p[ok]
+    return i, p
+
+
+def similar_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links): equal vectors of a label form a class; classes link.
+
+    members: vec_id, node (the class, null for vectors that link with nothing); classes: node, size; links: a, b, n with
+    b <= a, rows of several tasks: a's links of the task lead to n vectors, and b is the smallest class that they reach
+    there. Vectors link only when labels are equal and not null and lengths are equal. Null, zero and non-finite ones
     link with nothing.
     """
-    spark = vectors.sparkSession
-    v = F.col("vec").cast("array<double>")
     d = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
-    good = save(d.where(F.col("label").isNotNull() & usable(v, F.size("vec"))).groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "classes")
+    good = save(d.where(F.col("label").isNotNull() & usable(F.col("vec").cast("array<double>"), F.size("vec"))).groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "classes")
     members = d.join(good.select("label", "vec", "node"), ["label", "vec"], "left").select("vec_id", "node")
-    schema = "label long, dim int, node long, vec array<double>, perm array<int>"
     p = n_pivots(good.count())
-    # A sample of p vectors, by hash: bounded by n_pivots(), 4096 vectors at most.
-    sample = [r.vec for r in good.select(v.alias("vec"), F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(p).collect()]
+    # A sample of 4 p vectors, by hash: bounded by n_pivots(), 4 x 4096 vectors at most.
+    sample = [r.vec for r in good.select(F.col("vec").cast("array<double>").alias("vec"), F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(4 * p).collect()]
     by_dim: dict[int, list] = {}
     for x in sample:
         by_dim.setdefault(len(x), []).append(x)
-    pivots = {k: (a := np.array(x, float)) / np.linalg.norm(a, axis=1, keepdims=True) for k, x in by_dim.items()}
+    pivots = {}
+    for dim, x in by_dim.items():
+        parts = sections(unit(np.array(x, float)))
+        reach = float(np.sqrt(max(0.0, 2 - 2 * cosine) / len(parts)))
+        pivots[dim] = reach, [spread(s, p, 2 * reach) for s in parts]
 
     def describe(parts):
         for pdf in parts:
             for dim, g in pdf.groupby("dim"):
-                x = np.array(g.vec.tolist(), float)
-                x /= np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                ref = pivots.get(dim)
-                if ref is None:  # no pivot of this length was drawn: one list
-                    perm = np.zeros((len(x), 1), int)
-                else:
-                    k = min(nearest, len(ref))
-                    s = x @ ref.T
-                    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    perm = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-                yield pd.DataFrame({"label": g.label, "dim": dim, "node": g.node, "vec": list(x), "perm": list(perm.astype(np.int32))})
-
-    codes = good.select(F.xxhash64("label").alias("label"), F.size("vec").alias("dim"), "node", v.alias("vec")).mapInPandas(describe, schema)
-    lists = save(codes.withColumn("pivot", F.explode("perm")), "lists")
-    sizes = lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+                lists = [[] for _ in range(len(g))]
+                reach, refs = pivots.get(dim, (0, []))
+                if not refs:  # no vector of this length was drawn: one list
+                    lists = [[0] for _ in lists]
+                for s in range(0, len(g) if refs else 0, 512):
+                    x, first = sections(unit(np.array(g.vec.iloc[s : s + 512].tolist(), float))), 0
+                    for y, ref in zip(x, refs):
+                        for i, k in zip(*map(np.ndarray.tolist, met(y, ref, reach))):
+                            lists[s + i].append(first + k)
+                        first += len(ref)
+                yield pd.DataFrame({"label": g.label, "dim": dim, "node": g.node, "size": g["size"], "vec": g.vec, "met": lists})
+
+    kind = good.schema["vec"].dataType.simpleString()
+    codes = save(good.select(F.xxhash64("label").alias("label"), F.size("vec").alias("dim"), "node", "size", "vec").mapInPandas(describe, f"label long, dim int, node long, size long, vec {kind}, met array<int>"), "codes")
+    lists = codes.withColumn("pivot", F.explode("met"))
+    sizes = lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     dealt = lists.join(sizes, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("label", "dim", "pivot", "own", "node", "vec", "perm", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    dealt = dealt.select("label", "dim", "pivot", "own", "node", "size", "vec", "met", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
 
     def verify(key, pdf):
         pivot, first, second = int(key[2]), key[3], key[4]
-        n = int(max(map(max, pdf.perm))) + 1
-        has = np.zeros((len(pdf), n), np.float32)
-        perm = np.array(pdf.perm.tolist())
-        has[np.arange(len(pdf))[:, None], perm] = 1
-        x, node = np.array(pdf.vec.tolist()), pdf.node.to_numpy()
+        x, node, size = unit(np.array(pdf.vec.tolist(), float)), pdf.node.to_numpy(), pdf["size"].to_numpy(float)
+        flat, owner = np.concatenate(pdf.met.tolist()), np.repeat(np.arange(len(pdf)), [len(m) for m in pdf.met])
+        flat, owner = flat[flat < pivot], owner[flat < pivot]
+
+        def holds(rows):
+            at = np.full(len(pdf), -1)
+            at[rows] = np.arange(len(rows))
+            return flat[at[owner] >= 0], at[owner][at[owner] >= 0]
+
         i = np.flatnonzero(pdf.own.to_numpy() == first)
         j = np.flatnonzero(pdf.own.to_numpy() == second)
-        least = min(share, perm.shape[1])
-        out = []
+        out = [pd.DataFrame({"a": np.array([], "int64"), "b": np.array([], "int64"), "n": np.array([], "int64")})]
         for part in np.array_split(i, max(1, -(-len(i) // 1024))):
-            shared = has[part] @ has[j].T
-            lower = has[part][:, :pivot] @ has[j][:, :pivot].T
-            a, b = np.nonzero((shared >= least) & (lower == 0) & ((node[part][:, None] < node[j][None, :]) if first == second else True))
-            a, b = part[a], j[b]
-            for s in range(0, len(a), 200_000):
-                a_, b_ = a[s : s + 200_000], b[s : s + 200_000]
-                ok = np.einsum("ij,ij->i", x[a_], x[b_]) >= cosine
-                out.append((node[a_][ok], node[b_][ok]))
-        if not out:
-            return pd.DataFrame({"a": np.array([], "int64"), "b": np.array([], "int64")})
-        a, b = map(np.concatenate, zip(*out))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    links = save(dealt.groupBy("label", "dim", "pivot", "first", "second").applyInPandas(verify, "a long, b long"), "links")
+            s = x[part] @ x[j].T
+            ok = s >= cosine - 1e-9
+            if first == second:
+                ok &= node[part][:, None] < node[j][None, :]
+            r, c = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            if not len(r):
+                continue
+            rows, cols, ok, s = part[r], j[c], ok[np.ix_(r, c)], s[np.ix_(r, c)]
+            a, b = np.nonzero(ok & (s < cosine + 1e-9))
+            ok[a, b] = np.einsum("ij,ij->i", x[rows[a]], x[cols[b]]) >= cosine
+            (f, at_f), (g, at_g) = holds(rows), holds(cols)
+            both = np.intersect1d(f, g)
+            for k in range(0, len(both), 1024):  # pairs that share a smaller pivot are verified there
+                some, has = both[k : k + 1024], []
+                for ids, at, n in ((f, at_f, len(rows)), (g, at_g, len(cols))):
+                    m, hit = np.zeros((n, len(some)), np.float32), np.isin(ids, some)
+                    m[at[hit], np.searchsorted(some, ids[hit])] = 1
+                    has.append(m)
+                ok &= has[0] @ has[1].T == 0
+            around, least, big = np.zeros(len(pdf)), node.copy(), np.iinfo(np.int64).max
+            around[rows] += ok @ size[cols]
+            around[cols] += size[rows] @ ok
+            while True:
+                before = least.copy()
+                least[rows] = np.minimum(least[rows], np.where(ok, least[cols][None, :], big).min(1))
+                least[cols] = np.minimum(least[cols], np.where(ok, least[rows][:, None], big).min(0))
+                if (before == least).all():
+                    break
+            at = np.flatnonzero(around)
+            out.append(pd.DataFrame({"a": node[at], "b": least[at], "n": around[at].astype("int64")}))
+        return pd.concat(out)
+
+    links = save(dealt.groupBy("label", "dim", "pivot", "first", "second").applyInPandas(verify, "a long, b long, n long"), "links")
     return members, good.select("node", "size"), links
 
 
@@ -107,10 +180,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, **names) -> DataFrame
     component_id and is kept; a null vec_id stays null. An empty table gives an empty one.
     """
     members, classes, links = similar_vectors(vectors, cosine, **names)
-    both = links.union(links.select("b", "a"))
-    size = classes.withColumnsRenamed({"node": "b", "size": "n"})
-    around = both.join(size, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("around"))
-    comps = connected_components(links, "a", "b").withColumnRenamed("id", "node")
+    around = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("around"))
+    comps = connected_components(links.where("a <> b").select("a", "b").distinct(), "b", "a").withColumnRenamed("id", "node")
     known = classes.join(around, "node", "left").join(comps, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     out = members.join(known, "node", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))

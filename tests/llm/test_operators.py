@@ -86,6 +86,26 @@ def test_op2_brute_force(spark):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op2_finds_all_links_of_a_dense_group(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centre = r.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    vec = np.concatenate((centre + r.normal(scale=0.018, size=(700, 64)), r.normal(size=(1300, 64))))
+    vec[1300:] = vec[600:1300] + r.normal(scale=0.1, size=(700, 64))  # lone pairs, most of them at the cosine or above
+    vec = vec.astype(np.float32).astype(float)
+    label = np.arange(len(vec)) % 2 * (np.arange(len(vec)) >= 700)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(vec), dtype=bool)
+    comp = fx.components(len(vec), list(zip(*map(np.ndarray.tolist, np.nonzero(near)))))
+    low = {c: min(i for i in range(len(vec)) if comp[i] == c) for c in set(comp)}
+    assert 0.1 < near[:700, :700].mean() < 0.9 and near[700:].sum() > 100
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(vec, label))], "vec_id long, embedding array<float>, label int").cache()
+    for n, block in ((256, 2048), (1024, 300), (4096, 2048)):
+        monkeypatch.setattr(pivots, "n_pivots", lambda _, n=n: n)
+        got = {x.vec_id: (x.n_links, x.component_id) for x in pivots.near_vectors(df, block=block).collect()}
+        assert got == {i: (int(near[i].sum()), low[comp[i]]) for i in range(len(vec))}
+
+
 def test_op3_base_scores_and_normalised_model(spark, docs, rows):
     training = byte_cnn.crc_fold(F.col("doc_id"), 7) != 2
     want = fx.base_scores(rows)
