@@ -6,8 +6,8 @@ frequency, within which a word has its share of the counts. All other words form
 has (c+1)/(N+V+1) of that class's counts; unseen words are its last share. So the output is P(class | state) times
 P(word | class, state), and sums to one over all words. Counts of the open class come from a join.
 
-The network is trained by truncated backpropagation on a fixed share of the training documents, in shards whose number
-grows with the data; after each round the shards' parameters are averaged on Spark. Documents are scored whole: lanes
+The network is trained by truncated backpropagation on all training documents, in bounded shards whose number grows
+with the data; after each round the shards' parameters are averaged on Spark. Documents are scored whole: lanes
 of documents run side by side in windows, and the state is carried from window to window, from a document's first word
 to its end.
 """
@@ -278,11 +278,15 @@ def averaged(spark, shards: DataFrame, size: int) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["values"], "<f8") / r.n for r in sorted(rows, key=lambda r: r.block)])[:size]
 
 
-def fit(docs: DataFrame, t: Table, net: Gru, n_words: int, share: int = 32, rounds: int = 3, shard_words: int = 400_000) -> Gru:
-    """Trains on one of `share` documents, by the hash of the text: a fixed share, so it grows with the corpus."""
+def fit(docs: DataFrame, t: Table, net: Gru, n_words: int, share: int = 1, rounds: int = 3, shard_words: int = 400_000) -> Gru:
+    """Trains on all of `docs` in each round (on one of `share`, by the hash of the text, if that is asked for).
+
+    A task streams its documents and closes a shard at `shard_words` words; so shards are bounded, grow in number with
+    the corpus and are cut by rows, wherever copies lie. Each shard starts from the mean of the round before.
+    """
     spark = docs.sparkSession
-    n = max(1, int(n_words // share // shard_words))
-    sample = save(docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(share)) == 0).repartition(n, "h"), "lm_sample")
+    read = docs.select("text") if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    read = read.coalesce(max(1, int(n_words // share // shard_words)))  # small files make no small shards
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.float64()), ("values", pa.binary())])
     size, block = len(net.flat()), 1 << 14
     for _ in range(rounds):
@@ -293,19 +297,28 @@ def fit(docs: DataFrame, t: Table, net: Gru, n_words: int, share: int = 32, roun
             from pyspark import TaskContext
 
             t, net, now = sent.value
-            net.load(now)
-            total, out = 0, np.zeros(size)
-            texts = [x for batch in rows for x in batch.column(0).to_pylist()]
-            for part in batches(texts, 4_000_000):  # a shard's texts are bounded; so is what a pass lays out
-                ids = [np.array([*(t.ids.get(w, len(t.ids)) for w in tokens(x)), t.ids[END]]) for x in part]
-                train(net, t, ids)
-                total += sum(map(len, ids))
-            if total:
+            get, n = t.ids.get, len(t.ids)
+            k = TaskContext.get().partitionId()
+
+            def learnt(shard, total):
+                net.load(now.copy())
+                train(net, t, shard)
                 out = net.flat().astype("<f8") * total
-                k = TaskContext.get().partitionId() % 64
-                yield pa.RecordBatch.from_pylist([{"block": i, "part": k, "n": float(total), "values": out[s : s + block].tobytes()} for i, s in enumerate(range(0, size, block))], schema)
+                return pa.RecordBatch.from_pylist([{"block": i, "part": k % 64, "n": float(total), "values": out[s : s + block].tobytes()} for i, s in enumerate(range(0, size, block))], schema)
+
+            shard, total = [], 0
+            for batch in rows:
+                for part in batches(batch.column(0).to_pylist(), 4_000_000):
+                    for x in part:
+                        shard.append(np.array([*(get(w, n) for w in tokens(x)), t.ids[END]]))
+                        total += len(shard[-1])
+                        if total >= shard_words:
+                            yield learnt(shard, total)
+                            shard, total, k = [], 0, k + 1
+            if total:
+                yield learnt(shard, total)
 
-        mean = averaged(spark, sample.repartition(n, "h").select("text").mapInArrow(learn, "block int, part int, n double, values binary"), size)
+        mean = averaged(spark, read.mapInArrow(learn, "block int, part int, n double, values binary"), size)
         if mean is None:
             return net
         net.load(mean)

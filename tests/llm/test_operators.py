@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scenegrain.llm import bitplanes, budget_mix, byte_cnn, chunks, fragment_jaccard, gru_lm, heap_bpe, pivots, secret_dfa, suffix_decontam, url_temporal
-from scenegrain.sources.tables import shared_dir
+from scenegrain.sources.tables import save, shared_dir
 
 from . import fixtures as fx
 
@@ -156,6 +156,27 @@ def test_op3_gradient():
     assert gru_lm.score(net, t, docs, width=2, window=8).sum() > start
 
 
+def test_op3_learns_from_every_training_document(spark):
+    words = [b"", *(f"w{i}".encode() for i in range(30))]
+    t = gru_lm.frequent_table(words, np.full(len(words), 5.0), 200, soft=8, bins=2)
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randint(0, 30))) for _ in range(15)] + ["w1 w2 w3 w99"] * 30
+    df = save(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1))
+    texts = [x.text for x in df.collect()]  # in the order of the one file
+    ids = [np.array([*(t.ids.get(w, len(t.ids)) for w in gru_lm.tokens(x)), t.ids[b""]]) for x in texts]
+    shards = [[]]
+    for x in ids:  # the 30 copies are in several shards
+        shards[-1].append(x)
+        if sum(map(len, shards[-1])) >= 60:
+            shards.append([])
+    want, total = gru_lm.Gru(t, hidden=4), 0
+    for s in filter(None, shards):
+        total = total + gru_lm.train(gru_lm.Gru(t, hidden=4), t, s).flat().astype(float) * sum(map(len, s))
+    want.load(total / sum(map(len, ids)))
+    got = gru_lm.fit(df, t, gru_lm.Gru(t, hidden=4), sum(map(len, ids)), rounds=1, shard_words=60)
+    assert len(shards) > 5 and np.allclose(got.flat(), want.flat(), atol=1e-5)
+
+
 def test_op4_matches_library(spark, docs, rows, lib):
     got = collections.Counter(map(tuple, heap_bpe.count_tokens(docs, PATH).collect()))
     assert got == collections.Counter((i, len((t or "").encode()), n := len(ids_of(lib, t)), n > 512) for i, t in rows)
