@@ -586,6 +586,12 @@ def q_after_marker(spark, d):
     return table(spark, d, "conversations").where(r"text IS NOT NULL AND NOT text RLIKE '[^\\x00-\\x7F]'").select("conv_id", "turn", s.after_marker(F.concat(F.lit("ask [/INST] "), "text")).alias("t"))
 
 
+@q("q_after_marker_all")
+def q_after_marker_all(spark, d):
+    """All conversations, those with null or non-ASCII texts too, which q_after_marker and its SQL leave out: engines lower these differently."""
+    return table(spark, d, "conversations").select("conv_id", "turn", s.after_marker(F.concat(F.lit("ask [/INST] "), "text")).alias("t"))
+
+
 @q("q_tokens", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) WHERE w <> '' GROUP BY 1")
 def q_tokens(spark, d):
     return table(spark, d, "conversations").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
