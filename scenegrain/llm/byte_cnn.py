@@ -102,29 +102,39 @@ def clean(text: str | None) -> bytes:
 
 
 def learn(docs: DataFrame, train: Column, per_label: int = 300, windows_per_doc: int = 8, epochs: int = 6, text_col: str = "text", lang_col: str = "lang") -> Net:
-    """Trains on a bounded sample: `per_label` documents of each language, those with the smallest hashes.
+    """Trains on a bounded sample: `per_label` different texts of each language, those with the smallest hashes, and of
+    each text up to `windows_per_doc` windows, spread over the whole of it.
 
-    Fitting alone is sampled. The number of languages is that of the labels, at most 1000. From the counts of the labels
-    follows a share of hashes that holds about twice per_label texts of each; only those, without repeats, come to the
-    driver, which keeps the per_label smallest.
+    Fitting alone is sampled. The number of languages is that of the labels; more than 1000 raise a ValueError. From the
+    counts of different texts with a letter follows a share of hashes that holds about twice per_label of each; only
+    those, without repeats, come to the driver, which keeps the per_label smallest. Languages of which fewer came than
+    there are are drawn again with a larger share.
     """
     d = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), train.alias("t")).where("t AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = {r.lang: r["count"] for r in d.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
-    langs, texts, y = sorted(sizes), [], []
-    if langs:
-        share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1 << 31, -(-(2 * per_label << 31) // sizes[k])))))
-        drawn = d.where(F.pmod("h", F.lit(1 << 31)) < share[F.col("lang")]).dropDuplicates(["lang", "h"])
-        taken = dict.fromkeys(langs, 0)
-        for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.h % (1 << 31), r.h)):
-            if taken[r.lang] < per_label and any(map(str.isalpha, r.text)):
-                taken[r.lang] += 1
-                texts.append(clean(r.text))
-                y.append(langs.index(r.lang))
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))
+    sizes = {r.lang: r.n for r in d.groupBy("lang").agg(F.countDistinct(lettered).alias("n")).limit(1001).collect()}
+    if len(sizes) > 1000:
+        raise ValueError("more than 1000 languages")
+    langs, texts, y, full = sorted(sizes), [], [], 1 << 31
+    shares = {k: min(full, -(-2 * per_label * full // n)) for k, n in sizes.items() if n}
+    while shares:
+        share = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))
+        drawn = d.where((F.pmod("h", F.lit(full)) < share[F.col("lang")]) & lettered.isNotNull()).dropDuplicates(["lang", "h"])
+        got: dict[str, list[str]] = {k: [] for k in shares}
+        for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.h % full, r.h)):
+            if len(got[r.lang]) < per_label and any(map(str.isalpha, r.text)):
+                got[r.lang].append(r.text)
+        again = {k: min(full, 2 * s) for k, s in shares.items() if len(got[k]) < min(per_label, sizes[k]) and s < full}
+        for k in sorted(got.keys() - again.keys()):
+            texts += map(clean, got[k])
+            y += [langs.index(k)] * len(got[k])
+        shares = again
     net = Net(langs)
     if texts:
         w, owner, n = cut_windows(texts)
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        ok = (n >= 24) & (rank < windows_per_doc)
+        k = np.maximum(np.bincount(owner[n >= 24], minlength=len(texts)), windows_per_doc)[owner]
+        ok = (n >= 24) & ((rank + 1) * windows_per_doc // k > rank * windows_per_doc // k)
         ok = ok if ok.any() else n > 0
         net.train(w[ok], np.array(y)[owner[ok]], epochs)
     return net

@@ -201,6 +201,21 @@ def test_op5_held_out_accuracy(spark):
     assert byte_cnn.predict_languages(df.limit(0)).count() == 0
 
 
+def test_op5_fits_on_different_texts_and_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(byte_cnn.Net, "train", lambda self, win, y, epochs: seen.append((win, y)))
+    data = [("a", "only one text that is repeated")] * 2000 + [("a", f"a text of its own, number {i}") for i in range(100)] + [("a", f"{i} 12") for i in range(50)]
+    data += [("b", "".join(f"part {i:03d} of a long text " .ljust(256, ".") for i in range(40)))]
+    df = spark.createDataFrame(data, "lang string, text string")
+    byte_cnn.learn(df, F.lit(True))
+    win, y = seen[0]
+    assert (y == 0).sum() == 101 and (y == 1).sum() == 8
+    assert {bytes(w[5:8]) for w in win[y == 1]} == {b"%03d" % i for i in range(4, 40, 5)}
+    many = spark.range(1001).select(F.col("id").cast("string").alias("lang"), F.lit("text").alias("text"))
+    with pytest.raises(ValueError):
+        byte_cnn.learn(many, F.lit(True))
+
+
 def test_op6_brute_force(spark, docs, rows):
     some = [t for _, t in rows if t and len(t.split()) > 40]
     bench = [(1, " ".join(some[0].split()[5:30])), (2, "one two"), (10, " ".join(some[3].split()[:13])), (11, None), (12, ""), (13, "..."), (14, some[4].upper()), (15, "seven WORDS"), (2, "one two")]
