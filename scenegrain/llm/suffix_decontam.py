@@ -3,7 +3,7 @@
 A shard is a batch of documents in a task. Its suffix array has, in word order, the suffixes that can hold a window of
 the benchmark: those that start with a run of benchmark words as long as the shortest window. Every suffix of the
 benchmark is binary-searched in every shard; its range gives all places that agree for a whole window, and runs of
-such places give the longest verbatim matches. Documents stay where they are: there is no shuffle.
+such places give the spans of hit words, whichever items they are of. Documents stay where they are: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start
 
 
 def found(bench: Bench, text: Column) -> Column:
-    """Struct of FOUND for each text; spans are the longest runs of hit words."""
+    """Struct of FOUND for each text; spans are the longest runs of hit words, of one item or several."""
 
     @pandas_udf(FOUND)
     def look(s: pd.Series) -> pd.DataFrame:
@@ -149,7 +149,7 @@ def bench_blocks(benchmark: DataFrame, max_bytes: int = 32_000_000, id_col: str
     """The benchmark in blocks of bounded size, each checked before it is sent to the executors: items come to the
     driver a partition at a time, and a block is closed when it holds `max_bytes` of text."""
     block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     for r in rows.toLocalIterator():
         block.append((r.i, r.t))
         size += len(r.t)
@@ -178,7 +178,8 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: a row for each row of `docs`.
 
-    Null and empty texts have no words and no hits. Null items count as absent; rows of an equal item_id are one item. An empty
+    Null and empty texts have no words and no hits. Null item texts count as absent; rows of an equal
+    item_id are one item, and so are those with a null one, which is counted in n_items and not part of items_sha256. An empty
     benchmark hits nothing. Other columns are not read.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

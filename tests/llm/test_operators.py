@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -230,6 +231,16 @@ def test_op6_brute_force(spark, docs, rows):
     assert suffix_decontam.contamination(fx.empty(spark), b).count() == 0
 
 
+def test_op6_items_without_id_hit(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "other words")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, " ".join(words[3:20])), (None, " ".join(words[5:22])), (7, " ".join(words[5:20])), (None, None)], "item_id long, text string")
+    for size in (32_000_000, 60):
+        got = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in suffix_decontam.contamination(docs, b, max_bytes=size).collect()}
+        assert got == {1: (19, 2, hashlib.sha256(b"7").hexdigest(), True), 2: (0, 0, hashlib.sha256(b"").hexdigest(), False)}
+    assert [x.doc_id for x in suffix_decontam.decontaminate(docs, b).collect()] == [2]
+
+
 def test_op7_brute_force(spark, docs, rows):
     got = collections.Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex) for x in secret_dfa.scan_secrets(docs).collect())
     want = collections.Counter()
