@@ -17,36 +17,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenegrain.llm.chunks import TwoGenerations, chunks
+from scenegrain.llm.chunks import ANY_SPACE, TwoGenerations, chunks
 from scenegrain.llm.heap_bpe import batches
 
 CHUNK = "shard int, chunk int, n_ids long, before long, block int, width int, bit_planes boolean, doc_ids array<long>, doc_sizes array<int>, plane_ends array<int>, planes binary"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; what it gives for a chunk is kept in a bounded cache."""
+    """Ids of whole texts by the tokenizers library; what it gives for a chunk is kept in a cache with a bound in bytes.
 
-    def __init__(self, path: str, cache: int = 300_000):
+    New chunks without white space are handed to the library in runs, joined by spaces, and the ids cut where a token
+    starts with the space mark, which stands in front of each of them and nowhere else.
+    """
+
+    def __init__(self, path: str, cache: int = 80_000_000, run: int = 2000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
-        self.cache = TwoGenerations(cache)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        self.cache, self.run = TwoGenerations(cache), run
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.marks = np.zeros(max(vocab.values()) + 1, bool)
+        self.marks[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks: "\\0 " stands before the first one of a text, all others follow a space."""
+        out: list[bytes] = [b""] * len(new)
+        alone = any(" " in s for s in self.special)
+        joined = [] if alone else [i for i, w in enumerate(new) if w and not ANY_SPACE.search(w)]
+        for s in range(0, len(joined), self.run):
+            part = joined[s : s + self.run]
+            (ids,) = self.encode([" " + " ".join([new[i] for i in part])])
+            cut = np.append(np.flatnonzero(self.marks[ids]), len(ids))
+            if len(cut) != len(part) + 1:  # not a byte-level vocabulary: each on its own, below
+                continue
+            raw, at = ids.tobytes(), (cut * 4).tolist()
+            for i, a, z in zip(part, at, at[1:]):
+                out[i] = raw[a:z]
+        rest = [i for i, x in enumerate(out) if not x]
+        for i, ids in zip(rest, self.encode([w[2:] if w[:2] == "\0 " else " " + w for w in (new[i] for i in rest)])):
+            out[i] = ids.tobytes()
+        return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t, self.special) for t in texts]
         for c in cut:
             if c:
                 c[0] = "\0 " + c[0]  # no other chunk has a space: the first one, without a space before it
-        self.cache.resolve(set().union(*(c for c in cut if c)), lambda new: self.encode([w[2:] if w[:2] == "\0 " else " " + w for w in new]))
+        self.cache.resolve(set().union(*(c for c in cut if c)), self.pieces)
         get = self.cache.__getitem__
         whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
-        return [np.frombuffer(next(whole) if c is None else b"".join(map(get, c)), "<u4") for c in cut]
+        return [next(whole) if c is None else np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
 
 
 @lru_cache(2)
@@ -94,13 +120,15 @@ def packed(shard: int, chunk: int, before: int, docs: list, parts: list[np.ndarr
 def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, block: int = 16_384, chunk_ids: int = 262_144, bits: bool = False, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes `path`/chunks and `path`/index with Spark's writers.
 
-    Documents are dealt by ranges of doc_id, one shard a task. A document that is longer than a chunk is a chunk of its
-    own. Null texts are empty (only the end id), null ids come first, equal ids are ordered by their text's hash. An
+    Documents are dealt by ranges of doc_id and their text's hash, one shard a task; so rows of one id, or without an id,
+    may be in several shards. A chunk is closed after the document with which it reaches `chunk_ids` ids, however long
+    that is. Null texts are empty (only the end id), null ids come first, equal ids are ordered by their text's hash. An
     empty table gives empty files. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("before", pa.int64()), ("block", pa.int32()), ("width", pa.int32()), ("bit_planes", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32())), ("plane_ends", pa.list_(pa.int32())), ("planes", pa.binary())])
 
     def encode(rows):

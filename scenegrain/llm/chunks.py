@@ -24,24 +24,44 @@ def chunks(text: str, special: tuple[str, ...]) -> list[str] | None:
     return text.split(" ")
 
 
+#: White space of any kind: a piece without it can stand beside others.
+ANY_SPACE = re.compile(f"[{SPACES}\x1c-\x1f]")
+#: What an entry of a cache takes besides its key and value: two objects and their places in a dictionary.
+ENTRY = 200
+
+
 class TwoGenerations(dict):
-    """A cache with a bound: at half of it the entries become the old generation, from which hits come back."""
+    """A cache with a bound in bytes: at half of it the entries become the old generation, from which hits come back.
 
-    def __init__(self, bound: int):
+    Keys of more than `longest` characters (texts without spaces, base64) are kept for one call of resolve() only.
+    """
+
+    def __init__(self, room: int, longest: int = 64):
         super().__init__()
         self.old: dict = {}
-        self.half = bound // 2
+        self.passing: dict = {}
+        self.half, self.held, self.longest = room // 2, 0, longest
+
+    def __missing__(self, key):
+        return self.passing[key]
 
     def resolve(self, keys: set, make) -> None:
         """Afterwards all `keys` are in the cache; `make` gets a list of new keys and returns their values."""
-        if len(self) > self.half:
-            self.old = dict(self)
+        if self.held > self.half:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.passing = {}
         new = []
         for k in keys.difference(self):
             if (v := self.old.get(k)) is None:
                 new.append(k)
             else:
                 self[k] = v
+                self.held += ENTRY + len(k)
         if new:
-            self.update(zip(new, make(new)))
+            for k, v in zip(new, make(new)):
+                if len(k) > self.longest:
+                    self.passing[k] = v
+                else:
+                    self[k] = v
+                    self.held += ENTRY + len(k)

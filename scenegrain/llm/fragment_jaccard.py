@@ -178,7 +178,7 @@ def packed_runs(bucket: np.ndarray, node: np.ndarray, n: np.ndarray, values: np.
     return [(int(of[a]), runs[a:z].tobytes(), values[at[a] : at[z]].tobytes()) for a, z in zip(first, last)]
 
 
-def shared_shingles(docs: DataFrame, members: DataFrame, k: int = K, t: int = 75, per_bucket: int = 2_000_000, least_common: int = 16, many_copies: int = 1000) -> DataFrame:
+def shared_shingles(docs: DataFrame, members: DataFrame, k: int = K, t: int = 75, per_bucket: int = 500_000, least_common: int = 16, many_copies: int = 1000) -> DataFrame:
     """(node, n, common, keys): the shingles that at least two nodes have, of the nodes that have enough of them to reach the
     threshold, as ascending keys of the global order; `common` is their mean frequency on a logarithmic scale.
 

@@ -56,7 +56,7 @@ def merged_count(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int
 class Counter:
     """Counts tokens as the library does for a byte-level BPE file; built once in each Python worker."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 70_000_000):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))

@@ -43,8 +43,16 @@ def test_chunk_counts_and_ids_match_library_on_random_text(lib):
     bits = [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", "a", "The", "'s", "'ll", "12", "é", "漢", "!!", ".", "<|endoftext|>", "🙂", "²", "é"]
     ts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     want = [ids_of(lib, t) for t in ts]
-    assert heap_bpe.Counter(PATH, 200).counts(ts) == [len(w) for w in want]
-    assert [x.tolist() for x in bitplanes.Encoder(PATH, 200).ids(ts)] == want
+    # A long text without spaces, one with a space a character, bytes of base64, and repeats that the cache has dropped.
+    ts += ["漢字仮名" * 5000, "aGVsbG8gd29ybGQh" * 4000, " ".join(map(chr, range(0x4E00, 0x6E00))), "one word " * 10_000] + ts[:500]
+    want = [ids_of(lib, t) for t in ts]
+    for room in (0, 40_000, 80_000_000):
+        for part in (1, 700):
+            c, e = heap_bpe.Counter(PATH, room), bitplanes.Encoder(PATH, room, run=7 if room else 2000)
+            parts = [ts[k : k + part] for k in range(0, len(ts), part)][:: 1 if part > 1 else 9]
+            assert [n for x in parts for n in c.counts(x)] == [len(ids_of(lib, t)) for x in parts for t in x]
+            assert [i.tolist() for x in parts for i in e.ids(x)] == [ids_of(lib, t) for x in parts for t in x]
+    assert [x.tolist() for x in bitplanes.Encoder(PATH).ids(ts)] == want
     assert chunks.chunks("a b", ()) == ["a", "b"] and chunks.chunks("a   b", ()) is None
 
 
