@@ -9,70 +9,136 @@ the number of ids before it in its shard.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenegrain.llm.chunks import ANY_SPACE, TwoGenerations, chunks
-from scenegrain.llm.heap_bpe import batches
+from scenegrain.llm.chunks import SPACES, Pieces, cuttable, spaced
+from scenegrain.llm.heap_bpe import batches, byte_chars
 
 CHUNK = "shard int, chunk int, n_ids long, before long, block int, width int, bit_planes boolean, doc_ids array<long>, doc_sizes array<int>, plane_ends array<int>, planes binary"
 
 
+#: Letters of the Latin blocks that all versions of Unicode have, and common punctuation.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
+#: A word that the split pattern parts from the mark behind it and the line feed before it, whatever is around.
+PLAIN = rf"^\n?[{LETTERS}]+[{MARKS}]?$"
+#: A piece without white space inside: it can stand beside others.
+SOLID = f"^\n?[^{SPACES}\x1c-\x1f]+$"
+
+
+def ranges(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[start : start + size] of all the pairs, one after another."""
+    start, size = start[size > 0], size[size > 0]
+    if not len(size):
+        return pool[:0]
+    ends = np.cumsum(size)
+    step = np.ones(int(ends[-1]), np.int64)
+    step[ends - size] = start - np.append(0, start + size - 1)[:-1]
+    return pool[np.cumsum(step, out=step)]
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; what it gives for a chunk is kept in a cache with a bound in bytes.
+    """Ids of whole texts by the tokenizers library, which sees each different piece of a batch once.
 
-    New chunks without white space are handed to the library in runs, joined by spaces, and the ids cut where a token
-    starts with the space mark, which stands in front of each of them and nowhere else.
+    Pieces are handed to the library in runs and their ids cut where a token starts with the space mark or is the line
+    feed, which stand in front of a piece and nowhere else. Plain words of a byte-level vocabulary go to it without the
+    mark behind them and split already, others joined; pieces with white space inside go one by one. Nothing is kept from
+    batch to batch.
     """
 
-    def __init__(self, path: str, cache: int = 80_000_000, run: int = 2000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, run: int = 2000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
+        self.lib, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for lib in (self.lib, self.bare):
+            lib.no_truncation()
+            lib.no_padding()
+        spec = json.loads(self.lib.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        byte_level = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec.get("normalizer")
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
-        self.cache, self.run = TwoGenerations(cache), run
+        self.run = run if byte_level and not any(" " in s or "\n" in s for s in self.special) else 0
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.chars = byte_chars()
         vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.marks = np.zeros(max(vocab.values()) + 1, bool)
-        self.marks[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of chunks: "\\0 " stands before the first one of a text, all others follow a space."""
-        out: list[bytes] = [b""] * len(new)
-        alone = any(" " in s for s in self.special)
-        joined = [] if alone else [i for i, w in enumerate(new) if w and not ANY_SPACE.search(w)]
-        for s in range(0, len(joined), self.run):
-            part = joined[s : s + self.run]
-            (ids,) = self.encode([" " + " ".join([new[i] for i in part])])
-            cut = np.append(np.flatnonzero(self.marks[ids]), len(ids))
-            if len(cut) != len(part) + 1:  # not a byte-level vocabulary: each on its own, below
-                continue
-            raw, at = ids.tobytes(), (cut * 4).tolist()
-            for i, a, z in zip(part, at, at[1:]):
-                out[i] = raw[a:z]
-        rest = [i for i, x in enumerate(out) if not x]
-        for i, ids in zip(rest, self.encode([w[2:] if w[:2] == "\0 " else " " + w for w in (new[i] for i in rest)])):
-            out[i] = ids.tobytes()
-        return out
+        self.heads = np.zeros(max(vocab.values()) + 1, bool)
+        self.heads[[i for t, i in vocab.items() if t[:1] == self.chars[32] or t == self.chars[10]]] = True
+        behind = self.encode(list(MARKS)) if self.run else []
+        self.behind = np.array([x[0] for x in behind], "<u4")
+        self.run = self.run if all(len(x) == 1 for x in behind) else 0
+
+    def encode(self, texts: list, lib=None, **names) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (lib or self.lib).encode_batch_fast(texts, add_special_tokens=False, **names)]
+
+    def split(self, words: list[str]) -> np.ndarray:
+        """Ids of words that start with a space or a line feed, one after another."""
+        mapped = "\0".join(words).replace("\n", "\n\0").encode().decode("latin-1").translate(self.chars)
+        return self.encode([mapped.split(self.chars[0])], self.bare, is_pretokenized=True)[0]
+
+    def in_runs(self, words: list[str], ids_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, number) of words that start with a space or a line feed; a run that can't be cut goes one by one."""
+        start, size, pool, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for s in range(0, len(words), self.run or 1):
+            part = words[s : s + (self.run or 1)]
+            ids = ids_of(part)
+            cut = np.append(np.flatnonzero(self.heads[ids]), len(ids))
+            if len(cut) != len(part) + 1:
+                each = self.encode(part)
+                ids, cut = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
+            start[s : s + len(part)], size[s : s + len(part)] = cut[:-1] + total, np.diff(cut)
+            pool.append(ids)
+            total += len(ids)
+        return np.concatenate(pool) if pool else np.zeros(0, "<u4"), start, size
+
+    def pooled(self, p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, number) of all different pieces: the values, then the firsts."""
+        n = len(p.values)
+        plain = pc.match_substring_regex(p.values, PLAIN).to_numpy(zero_copy_only=False) & bool(self.run)
+        solid = pc.match_substring_regex(p.values, SOLID).to_numpy(zero_copy_only=False) & ~plain & bool(self.run)
+        start, size, pool, total = np.zeros(n + len(p.firsts), np.int64), np.zeros(n + len(p.firsts), np.int64), [], 0
+
+        def put(at, ids, first, count):
+            nonlocal total
+            start[at], size[at] = first + total, count
+            pool.append(ids)
+            total += len(ids)
+
+        words = p.values.filter(pa.array(plain))
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        coded = stems.dictionary_encode()
+        ids, first, count = self.in_runs(spaced(coded.dictionary), self.split)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        # A word is its stem and, if there is one, the mark behind it.
+        mark = pc.index_in(pc.utf8_slice_codeunits(words, -1), pa.array(list(MARKS), pa.large_string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(count[which] + (mark >= 0))
+        made = np.empty(ends[-1] if len(ends) else 0, "<u4")
+        last = np.zeros(len(made), bool)
+        last[ends[mark >= 0] - 1] = True
+        made[last], made[~last] = self.behind[mark[mark >= 0]], ranges(ids, first[which], count[which])
+        put(np.flatnonzero(plain), made, ends - count[which] - (mark >= 0), count[which] + (mark >= 0))
+        put(np.flatnonzero(solid), *self.in_runs(spaced(p.values.filter(pa.array(solid))), lambda part: self.encode(["".join(part)])[0]))
+        rest = ~(plain | solid)
+        each = self.encode(spaced(p.values.filter(pa.array(rest))) + p.firsts)
+        count = np.array([len(x) for x in each], np.int64)
+        put(np.append(np.flatnonzero(rest), np.arange(n, len(size))), np.concatenate(each) if each else np.zeros(0, "<u4"), np.cumsum(count) - count, count)
+        return np.concatenate(pool), start, size
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [chunks(t, self.special) for t in texts]
-        for c in cut:
-            if c:
-                c[0] = "\0 " + c[0]  # no other chunk has a space: the first one, without a space before it
-        self.cache.resolve(set().union(*(c for c in cut if c)), self.pieces)
-        get = self.cache.__getitem__
+        cut = [cuttable(t, self.special) for t in texts]
         whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
+        p = Pieces.of([c for c in cut if c is not None])
+        pool, start, size = self.pooled(p)
+        n = size[p.which]
+        ends = np.append(0, np.cumsum(n))[np.append(p.heads[1:], len(n))] if len(p.heads) else p.heads
+        parts = iter(np.split(ranges(pool, start[p.which], n), ends[:-1]))
+        return [next(whole) if c is None else next(parts) for c in cut]
 
 
 @lru_cache(2)
@@ -141,7 +207,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in rows:
             keys = batch.column(0).to_pylist()
             at = 0
-            for texts in batches(batch.column(1).to_pylist()):
+            for texts in batches(batch.column(1).to_pylist(), 24_000_000):
                 out = []
                 for key, x in zip(keys[at : at + len(texts)], enc.ids(texts)):
                     ids.append(key)

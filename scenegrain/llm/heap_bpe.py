@@ -6,12 +6,13 @@ import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from scenegrain.llm.chunks import SPACES, TwoGenerations, chunks
+from scenegrain.llm.chunks import SPACES, Pieces, TwoGenerations, cuttable
 
 #: Fixed value: how byte-level vocabularies write bytes as characters: printable ones as themselves, the rest from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,11 +83,11 @@ class Counter:
         return len(self.parts.findall(text)) + sum(self.plain(x) for x in self.parts.split(text))
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [chunks(t, self.special) for t in texts]
-        keys = set().union(*(c[1:] for c in cut if c))
-        self.cache.resolve(keys, lambda new: [self.plain(" " + w) for w in new])
-        get = self.cache.__getitem__
-        return [self.whole(t) if c is None else self.plain(c[0]) + sum(map(get, c[1:])) for t, c in zip(texts, cut)]
+        cut = [cuttable(t, self.special) for t in texts]
+        p = Pieces.of([c for c in cut if c is not None])
+        n = self.cache.values_of(p.all(), lambda new: list(map(self.plain, new)))
+        sums = iter(np.add.reduceat(np.array(n, np.int64)[p.which], p.heads).tolist() if n else ())
+        return [self.whole(t) if c is None else next(sums) for t, c in zip(texts, cut)]
 
 
 @lru_cache(2)
@@ -113,7 +114,7 @@ def token_count(text: Column, path: str) -> Column:
     @pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         c = counter(path)
-        return pd.Series([n for part in batches([t or "" for t in s]) for n in c.counts(part)], dtype="int64")
+        return pd.Series([n for part in batches([t or "" for t in s], 24_000_000) for n in c.counts(part)], dtype="int64")
 
     return count(text)
 

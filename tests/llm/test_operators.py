@@ -48,12 +48,12 @@ def test_chunk_counts_and_ids_match_library_on_random_text(lib):
     want = [ids_of(lib, t) for t in ts]
     for room in (0, 40_000, 80_000_000):
         for part in (1, 700):
-            c, e = heap_bpe.Counter(PATH, room), bitplanes.Encoder(PATH, room, run=7 if room else 2000)
+            c, e = heap_bpe.Counter(PATH, room), bitplanes.Encoder(PATH, run=7 if room else 2000)
             parts = [ts[k : k + part] for k in range(0, len(ts), part)][:: 1 if part > 1 else 9]
             assert [n for x in parts for n in c.counts(x)] == [len(ids_of(lib, t)) for x in parts for t in x]
             assert [i.tolist() for x in parts for i in e.ids(x)] == [ids_of(lib, t) for x in parts for t in x]
     assert [x.tolist() for x in bitplanes.Encoder(PATH).ids(ts)] == want
-    assert chunks.chunks("a b", ()) == ["a", "b"] and chunks.chunks("a   b", ()) is None
+    assert chunks.cuttable("a b\nc", ()) == "a b \nc" and chunks.cuttable("a   b", ()) is None
 
 
 def test_op1_round_trip(spark, docs, rows, lib):
