@@ -3,8 +3,8 @@
 Each rule is a regular expression over bytes. It is parsed into a non-deterministic automaton that may start anywhere,
 made deterministic by subset construction and minimised; the automata of all rules are then combined into one, by sets
 of their states, and minimised again. The result is a transition array that reads each byte of a text once, whatever
-the number of rules. Where it accepts, the rule's own automata (the same construction,
-forwards from a start, and backwards from an end) give the leftmost start and the longest end.
+the number of rules. Where it accepts, the rule's own automata (the same construction, forwards from a start, and
+backwards from an end) give the leftmost start and the longest end; they read a byte a fixed number of times.
 """
 
 from __future__ import annotations
@@ -266,7 +266,8 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         trees = [("cat", [Parser(r.head, r.any_case).either(), Parser(r.pattern, False).either()]) for r in rules]
-        self.all = combined([compiled([t], True) for t in trees])
+        self.anywhere = [compiled([t], True) for t in trees]
+        self.all = combined(self.anywhere)
         self.forward = [compiled([t], False) for t in trees]
         self.backward = [compiled([reverse(t)], False) for t in trees]
         self.heads = [compiled([Parser(r.head, r.any_case).either()], False) if r.head else None for r in rules]
@@ -298,6 +299,7 @@ class Scanner:
         data = text.encode("utf-8", "replace")
         move, first, accepts = self.table, self.first, self.ends
         done = [0] * len(self.rules)
+        again: list[tuple[int, int]] = [(0, -1)] * len(self.rules)
         out = []
         s = 0
         for i, b in enumerate(data.translate(self.bytes)):
@@ -306,12 +308,19 @@ class Scanner:
                 for r in accepts[s]:
                     if i < done[r]:
                         continue
-                    size = self.longest(self.backward[r], data, range(i, done[r] - 1, -1))
-                    if not size:
-                        continue
-                    a = i + 1 - size
+                    # What accepts may have begun before the end of the rule's last match: the rule's own automaton,
+                    # started anew there, tells. It reads on from where it stood, so each byte once.
+                    state, at = again[r]
+                    if at >= 0:
+                        own = self.anywhere[r]
+                        for b in data[at : i + 1]:
+                            state = own.move[state + b]
+                        again[r] = state, i + 1
+                        if state < own.first:
+                            continue
+                    a = i + 1 - self.longest(self.backward[r], data, range(i, done[r] - 1, -1))
                     e = a + self.longest(self.forward[r], data, range(a, len(data)))
-                    done[r] = e
+                    done[r], again[r] = e, (0, e)
                     rule = self.rules[r]
                     value = e - a - (self.longest(self.heads[r], data, range(a, e)) if rule.head else 0)
                     if value >= rule.least:
@@ -347,7 +356,8 @@ def scan_secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED, id_col: str =
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: a row for each row of `docs`, in place.
 
     Spans are kind:start:end in code points, end exclusive, by start, then by the order of the rules. Within a kind
-    they don't overlap; kinds may overlap each other. Null and empty texts have none. Other columns are not read.
+    they don't overlap; kinds may overlap each other. Null and empty texts have none; the time for a text grows with its
+    length alone. Repeated rows and null ids stay, an empty table gives an empty one, other columns are not read.
     """
     rules = BASE + tuple(added)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
