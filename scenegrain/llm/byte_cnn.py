@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -101,42 +101,42 @@ def clean(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
 
-def learn(docs: DataFrame, train: Column, per_label: int = 300, windows_per_doc: int = 8, epochs: int = 6, text_col: str = "text", lang_col: str = "lang") -> Net:
-    """Trains on a bounded sample: `per_label` different texts of each language, those with the smallest hashes, and of
-    each text up to `windows_per_doc` windows, spread over the whole of it.
+def learn(docs: DataFrame, train: Column, per_label: int = 300, most_bytes: int = 64_000_000, epochs: int = 6, text_col: str = "text", lang_col: str = "lang") -> Net:
+    """Trains on a bounded sample of labelled rows, each with its whole text.
 
-    Fitting alone is sampled. The number of languages is that of the labels; more than 1000 raise a ValueError. From the
-    counts of different texts with a letter follows a share of hashes that holds about twice per_label of each; only
-    those, without repeats, come to the driver, which keeps the per_label smallest. Languages of which fewer came than
-    there are are drawn again with a larger share.
+    The bound: of each language the texts with the smallest hashes, different ones with a letter, at most `per_label` of
+    them and no more once they fill the language's share of `most_bytes`, but one at least. All windows of these texts are
+    fitted on. From the counts of different texts follows a share of hashes that holds about twice per_label of each; only
+    those are ranked, and only the sample comes to the driver. Languages of which fewer were drawn than there are are drawn
+    again with a larger share. What is sampled grows with the number of languages alone.
     """
     d = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), train.alias("t")).where("t AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
     lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))
-    sizes = {r.lang: r.n for r in d.groupBy("lang").agg(F.countDistinct(lettered).alias("n")).limit(1001).collect()}
-    if len(sizes) > 1000:
-        raise ValueError("more than 1000 languages")
+    sizes = {r.lang: r.n for r in d.groupBy("lang").agg(F.countDistinct(lettered).alias("n")).collect()}
     langs, texts, y, full = sorted(sizes), [], [], 1 << 31
-    shares = {k: min(full, -(-2 * per_label * full // n)) for k, n in sizes.items() if n}
+    room = most_bytes // max(1, len(sizes))
+    number = {k: i for i, k in enumerate(langs)}
+    shares = {k: min(full, -(-(2 * per_label + 20) * full // n)) for k, n in sizes.items() if n}
     while shares:
-        share = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))
-        drawn = d.where((F.pmod("h", F.lit(full)) < share[F.col("lang")]) & lettered.isNotNull()).dropDuplicates(["lang", "h"])
+        share = docs.sparkSession.createDataFrame(list(shares.items()), "of string, share long")
+        drawn = d.join(share, F.col("lang") == F.col("of")).where((F.pmod("h", F.lit(full)) < F.col("share")) & lettered.isNotNull()).dropDuplicates(["lang", "h"])
+        before = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(full)), "h").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = drawn.select("lang", "text", "h", F.count("*").over(before).alias("rank"), F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("bytes"))
         got: dict[str, list[str]] = {k: [] for k in shares}
-        for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.h % full, r.h)):
-            if len(got[r.lang]) < per_label and any(map(str.isalpha, r.text)):
-                got[r.lang].append(r.text)
-        again = {k: min(full, 2 * s) for k, s in shares.items() if len(got[k]) < min(per_label, sizes[k]) and s < full}
+        closed = set()
+        for r in sorted(ranked.where((F.col("rank") < per_label) & (F.col("bytes") < room)).collect(), key=lambda r: (r.lang, r["rank"])):
+            got[r.lang].append(r.text)
+            if r.bytes + len(r.text.encode()) >= room:
+                closed.add(r.lang)
+        again = {k: min(full, 2 * s) for k, s in shares.items() if len(got[k]) < min(per_label, sizes[k]) and s < full and k not in closed}
         for k in sorted(got.keys() - again.keys()):
             texts += map(clean, got[k])
-            y += [langs.index(k)] * len(got[k])
+            y += [number[k]] * len(got[k])
         shares = again
     net = Net(langs)
     if texts:
-        w, owner, n = cut_windows(texts)
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        k = np.maximum(np.bincount(owner[n >= 24], minlength=len(texts)), windows_per_doc)[owner]
-        ok = (n >= 24) & ((rank + 1) * windows_per_doc // k > rank * windows_per_doc // k)
-        ok = ok if ok.any() else n > 0
-        net.train(w[ok], np.array(y)[owner[ok]], epochs)
+        w, owner, _ = cut_windows(texts)
+        net.train(w, np.array(y)[owner], epochs)
     return net
 
 

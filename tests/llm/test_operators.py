@@ -241,11 +241,39 @@ def test_op5_fits_on_different_texts_and_whole_texts(spark, monkeypatch):
     df = spark.createDataFrame(data, "lang string, text string")
     byte_cnn.learn(df, F.lit(True))
     win, y = seen[0]
-    assert (y == 0).sum() == 101 and (y == 1).sum() == 8
-    assert {bytes(w[5:8]) for w in win[y == 1]} == {b"%03d" % i for i in range(4, 40, 5)}
-    many = spark.range(1001).select(F.col("id").cast("string").alias("lang"), F.lit("text").alias("text"))
-    with pytest.raises(ValueError):
-        byte_cnn.learn(many, F.lit(True))
+    assert (y == 0).sum() == 101 and (y == 1).sum() == 40
+    assert {bytes(w[5:8]) for w in win[y == 1]} == {b"%03d" % i for i in range(40)}
+    byte_cnn.learn(df, F.lit(True), most_bytes=1000)  # a byte bound: the texts that fill 500 bytes, but one of each
+    _, y = seen[1]
+    assert 1 <= (y == 0).sum() < 40 and (y == 1).sum() == 40
+
+
+def test_op5_learns_every_language(spark):
+    data = [(f"l{i:04d}", chr(0x4E00 + i) * 40) for i in range(1100) for _ in range(2)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "doc_id long, lang string, text string")
+    net = byte_cnn.learn(df, F.lit(True), per_label=1, epochs=0)
+    assert net.labels == sorted({k for k, _ in data})
+
+
+def test_op5_forward_pass_against_brute_force():
+    net, r = byte_cnn.Net(["a", "b", "c"]), np.random.default_rng(4)
+    net.train(r.integers(1, 255, (64, 256)).astype(np.uint8), r.integers(0, 3, 64), 1)
+    texts = ["Ein Satz. " * 60, "é", "x" * 257, "12 a"]
+    langs, scores = byte_cnn.identify(net, [*texts, None, "12", ""])
+    for t, lang, score in zip(texts, langs, scores):
+        data, total = byte_cnn.clean(t), np.zeros(3)
+        for s in range(0, len(data), 256):
+            win = data[s : s + 256].ljust(256, b"\0")
+            x = [net.p["emb"][c] for c in win]
+            h = []
+            for w in net.widths:
+                runs = [np.concatenate(x[i : i + w]) @ net.p[f"c{w}"] for i in range(256 - w + 1)]
+                h += [max(run[f] for run in runs) for f in range(net.f)]
+            z = np.maximum(np.array(h) + net.p["shift"], 0) @ net.p["out"] + net.p["bias"]
+            total += (z - np.log(np.exp(z).sum())) * len(data[s : s + 256])
+        p = np.exp(total / len(data))
+        assert lang == net.labels[int(p.argmax())] and score == pytest.approx(p.max() / p.sum(), abs=1e-4)
+    assert langs[4:] == ["und"] * 3 and scores[4:] == [0.0] * 3
 
 
 def test_op6_brute_force(spark, docs, rows):
