@@ -11,8 +11,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from scenegrain.llm.rows import free_names, numbered, text_hash
 from scenegrain.sources.tables import save
 
 WEIGHTS = (1, 2, 3)
@@ -20,12 +20,7 @@ WEIGHTS = (1, 2, 3)
 
 def word_count(text: Column) -> Column:
     """Number of runs without ASCII white space (null: 0)."""
-
-    @pandas_udf("long")
-    def count(s: pd.Series) -> pd.Series:
-        return pd.Series([len(t.encode("utf-8", "replace").split()) if t else 0 for t in s], dtype="int64")
-
-    return count(text)
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -103,14 +98,10 @@ def slices(n: int) -> int:
     return max(64, 1 << (int(n) // 100_000).bit_length())
 
 
-def mix(docs: DataFrame, limit: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row for each row of `docs`.
-
-    `copies` is how often the mix takes the row, `taken` its words. Null sources are one source, the last. Rows without
-    words take nothing of a budget; they come once for each whole round. Rows of equal id and text are rows of their
-    own, which the hash can't tell apart; ranks do. An empty table gives an empty one.
-    """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("h"))
+def row_takes(docs: DataFrame, limit: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, text_h (the text's hash), size, source_size, target, copies: one row for each row of `docs`."""
+    text_h = text_hash(F.col(text_col))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), text_h.alias("text_h"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), text_h).alias("h"))
     d = save(d, "sizes")
     parts = slices(d.count())
     d = d.withColumn("slice", F.pmod("h", F.lit(parts)))
@@ -138,12 +129,39 @@ def mix(docs: DataFrame, limit: int = 3, weights: tuple[int, ...] = WEIGHTS, see
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h", "doc_id")))
     out = ranked.join(shares, ranked.source.eqNullSafe(F.col("s")) & (ranked["size"] == F.col("z")) & (ranked.slice == F.col("c")))
     copies = (F.col("rounds") + (F.col("rank") <= F.col("quota")).cast("long")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "text_h", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, **names) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: one row for each row of `docs`.
+
+    `copies` is how often the mix takes the row, `taken` its words. Null sources are one source, the last. Null and empty
+    texts have size 0: rows without words take nothing of a budget; they come once for each whole round. A very long text
+    is taken if it fits what is left. Rows of equal id, source and text are rows of their own, which the hash can't tell
+    apart; ranks do. An empty table gives an empty one.
+    """
+    return row_takes(docs, **names).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_rows(docs: DataFrame, **names) -> DataFrame:
-    """The rows of `docs`, all columns, as often as the mix takes them. Rows that share a doc_id come equally often."""
-    id_col = names.get("id_col", "doc_id")
-    copies = save(mix(docs, **names).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
-    out = docs.join(copies, docs[id_col].eqNullSafe(F.col("_id"))).withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*(docs[c] for c in docs.columns))
+    """The rows of `docs`, all columns, as often as the mix takes them.
+
+    Rows are told apart by id, source and text. What is taken of equal rows is dealt out among them as evenly as can be.
+    """
+    id_col, text_col, source_col = names.get("id_col", "doc_id"), names.get("text_col", "text"), names.get("source_col", "source")
+    h, key, n, total, at, round_ = free_names(docs, "h", "key", "n", "total", "at", "round")
+    takes = row_takes(docs, **names).groupBy("doc_id", "source", "text_h").agg(F.count("*").alias(n), F.sum("copies").alias(total)).where(F.col(total) > 0)
+    takes = save(takes.select(F.struct("doc_id", "source", "text_h").alias(key), n, total), "takes")
+    own = docs.withColumn(h, text_hash(F.col(text_col)))
+    own_key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(h).alias("text_h"))
+
+    def repeated(rows, copies):
+        return rows.withColumn(round_, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)
+
+    single, several = takes.where(F.col(n) == 1), takes.where(F.col(n) > 1)
+    out = repeated(own.join(single, own_key.eqNullSafe(F.col(key))), F.col(total))
+    if several.isEmpty():
+        return out
+    rows = numbered(own.join(several, own_key.eqNullSafe(F.col(key))).drop(key), [id_col, source_col, h], at)
+    share = F.floor(F.col(total) / F.col(n)) + (F.col(at) <= F.col(total) % F.col(n)).cast("long")
+    return out.union(repeated(rows.where(share > 0), share))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenegrain.llm.heap_bpe import batches
+from scenegrain.llm.rows import free_names, numbered, text_hash
 from scenegrain.operators.graph import connected_components
 from scenegrain.sources.tables import save
 
@@ -103,18 +104,18 @@ def needed(n_a, n_b, t: int = 75):
 
 
 def shingle_nodes(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, node) of each row; node is null for empty sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """(doc_id, h, n_shingles, node) of each row (doc_id, text, h); node is null for empty sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def sign(rows):
         for batch in rows:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
             for part in batches(texts):
                 s, n = shingle_sets(part, k)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(n), pa.array(signatures(s, n), mask=n == 0)], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n), pa.array(signatures(s, n), mask=n == 0)], schema=schema)
                 at += len(part)
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(sign, "doc_id long, h long, n_shingles long, node long")
 
 
 def common_shingles(docs: DataFrame, rows: int, k: int = K, least: int = 16, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
@@ -285,10 +286,10 @@ def verified(pairs: DataFrame, sets: DataFrame, pivots: list[int], t: int = 75)
 
 
 def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, id_col: str = "doc_id", text_col: str = "text", **hot: int) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc_id, n_shingles and node of each row, links the pairs of nodes that connect
+    """(members, links): members has doc_id, h (of the text), n_shingles and node of each row, links the pairs of nodes that connect
     all that the threshold connects (pairs within a component that the others imply are left out)."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = save(shingle_nodes(d, k), "members")
+    members = save(shingle_nodes(d.withColumn("h", text_hash(F.col("text"))), k), "members")
     sets = save(shared_shingles(d, members, k, t, **hot), "sets")
     pivots = sets.select(F.explode("keys").alias("key")).agg(F.percentile_approx("key", [i / fragments for i in range(1, fragments)], 1000)).first()[0]
     pivots = sorted(set(pivots or []))
@@ -331,3 +332,30 @@ def near_documents(docs: DataFrame, k: int = K, t: int = 75, **names) -> DataFra
     lowest = named.groupBy("component").agg(F.min("low").alias("lowest"))
     of = named.join(lowest, "component").select("node", "lowest")
     return members.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows of `docs`, all columns, but for near duplicates: one row of each component stays.
+
+    It is the one with the smallest doc_id (null last), then with the smallest hash of its text. Rows are told apart by id
+    and text, so texts that share an id are judged each on its own, and of equal rows one stays. Rows with an empty set
+    (null and empty texts) all stay. An empty table gives an empty one.
+    """
+    members, links = similar_sets(docs, id_col=id_col, text_col=text_col, **names)
+    comps = connected_components(links, "a", "b").withColumnRenamed("id", "node")
+    rows = members.where("node IS NOT NULL").groupBy("doc_id", "h", "node").agg(F.count("*").alias("n")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    judged = rows.join(first, "component").select("doc_id", "h", "n", (order == F.col("first")).alias("stays")).where("n > 1 OR NOT stays")
+    h, key, stays, n, at = free_names(docs, "h", "key", "stays", "n", "at")
+    judged = save(judged.select(F.struct("doc_id", "h").alias(key), F.col("stays").alias(stays), F.col("n").alias(n)), "judged")
+    own = docs.withColumn(h, text_hash(F.col(text_col)))
+    own_key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(h).alias("h"))
+    dropped = judged.where(~F.col(stays))
+    out = own.join(dropped.select(key), own_key.eqNullSafe(F.col(key)), "left_anti")
+    several = judged.where(F.col(stays))
+    if several.isEmpty():
+        return out.select(*docs.columns)
+    one = out.join(several.select(key), own_key.eqNullSafe(F.col(key)), "left_anti").select(*docs.columns)
+    more = numbered(out.join(several.select(key), own_key.eqNullSafe(F.col(key)), "left_semi"), [id_col, h], at)
+    return one.union(more.where(F.col(at) == 1).select(*docs.columns))

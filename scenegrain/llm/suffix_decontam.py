@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from scenegrain.llm.heap_bpe import batches
+from scenegrain.llm.rows import free_names
 
 N = 13
 #: Bytes to blanks: all ASCII but digits and letters; A-Z to a-z; bytes of other characters stay.
@@ -190,5 +191,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated."""
-    f = with_matches(docs, benchmark, text_col, out="_found")
-    return f.where(~contaminated(F.col("_found.n_words"), F.col("_found.n_hit"))).drop("_found")
+    (name,) = free_names(docs, "found")
+    f = with_matches(docs, benchmark, text_col, out=name)
+    return f.where(~contaminated(F.col(f"`{name}`.n_words"), F.col(f"`{name}`.n_hit"))).select(*docs.columns)
