@@ -285,6 +285,37 @@ def verified(pairs: DataFrame, sets: DataFrame, pivots: list[int], t: int = 75)
     return summed.where(100 * F.col("overlap") >= t * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
+def across_components(named: DataFrame, t: int = 75) -> DataFrame:
+    """a, b, n_a, n_b: pairs of different components that share a shingle of both prefixes and may reach the threshold.
+
+    The smaller set of a pair needs more shared shingles than its own threshold says, so the shared one is in a shorter
+    prefix of it (its index); what very many sets have in common, but too little to link them, is in the index of none.
+    A shingle's pairs are those of all sets outside its most frequent component with others: a large group of copies is
+    not joined with itself.
+    """
+    by = named.groupBy("key", "c").agg(F.count("*").alias("sets"))
+    major = by.groupBy("key").agg(F.max(F.struct("sets", "c")).alias("top"), F.count("*").alias("n_c")).where("n_c > 1").select("key", F.col("top.c").alias("major"))
+    indexed = F.col("at") < F.col("m") - F.ceil(F.col("n") * (2.0 * t) / (100 + t)) + 1
+    rest = save(named.join(major, "key").select("key", "node", "n", "m", "at", "c", indexed.alias("indexed"), (F.col("c") == F.col("major")).alias("in_major")), "rest")
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "at", "c")))
+    small = rest.where("indexed")
+    pairs = side(small.where("NOT in_major"), "a").join(side(rest, "b"), "key").union(side(small.where("in_major"), "a").join(side(rest.where("NOT in_major"), "b"), "key"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    found = pairs.where(smaller & (F.col("c_a") != F.col("c_b")) & reachable(t))
+    return ordered(found).distinct()
+
+
+def reachable(t: int):
+    """Whether the sets' sizes and what is left behind the shared shingle leave the threshold within reach."""
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t) & (F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b")) >= needed(F.col("n_a"), F.col("n_b"), t))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """a < b, n_a, n_b from node_a, node_b and their sizes."""
+    first = F.col("node_a") < F.col("node_b")
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+
+
 def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, id_col: str = "doc_id", text_col: str = "text", **hot: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, h (of the text), n_shingles and node of each row, links the pairs of nodes that connect
     all that the threshold connects (pairs within a component that the others imply are left out)."""
@@ -297,23 +328,18 @@ def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, i
     least = F.ceil(F.col("n") * t / 100.0).cast("int")
     left = F.size("keys") - least + 1
     prefix = save(sets.select("node", "n", "common", F.size("keys").alias("m"), F.posexplode(F.slice("keys", 1, left)).alias("at", "key")), "prefix")
-    a, b = (prefix.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "at")), "key") for x in "ab")
-    may = lambda: (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t) & (F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b")) >= needed(F.col("n_a"), F.col("n_b"), t))
-    pair = [F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"]
+    b = prefix.select(*(F.col(c).alias(f"{c}_b") for c in ("node", "n", "m", "at")), "key")
     # Round 1: against the node of each shingle whose shingles are the most common, which of near copies is the one that
     # has changed least.
     centre = prefix.groupBy("key").agg(F.max(F.struct("common", "node", "n", "m", "at")).alias("low"))
-    stars = centre.select("key", *(F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "m", "at"))).join(b, "key").where((F.col("node_a") != F.col("node_b")) & may())
-    stars = stars.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.when(F.col("node_a") < F.col("node_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("node_a") < F.col("node_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
+    stars = centre.select("key", *(F.col(f"low.{c}").alias(f"{c}_a") for c in ("node", "n", "m", "at"))).join(b, "key").where((F.col("node_a") != F.col("node_b")) & reachable(t))
+    stars = ordered(stars).distinct()
     stars = save(stars, "stars")
     first = save(verified(stars, sets, pivots, t), "links")
     comps = connected_components(first, "a", "b")
     # Round 2: nodes of a shingle that are in different components.
     named = prefix.join(comps, prefix.node == comps.id, "left").select("key", "node", "n", "m", "at", F.coalesce("component", "node").alias("c"))
-    open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = save(named.join(open_, "key", "left_semi"), "rest")
-    a, b = (rest.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "at", "c")), "key") for x in "ab")
-    more = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may()).select(*pair).distinct()
+    more = across_components(named, t)
     more = save(more.join(stars, ["a", "b"], "left_anti"), "more")
     links = first if more.isEmpty() else first.union(save(verified(more, sets, pivots, t), "links"))
     return members, links

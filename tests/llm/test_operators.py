@@ -370,6 +370,28 @@ def test_op8_brute_force(spark):
     assert fragment_jaccard.near_documents(df.limit(0)).count() == 0
 
 
+def test_op8_boilerplate_makes_no_pairs(spark):
+    r = random.Random(8)
+    boiler = " ".join(f"b{k}" for k in range(84))
+    own = lambda: " ".join(f"x{r.randrange(10**9)}" for _ in range(20))
+    texts = []
+    for _ in range(150):  # pairs of one text; across pairs 80 of 120 shingles are shared
+        x = own()
+        texts += [f"{boiler} {x}", f"{boiler} {x} y"]
+    texts += [f"{boiler} z{k} " + " ".join(texts[0].split()[84:]) for k in range(40)]  # a group that hangs together
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [fx.shingles(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp, low = fx.components(len(texts), links), {}
+    for i, c in enumerate(comp):
+        low.setdefault(c, i)
+    got = {x.doc_id: x.component_id for x in fragment_jaccard.near_documents(df).collect()}
+    assert got == {i: low[c] for i, c in enumerate(comp)}
+    # Rows of one shingle that all nodes have: only those within the index of the smaller set may be joined.
+    named = spark.createDataFrame([(1, i, 100, 100, 20, i) for i in range(500)] + [(2, i, 100, 100, 3, 0 if i < 499 else i) for i in range(500)], "key long, node long, n long, m int, at int, c long")
+    assert fragment_jaccard.across_components(named).count() == 499
+
+
 def test_op9_targets_and_takes(spark, docs, rows):
     got = budget_mix.mix(docs).collect()
     again = budget_mix.mix(docs.repartition(7)).collect()
