@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenegrain.llm.chunks import SPACES, Pieces, cuttable, spaced
+from scenegrain.llm.chunks import SPACES, Pieces, cuttable, releasing, spaced
 from scenegrain.llm.heap_bpe import batches, byte_chars
 
 CHUNK = "shard int, chunk int, n_ids long, before long, block int, width int, bit_planes boolean, doc_ids array<long>, doc_sizes array<int>, plane_ends array<int>, planes binary"
@@ -38,10 +38,10 @@ def ranges(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     start, size = start[size > 0], size[size > 0]
     if not len(size):
         return pool[:0]
-    ends = np.cumsum(size)
-    step = np.ones(int(ends[-1]), np.int64)
+    ends = np.cumsum(size, dtype=np.int32)  # a batch has far fewer than 2^31 ids
+    step = np.ones(int(ends[-1]), np.int32)
     step[ends - size] = start - np.append(0, start + size - 1)[:-1]
-    return pool[np.cumsum(step, out=step)]
+    return pool[np.cumsum(step, dtype=np.int32, out=step)]
 
 
 class Encoder:
@@ -84,7 +84,7 @@ class Encoder:
 
     def in_runs(self, words: list[str], ids_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, number) of words that start with a space or a line feed; a run that can't be cut goes one by one."""
-        start, size, pool, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        start, size, pool, total = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), [], 0
         for s in range(0, len(words), self.run or 1):
             part = words[s : s + (self.run or 1)]
             ids = ids_of(part)
@@ -102,7 +102,7 @@ class Encoder:
         n = len(p.values)
         plain = pc.match_substring_regex(p.values, PLAIN).to_numpy(zero_copy_only=False) & bool(self.run)
         solid = pc.match_substring_regex(p.values, SOLID).to_numpy(zero_copy_only=False) & ~plain & bool(self.run)
-        start, size, pool, total = np.zeros(n + len(p.firsts), np.int64), np.zeros(n + len(p.firsts), np.int64), [], 0
+        start, size, pool, total = np.zeros(n + len(p.firsts), np.int32), np.zeros(n + len(p.firsts), np.int32), [], 0
 
         def put(at, ids, first, count):
             nonlocal total
@@ -207,7 +207,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in rows:
             keys = batch.column(0).to_pylist()
             at = 0
-            for texts in batches(batch.column(1).to_pylist(), 24_000_000):
+            for texts in batches(batch.column(1).to_pylist(), 12_000_000):
                 out = []
                 for key, x in zip(keys[at : at + len(texts)], enc.ids(texts)):
                     ids.append(key)
@@ -222,7 +222,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if ids:
             yield pa.RecordBatch.from_pylist([packed(shard, chunk, before, ids, parts, block, bits, level)], schema)
 
-    dealt.mapInArrow(encode, CHUNK).write.option("compression", "none").parquet(f"{path}/chunks")
+    dealt.mapInArrow(releasing(encode), CHUNK).write.option("compression", "none").parquet(f"{path}/chunks")
     read = docs.sparkSession.read.schema(CHUNK).parquet(f"{path}/chunks")
     index = read.select("shard", "chunk", F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"), F.size("doc_ids").alias("n_docs"), "n_ids", "before")
     index.write.parquet(f"{path}/index")
@@ -258,6 +258,6 @@ def read_planes(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     at += n
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-    docs = spark.read.schema(CHUNK).parquet(f"{path}/chunks").mapInArrow(decode, "doc_id long, shard int, at long, n_tokens long, ids_crc32 long, ids array<long>")
+    docs = spark.read.schema(CHUNK).parquet(f"{path}/chunks").mapInArrow(releasing(decode), "doc_id long, shard int, at long, n_tokens long, ids_crc32 long, ids array<long>")
     at = docs.join(shard_starts(spark, path), "shard").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return at if with_ids else at.drop("ids")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from scenegrain.llm.chunks import release
 from scenegrain.llm.heap_bpe import batches
 
 WINDOW = 256
@@ -119,6 +120,7 @@ def learn(docs: DataFrame, train: Column, per_label: int = 300, most_bytes: int
     shares = {k: min(full, -(-(2 * per_label + 20) * full // n)) for k, n in sizes.items() if n}
     while shares:
         share = docs.sparkSession.createDataFrame(list(shares.items()), "of string, share long")
+        share = F.broadcast(share) if len(shares) <= 10_000 else share  # else as Spark sees fit
         drawn = d.join(share, F.col("lang") == F.col("of")).where((F.pmod("h", F.lit(full)) < F.col("share")) & lettered.isNotNull()).dropDuplicates(["lang", "h"])
         before = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(full)), "h").rowsBetween(Window.unboundedPreceding, -1)
         ranked = drawn.select("lang", "text", "h", F.count("*").over(before).alias("rank"), F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("bytes"))
@@ -166,6 +168,7 @@ def language(net: Net, text: Column) -> Column:
     @pandas_udf("lang string, score double")
     def predict(s: pd.Series) -> pd.DataFrame:
         lang, score = identify(net, [None if t is None else t for t in s])
+        release()
         return pd.DataFrame({"lang": lang, "score": score})
 
     return predict(text)

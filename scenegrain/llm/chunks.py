@@ -8,6 +8,9 @@ special token.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
 from dataclasses import dataclass
 
@@ -107,3 +110,23 @@ class TwoGenerations(dict):
                 self[keys[i]] = v
                 self.held += ENTRY + len(keys[i])
         return out
+
+
+def release() -> None:
+    """Hands freed memory back to the system: Python workers live on for other stages, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(task):
+    """A function for mapInArrow that calls release() at its end."""
+
+    @functools.wraps(task)
+    def run(rows):
+        try:
+            yield from task(rows)
+        finally:
+            release()
+
+    return run

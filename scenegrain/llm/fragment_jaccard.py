@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenegrain.llm.chunks import releasing
 from scenegrain.llm.heap_bpe import batches
 from scenegrain.llm.rows import free_names, numbered, text_hash
 from scenegrain.operators.graph import connected_components
@@ -115,7 +116,7 @@ def shingle_nodes(docs: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n), pa.array(signatures(s, n), mask=n == 0)], schema=schema)
                 at += len(part)
 
-    return docs.mapInArrow(sign, "doc_id long, h long, n_shingles long, node long")
+    return docs.mapInArrow(releasing(sign), "doc_id long, h long, n_shingles long, node long")
 
 
 def common_shingles(docs: DataFrame, rows: int, k: int = K, least: int = 16, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +134,7 @@ def common_shingles(docs: DataFrame, rows: int, k: int = K, least: int = 16, mos
                 s, n = shingle_sets(texts, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(signatures(s, n), n)), pa.array(s.view(np.int64))], ["node", "shingle"])
 
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(share)) == 0).select("text").mapInArrow(shingles, "node long, shingle long")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(share)) == 0).select("text").mapInArrow(releasing(shingles), "node long, shingle long")
     counts = save(drawn.distinct().groupBy("shingle").count().where(F.col("count") >= least), "common")
     steps = counts.groupBy(F.floor(F.log2("count") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("count").alias("count")).orderBy(F.desc("step")).collect()
     left, from_ = most, None
@@ -268,7 +269,7 @@ def shared_shingles(docs: DataFrame, members: DataFrame, k: int = K, t: int = 75
         return pd.DataFrame({"node": ids[head[ok]], "n": sizes[head[ok]].astype(np.int64), "common": common[ok], "keys": [key[a:b] for a, b in zip(head[ok], ends[ok])]})
 
     packed = "bucket long, nodes binary, shingles binary"
-    runs = docs.select("doc_id", "text").mapInArrow(pack, packed).groupBy("bucket").applyInPandas(count, packed)
+    runs = docs.select("doc_id", "text").mapInArrow(releasing(pack), packed).groupBy("bucket").applyInPandas(count, packed)
     return runs.groupBy("bucket").applyInPandas(gather, "node long, n long, common double, keys array<long>")
 
 

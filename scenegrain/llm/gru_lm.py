@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenegrain.llm.chunks import releasing
 from scenegrain.sources.tables import save
 
 END = b""
@@ -62,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 c = np.append(np.bincount(which, minlength=len(words)), len(texts))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())]), pa.array(c)], schema=schema)
 
-    return docs.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(releasing(count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -339,7 +340,7 @@ def fit(coded: DataFrame, t: Table, net: Gru, n_words: int, rounds: int = 1, sha
             if total:
                 yield learnt(shard, total)
 
-        mean = averaged(spark, read.mapInArrow(learn, "block int, part int, n double, values binary"), size)
+        mean = averaged(spark, read.mapInArrow(releasing(learn), "block int, part int, n double, values binary"), size)
         if mean is None:
             return net
         net.load(mean)
@@ -378,7 +379,7 @@ def in_numbers(docs: DataFrame, t: Table) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(range(row, row + m)), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array(n + 1), pa.array(n_open), pa.array(plus), ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_open)), pa.int32()), rest)], schema=schema)
                 row, at = row + m, at + m
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "training").mapInArrow(run, "row long, doc_id long, training boolean, n_tokens long, n_open long, plus double, ids binary, open array<binary>")
+    return docs.select(F.col("doc_id").cast("long"), "text", "training").mapInArrow(releasing(run), "row long, doc_id long, training boolean, n_tokens long, n_open long, plus double, ids binary, open array<binary>")
 
 
 def scored(coded: DataFrame, t: Table, net: Gru, words: int = 2_000_000) -> DataFrame:
@@ -394,7 +395,7 @@ def scored(coded: DataFrame, t: Table, net: Gru, words: int = 2_000_000) -> Data
             for a, z in zip(cut := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()], [*cut[1:], len(ids)]):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, z - a) for k in kept), pa.array(score(net, t, ids[a:z]), pa.float64())], [*kept, "lm"])
 
-    return coded.select(*kept, "ids").mapInArrow(run, "row long, doc_id long, training boolean, n_tokens long, n_open long, plus double, lm double")
+    return coded.select(*kept, "ids").mapInArrow(releasing(run), "row long, doc_id long, training boolean, n_tokens long, n_open long, plus double, lm double")
 
 
 def score_documents(docs: DataFrame, training: Column, table: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:

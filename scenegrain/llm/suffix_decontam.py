@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from scenegrain.llm.chunks import release
 from scenegrain.llm.heap_bpe import batches
 from scenegrain.llm.rows import free_names
 
@@ -141,6 +142,7 @@ def found(bench: Bench, text: Column) -> Column:
         rows = []
         for part in batches([t if t is not None else "" for t in s], 4_000_000):
             rows += [(n, h, [bench.items[k] for k in items], [{"start": int(a), "end": int(b)} for a, b in e]) for n, h, items, e in judge(bench, part)]
+        release()
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return look(text)
