@@ -133,12 +133,15 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [cuttable(t, self.special) for t in texts]
         whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
+        is_whole = [c is None for c in cut]
         p = Pieces.of([c for c in cut if c is not None])
+        del cut
         pool, start, size = self.pooled(p)
-        n = size[p.which]
+        n, start = size[p.which], start[p.which]
         ends = np.append(0, np.cumsum(n))[np.append(p.heads[1:], len(n))] if len(p.heads) else p.heads
-        parts = iter(np.split(ranges(pool, start[p.which], n), ends[:-1]))
-        return [next(whole) if c is None else next(parts) for c in cut]
+        del p
+        parts = iter(np.split(ranges(pool, start, n), ends[:-1]))
+        return [next(whole) if w else next(parts) for w in is_whole]
 
 
 @lru_cache(2)
@@ -207,7 +210,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in rows:
             keys = batch.column(0).to_pylist()
             at = 0
-            for texts in batches(batch.column(1).to_pylist(), 12_000_000):
+            for texts in batches(batch.column(1).to_pylist(), 4_000_000):
                 out = []
                 for key, x in zip(keys[at : at + len(texts)], enc.ids(texts)):
                     ids.append(key)

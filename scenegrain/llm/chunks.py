@@ -63,13 +63,20 @@ class Pieces:
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         heads = cut.offsets.to_numpy()[:-1]
         flat = cut.flatten()
-        first = np.zeros(len(flat), bool)
-        first[heads] = True
-        coded = flat.filter(pa.array(~first)).dictionary_encode()
-        which = np.empty(len(flat), np.int32)
-        which[~first] = coded.indices.to_numpy(zero_copy_only=False)
-        which[heads] = np.arange(len(coded.dictionary), len(coded.dictionary) + len(heads))
-        return Pieces(flat.take(pa.array(heads)).to_pylist(), coded.dictionary, which, heads)
+        firsts = flat.take(pa.array(heads)).to_pylist()
+        coded = flat.dictionary_encode()
+        del cut, flat
+        which = coded.indices.to_numpy(zero_copy_only=False).copy()
+        values = coded.dictionary
+        del coded
+        which[heads] = len(values)
+        used = np.zeros(len(values) + 1, bool)
+        used[which] = True
+        used[-1] = False
+        which = (np.cumsum(used, dtype=np.int32) - 1)[which]
+        values = values.filter(pa.array(used[:-1]))
+        which[heads] = np.arange(len(values), len(values) + len(heads))
+        return Pieces(firsts, values, which, heads)
 
     def all(self) -> list[str]:
         """`values` as they stand in the texts, then `firsts`."""

@@ -114,7 +114,7 @@ def token_count(text: Column, path: str) -> Column:
     @pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         c = counter(path)
-        return pd.Series([n for part in batches([t or "" for t in s], 12_000_000) for n in c.counts(part)], dtype="int64")
+        return pd.Series([n for part in batches([t or "" for t in s], 4_000_000) for n in c.counts(part)], dtype="int64")
 
     return count(text)
 
