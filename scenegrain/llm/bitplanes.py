@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from scenegrain.llm.chunks import SPACES, Pieces, cuttable, releasing, spaced
 from scenegrain.llm.heap_bpe import batches, byte_chars
+from scenegrain.llm.rows import small_batches
 
 CHUNK = "shard int, chunk int, n_ids long, before long, block int, width int, bit_planes boolean, doc_ids array<long>, doc_sizes array<int>, plane_ends array<int>, planes binary"
 
@@ -225,7 +226,8 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if ids:
             yield pa.RecordBatch.from_pylist([packed(shard, chunk, before, ids, parts, block, bits, level)], schema)
 
-    dealt.mapInArrow(releasing(encode), CHUNK).write.option("compression", "none").parquet(f"{path}/chunks")
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(releasing(encode), CHUNK).write.option("compression", "none").parquet(f"{path}/chunks")
     read = docs.sparkSession.read.schema(CHUNK).parquet(f"{path}/chunks")
     index = read.select("shard", "chunk", F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"), F.size("doc_ids").alias("n_docs"), "n_ids", "before")
     index.write.parquet(f"{path}/index")

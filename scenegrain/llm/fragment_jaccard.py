@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scenegrain.llm.chunks import releasing
 from scenegrain.llm.heap_bpe import batches
-from scenegrain.llm.rows import free_names, numbered, text_hash
+from scenegrain.llm.rows import free_names, numbered, small_batches, text_hash
 from scenegrain.operators.graph import connected_components
 from scenegrain.sources.tables import save
 
@@ -111,7 +111,7 @@ def shingle_nodes(docs: DataFrame, k: int = K) -> DataFrame:
     def sign(rows):
         for batch in rows:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            for part in batches(texts):
+            for part in batches(texts, 1_500_000):
                 s, n = shingle_sets(part, k)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n), pa.array(signatures(s, n), mask=n == 0)], schema=schema)
                 at += len(part)
@@ -130,7 +130,7 @@ def common_shingles(docs: DataFrame, rows: int, k: int = K, least: int = 16, mos
 
     def shingles(rows):
         for batch in rows:
-            for texts in batches(batch.column(0).to_pylist(), 3_000_000):
+            for texts in batches(batch.column(0).to_pylist(), 1_500_000):
                 s, n = shingle_sets(texts, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(signatures(s, n), n)), pa.array(s.view(np.int64))], ["node", "shingle"])
 
@@ -201,7 +201,7 @@ def shared_shingles(docs: DataFrame, members: DataFrame, k: int = K, t: int = 75
         for batch in rows:
             ids = batch.column(0)
             known, ids, at = ids.is_valid().to_numpy(False), ids.fill_null(0).to_numpy(), 0
-            for texts in batches(batch.column(1).to_pylist(), 3_000_000):
+            for texts in batches(batch.column(1).to_pylist(), 1_500_000):
                 s, n = shingle_sets(texts, k)
                 node, part = signatures(s, n), slice(at, at + len(texts))
                 at += len(texts)
@@ -321,8 +321,9 @@ def similar_sets(docs: DataFrame, k: int = K, t: int = 75, fragments: int = 6, i
     """(members, links): members has doc_id, h (of the text), n_shingles and node of each row, links the pairs of nodes that connect
     all that the threshold connects (pairs within a component that the others imply are left out)."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = save(shingle_nodes(d.withColumn("h", text_hash(F.col("text"))), k), "members")
-    sets = save(shared_shingles(d, members, k, t, **hot), "sets")
+    with small_batches(docs.sparkSession):
+        members = save(shingle_nodes(d.withColumn("h", text_hash(F.col("text"))), k), "members")
+        sets = save(shared_shingles(d, members, k, t, **hot), "sets")
     pivots = sets.select(F.explode("keys").alias("key")).agg(F.percentile_approx("key", [i / fragments for i in range(1, fragments)], 1000)).first()[0]
     pivots = sorted(set(pivots or []))
     # Prefixes: the singles stand first in the order, so `size(keys) - needed + 1` shared ones are left of it.

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenegrain.llm.chunks import releasing
+from scenegrain.llm.rows import small_batches
 from scenegrain.sources.tables import save
 
 END = b""
@@ -406,7 +407,8 @@ def score_documents(docs: DataFrame, training: Column, table: int = 1 << 17, id_
     words and is scored from its first word to its end. An empty table gives an empty one.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training.alias("training"))
-    counts = save(word_counts(d.where("training")), "counts")
+    with small_batches(docs.sparkSession):
+        counts = save(word_counts(d.where("training")), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     # Words seen once stay in the open class, so its probability is learnt from words that are as rare as unseen ones.
     # The least count of the table comes from a histogram on a logarithmic scale (a row for each step): no more than
@@ -430,7 +432,8 @@ def score_documents(docs: DataFrame, training: Column, table: int = 1 << 17, id_
     t = frequent_table(words, c, n)
     if not n:
         t.plus[:] = 0
-    coded = save(in_numbers(d, t), "coded")
+    with small_batches(docs.sparkSession):
+        coded = save(in_numbers(d, t), "coded")
     net = fit(coded.where("training"), t, Gru(t), n, **fitting)
     open_n, open_v = max(0, n - int(c.sum())), max(0, v - len(words))
     tail = coded.where("n_open > 0").select("row", F.explode("open").alias("word")).join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail"), F.count("c").alias("known"))

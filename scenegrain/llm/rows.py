@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenegrain.sources.tables import save
@@ -19,6 +21,19 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While tables are written from whole texts, Arrow batches have at most `rows` rows: they are held by both the JVM
+    and the Python worker. The session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_hash(text: Column) -> Column:
     """A 64-bit number for the text; null texts have one of their own."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
