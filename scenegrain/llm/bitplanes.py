@@ -9,7 +9,6 @@ the number of ids before it in its shard.
 
 from __future__ import annotations
 
-import json
 import zlib
 from functools import lru_cache
 
@@ -57,20 +56,17 @@ class Encoder:
     def __init__(self, path: str, run: int = 2000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.lib, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for lib in (self.lib, self.bare):
-            lib.no_truncation()
-            lib.no_padding()
-        spec = json.loads(self.lib.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        byte_level = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec.get("normalizer")
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.bare = Tokenizer(self.lib.model)  # the same model, without anything before it
+        pre = self.lib.pre_tokenizer
+        byte_level = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.lib.normalizer is None
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.run = run if byte_level and not any(" " in s or "\n" in s for s in self.special) else 0
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
         self.chars = byte_chars()
-        vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.heads = np.zeros(max(vocab.values()) + 1, bool)
-        self.heads[[i for t, i in vocab.items() if t[:1] == self.chars[32] or t == self.chars[10]]] = True
+        names = map(self.lib.id_to_token, range(self.lib.get_vocab_size(with_added_tokens=True)))
+        self.heads = np.array([t is not None and (t[:1] == self.chars[32] or t == self.chars[10]) for t in names])
         behind = self.encode(list(MARKS)) if self.run else []
         self.behind = np.array([x[0] for x in behind], "<u4")
         self.run = self.run if all(len(x) == 1 for x in behind) else 0
@@ -211,7 +207,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in rows:
             keys = batch.column(0).to_pylist()
             at = 0
-            for texts in batches(batch.column(1).to_pylist(), 4_000_000):
+            for texts in batches(batch.column(1).to_pylist(), 3_000_000):
                 out = []
                 for key, x in zip(keys[at : at + len(texts)], enc.ids(texts)):
                     ids.append(key)
