@@ -60,8 +60,9 @@ def dense_ids(df: DataFrame, key: Column | str, out: str = "dense_id", void: int
     return df.join(ranks, key == ranks["_k"], "left").withColumn(out, F.when(key == void, F.lit(void).cast("long")).otherwise(F.col("_r"))).drop("_k", "_r") if void is not None else df.join(ranks, key == ranks["_k"], "left").withColumnRenamed("_r", out).drop("_k")
 
 
-def radius_pairs(points: DataFrame, r: float, key: str = "point_id") -> DataFrame:
-    """src < dst and their distance d < r: both sides meet by grid cell, one of them in the 27 cells around it."""
+def radius_pairs(points: DataFrame, r: float, key: str = "point_id", others: DataFrame | None = None) -> DataFrame:
+    """src < dst and their distance d < r: both sides meet by grid cell, one of them in the 27 cells around it. With
+    `others`: from each of the points to all others but itself, in one direction."""
     import math
 
     cell = [F.floor(F.col(c) / F.lit(r)).alias(f"c{c}") for c in "xyz"]
@@ -69,10 +70,10 @@ def radius_pairs(points: DataFrame, r: float, key: str = "point_id") -> DataFram
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     for c in "xyz":
         a = a.withColumn("_o", F.explode(near)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_o")).drop("_o")
-    b = points.select(F.col(key).alias("dst"), *(F.col(c).alias(f"{c}b") for c in "xyz"), *cell)
+    b = (points if others is None else others).select(F.col(key).alias("dst"), *(F.col(c).alias(f"{c}b") for c in "xyz"), *cell)
     d = F.sqrt(sum(((F.col(f"{c}a") - F.col(f"{c}b")) * (F.col(f"{c}a") - F.col(f"{c}b")) for c in "yz"), (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))))
     assert math.isfinite(r) and r > 0
-    return a.join(b, ["cx", "cy", "cz"]).where("src < dst").withColumn("d", d).where(F.col("d") < r).select("src", "dst", "d")
+    return a.join(b, ["cx", "cy", "cz"]).where("src < dst" if others is None else "src <> dst").withColumn("d", d).where(F.col("d") < r).select("src", "dst", "d")
 
 
 def group_distances(pairs: DataFrame, points: DataFrame, group: str, key: str = "point_id") -> DataFrame:
@@ -84,16 +85,19 @@ def group_distances(pairs: DataFrame, points: DataFrame, group: str, key: str =
 
 def nearest_neighbours(points: DataFrame, k: int, r: float, key: str = "point_id") -> DataFrame:
     """src, dst, d, rn: the k nearest points of each point, ties by id. Cells of side r; a point whose k-th neighbour
-    isn't within r looks again with twice the side, so the result is exact; those left at last are few."""
+    isn't within r looks again with twice the side, so the result is exact; only those look again. Points with a null or
+    non-finite coordinate have no neighbours and are none."""
     from pyspark.sql import Window
 
     from scenegrain.sources.tables import save
 
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in "xyz"]
+    points = points.where(finite[0] & finite[1] & finite[2])
     n = points.count()
     want, done, left = min(k, max(0, n - 1)), None, points.select(F.col(key).alias("src"))
     while want:
-        p = radius_pairs(points, r, key)
-        both = p.union(p.select(F.col("dst"), F.col("src"), F.col("d"))).join(left, "src", "left_semi")
+        asking = points.join(left, points[key] == left.src, "left_semi")
+        both = radius_pairs(asking, r, key, points)
         top = both.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rn") <= want)
         found = save(top.withColumn("_n", F.count("*").over(Window.partitionBy("src"))), "knn")
         full = found.where(F.col("_n") == want).drop("_n")

@@ -127,3 +127,9 @@ def lookup(df: DataFrame, key: str, vocab: DataFrame, vkey: str, value: str, def
 def revise_labels(gt: DataFrame, probs: DataFrame, key: str, t: float = 0.6) -> DataFrame:
     best = argmax(probs, key, "cls", "p")
     return gt.join(best, key, "left").select(key, F.when(F.col("p") > t, F.col("cls")).otherwise(F.col("label")).alias("label"))
+
+
+def detections(found: DataFrame, threshold: float = 0.4, name: str = "name", score: str = "score") -> DataFrame:
+    """The detections above the threshold, labels closed by a full stop as the detector's prompts are; null scores go."""
+    closed = F.when(F.col(name).endswith("."), F.col(name)).otherwise(F.concat(F.col(name), F.lit(".")))
+    return found.where(F.col(score) > threshold).withColumn(name, closed)

@@ -15,7 +15,7 @@ from scenegrain.operators import geometry as g
 from scenegrain.operators import graph as gr
 from scenegrain.operators import polygons as pg
 from scenegrain.operators import segments as sg
-from scenegrain.sources.tables import table
+from scenegrain.sources.tables import save, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -119,7 +119,8 @@ def vocabulary(spark, d):
 def class_scores(spark, d):
     """Every point against the classes, whose number is checked before they are broadcast."""
     v = vocabulary(spark, d)
-    v = F.broadcast(v) if v.limit(10_001).count() <= 10_000 else v
+    v = save(v, "classes")
+    v = F.broadcast(v) if v.count() <= 10_000 else v
     return points(spark, d).select("point_id", "spt_id", "feat").crossJoin(v).select("point_id", "spt_id", "class_id", s.dot(F.col("feat"), F.col("t")).alias("logit"))
 
 
@@ -309,11 +310,16 @@ def q_gmm_params(spark, d):
     return m.select("label", *(r6(k).alias(k) for k in ("pi", "mu_x", "mu_y", "mu_z")))
 
 
-@q("q_union_masks", VIEW + "SELECT frame_id, mask_id, score FROM rect WHERE frame_id < 2 UNION ALL SELECT frame_id, mask_id, score FROM rect WHERE frame_id >= 2 AND (SELECT count(*) FROM embeddings) > 0")
+@q("q_union_masks", f"WITH {P_SQL} SELECT label AS frame_id, spt_id AS mask_id, round(max(abs(x)),6) AS score FROM p GROUP BY 1,2")
 def q_union_masks(spark, d):
-    m = rects(spark).select("frame_id", "mask_id", "score")
-    some = points(spark, d).select(F.lit(1).alias("one")).distinct()
-    return m.where("frame_id < 2").unionByName(m.where("frame_id >= 2").crossJoin(F.broadcast(some)).drop("one"))
+    m = points(spark, d).groupBy(F.col("label").alias("frame_id"), F.col("spt_id").alias("mask_id")).agg(r6(F.max(F.abs("x"))).alias("score"))
+    return m.where("frame_id < 5").unionByName(m.where("frame_id >= 5").select("score", "mask_id", "frame_id"))
+
+
+@q("q_detections", f"WITH {P_SQL} SELECT point_id, CAST(label AS VARCHAR) || '.' AS name, round(abs(x),6) AS score FROM p WHERE abs(x) > 0.1")
+def q_detections(spark, d):
+    p = points(spark, d).select("point_id", F.col("label").cast("string").alias("name"), F.abs("x").alias("score"))
+    return sg.detections(p, 0.1).withColumn("score", r6("score"))
 
 
 # ---- voxels
@@ -650,6 +656,27 @@ def q_spectral(spark, d):
     return c.spectral_clusters(label_graph(spark, d), "scene", 8)
 
 
+@q("q_spectral_points")
+def q_spectral_points(spark, d):
+    p = points(spark, d).withColumn("spt_id", F.col("point_id"))
+    return c.spectral_point_labels(p, label_graph(spark, d), "scene", 8)[0]
+
+
+@q("q_cluster_and_merge")
+def q_cluster_and_merge(spark, d):
+    p = points(spark, d).withColumn("spt_id", F.col("point_id"))
+    conf = p.select(F.col("point_id").alias("id"), F.abs("x").alias("conf"))
+    return c.cluster_and_merge(p, label_graph(spark, d), conf, "scene", 8, 0.9)[2]
+
+
+@q("q_merge_confidence", f"WITH RECURSIVE {P_SQL}, {EDGE}, {SPT}, strong AS (SELECT * FROM sd WHERE exp(-d) > 0.975), both_ AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong), reach(id, c) AS (SELECT DISTINCT spt_id, spt_id FROM p UNION SELECT b.dst, r.c FROM reach r JOIN both_ b ON b.src=r.id WHERE r.c < b.dst), comp AS (SELECT id, min(c) AS cluster FROM reach GROUP BY 1), cf AS (SELECT spt_id, avg(abs(x)) AS conf FROM p GROUP BY 1) SELECT cluster, round(greatest(0, least(1, sum(conf)/(count(*)+1e-6))),6) AS conf FROM comp JOIN cf ON spt_id=id GROUP BY 1")
+def q_merge_confidence(spark, d):
+    p = points(spark, d)
+    e = gr.group_distances(gr.radius_pairs(p, 0.05), p, "spt_id").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.exp(-F.col("d")).alias("w"))
+    conf = p.groupBy(F.col("spt_id").alias("id")).agg(F.avg(F.abs("x")).alias("conf"))
+    return c.merge_segments(p, e, conf, 0.975)[1].withColumn("conf", r6("conf"))
+
+
 @q("q_eigengap")
 def q_eigengap(spark, d):
     return c.eigengaps(label_graph(spark, d), "scene")

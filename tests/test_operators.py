@@ -57,6 +57,45 @@ def test_cluster_invariants(spark):
     assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[10]
 
 
+def test_kmeans_balances_and_starts_at_the_rim():
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(scale=0.05, size=(20, 3)) + m for m in ((0, 0, 0), (3, 0, 0), (0, 3, 0), (0, 0, 3), (3, 3, 0), (3, 0, 3))])
+    label = c.weighted_kmeans(x, 6)
+    assert sorted(np.bincount(label)) == [20] * 6 and all(len(set(label[k : k + 20])) == 1 for k in range(0, 120, 20))
+    d = ((x - x.mean(0)) ** 2).sum(1)
+    assert c.fps_order(x, 3, centre=True)[0][0] == d.argmax()
+    assert len(set(c.weighted_kmeans(x - x.mean(0), 6, cosine=True))) > 1
+    plan = c.sinkhorn(np.zeros((4, 3)))
+    assert np.allclose(plan, 1 / 12, atol=1e-6)
+
+
+def test_cluster_and_merge(spark):
+    e = [(0, a, b, 1.0) for k in (0, 10, 20) for a in range(k, k + 6) for b in range(a + 1, k + 6)] + [(0, 5, 10, 0.6), (0, 15, 20, 0.01)]
+    edges = spark.createDataFrame(e, "scene long, src long, dst long, w double")
+    points = spark.createDataFrame([(i, i % 30) for i in range(60)], "point_id long, spt_id long")
+    conf = spark.createDataFrame([(i, 0.5 if i < 15 else 4.0) for i in range(30)], "id long, conf double")
+    labels, merged, scores = c.cluster_and_merge(points, edges, conf, "scene", 3, 0.5)
+    of = {r.point_id: r.merged for r in merged.collect()}
+    assert len({of[i] for i in range(6)}) == 1 and of[0] == of[10] != of[20] and of[7] is None and of[37] is None
+    got = {r.merged: r.conf for r in scores.collect()}
+    assert got[of[20]] == 1.0 and 0.5 < got[of[0]] <= 1.0
+    assert labels.where("cluster IS NOT NULL").count() == 36
+    of_points, conf_of = c.merge_segments(points, edges, conf, 0.5)
+    of = {r.point_id: r.cluster for r in of_points.collect()}
+    assert of[0] == of[15] == 0 and of[20] == 20 and of[7] == of[37] == 7
+    assert {r.cluster: round(r.conf, 4) for r in conf_of.collect()}[7] == 0.5
+
+
+def test_nearest_neighbours_of_a_few_and_bad_coordinates(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate((r.uniform(0, 1, (60, 3)), r.uniform(50, 90, (5, 3))))
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(100, None, 0.0, 0.0), (101, float("nan"), 0.0, 0.0), (102, 0.0, float("inf"), 0.0)]
+    got = gr.nearest_neighbours(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 3, 0.2).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {(g.src, g.dst, g.rn) for g in got} == {(i, int(j), k + 1) for i in range(65) for k, j in enumerate(np.argsort(d[i])[:3])}
+
+
 def test_occlusion_bounds(spark):
     v = spark.createDataFrame([(0, 1, 5, 5, 1.0), (0, 2, 5, 5, 1.1), (0, 3, 5, 5, 1.3)], "frame_id int, point_id long, u long, v long, pz double")
     d = g.render_depth(v)
