@@ -62,7 +62,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Very long texts are whole. An empty table gives empty files and no rows.
     """
     path = f"{shared_dir(spark)}/scenegrain/planes-{uuid.uuid4().hex}"
-    bitplanes.write_planes(docs, path, TOKENIZER)
+    # Small batches: the workers still hold what earlier stages loaded.
+    bitplanes.write_planes(docs, path, TOKENIZER, batch_chars=2_000_000)
     return bitplanes.read_planes(spark, path)
 
 

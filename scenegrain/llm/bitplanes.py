@@ -183,12 +183,13 @@ def packed(shard: int, chunk: int, before: int, docs: list, parts: list[np.ndarr
     return {"shard": shard, "chunk": chunk, "n_ids": len(ids), "before": before, "block": block, "width": width, "bit_planes": bits, "doc_ids": docs, "doc_sizes": [len(p) for p in parts], "plane_ends": np.cumsum([len(p) for p in planes]).tolist(), "planes": b"".join(planes)}
 
 
-def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, block: int = 16_384, chunk_ids: int = 262_144, bits: bool = False, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, block: int = 16_384, chunk_ids: int = 262_144, bits: bool = False, level: int = 1, batch_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes `path`/chunks and `path`/index with Spark's writers.
 
     Documents are dealt by ranges of doc_id and their text's hash, one shard a task; so rows of one id, or without an id,
     may be in several shards. A chunk is closed after the document with which it reaches `chunk_ids` ids, however long
-    that is. Null texts are empty (only the end id), null ids come first, equal ids are ordered by their text's hash. An
+    that is. A task encodes about `batch_chars` characters at once: more find more repeated pieces, fewer take less memory;
+    the files are the same. Null texts are empty (only the end id), null ids come first, equal ids are ordered by their text's hash. An
     empty table gives empty files. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -207,7 +208,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         for batch in rows:
             keys = batch.column(0).to_pylist()
             at = 0
-            for texts in batches(batch.column(1).to_pylist(), 3_000_000):
+            for texts in batches(batch.column(1).to_pylist(), batch_chars):
                 out = []
                 for key, x in zip(keys[at : at + len(texts)], enc.ids(texts)):
                     ids.append(key)
@@ -222,7 +223,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if ids:
             yield pa.RecordBatch.from_pylist([packed(shard, chunk, before, ids, parts, block, bits, level)], schema)
 
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, max(1, batch_chars // 3000)):
         dealt.mapInArrow(releasing(encode), CHUNK).write.option("compression", "none").parquet(f"{path}/chunks")
     read = docs.sparkSession.read.schema(CHUNK).parquet(f"{path}/chunks")
     index = read.select("shard", "chunk", F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"), F.size("doc_ids").alias("n_docs"), "n_ids", "before")
