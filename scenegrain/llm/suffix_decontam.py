@@ -2,8 +2,9 @@
 
 A shard is a batch of documents in a task. Its suffix array has, in word order, the suffixes that can hold a window of
 the benchmark: those that start with a run of benchmark words as long as the shortest window. Every suffix of the
-benchmark is binary-searched in every shard; its range gives all places that agree for a whole window, and runs of
-such places give the spans of hit words, whichever items they are of. Documents stay where they are: there is no shuffle.
+benchmark is binary-searched in every shard; its range gives all places that agree for a whole window. From these the
+matches are lengthened as far as document and item agree, by a suffix array of the items over whole windows, which
+gives the longest verbatim matches and where they lie in both. Documents stay where they are: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -30,28 +32,55 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Bench:
-    """The benchmark's words, windows and suffixes, for a broadcast of bounded size."""
+    """A block of the benchmark: its words, windows and suffixes, for a broadcast of bounded size.
+
+    Besides the windows in word order it holds a suffix array of its items, read as sequences of full windows, and for each
+    power of two the rank of every run of so many windows, by which suffixes are compared far beyond one window.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        self.n, self.vocab, rows, owners, lengths = n, {}, [], [], []
+        self.n, self.vocab, rows, owners, starts = n, {}, [], [], []
         self.items = [i for i, _ in items]
         for k, (_, text) in enumerate(items):
-            w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words(text)]
-            size = min(n, len(w))
-            for s in range(len(w) - size + 1 if w else 0):
-                rows.append(w[s : s + size] + [0] * (n - size))
-                owners.append(k)
-                lengths.append(size)
-        table = np.array(rows, np.int64).reshape(-1, n)
-        self.windows, inverse = np.unique(table, axis=0, return_inverse=True)
-        order = np.argsort(inverse.reshape(-1), kind="stable")
-        self.owners = np.array(owners, np.int64)[order]
-        self.starts = np.searchsorted(inverse.reshape(-1)[order], np.arange(len(self.windows) + 1))
+            w = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in words(text)], np.int64)
+            if size := min(n, len(w)):
+                own = np.lib.stride_tricks.sliding_window_view(w, size)
+                rows.append(np.pad(own, ((0, 0), (0, n - size))))
+                owners.append(np.full(len(own), k))
+                starts.append(np.arange(len(own)))
+        table = np.concatenate(rows) if rows else np.zeros((0, n), np.int64)
+        owner, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, starts))
+        windows, inverse = np.unique(table, axis=0, return_inverse=True)
+        self.windows, inverse = windows.astype(np.int32), inverse.reshape(-1)
+        order = np.argsort(inverse, kind="stable")
+        self.owners, self.owner_starts = owner[order], start[order]
+        self.starts = np.searchsorted(inverse[order], np.arange(len(self.windows) + 1))
         self.sizes = (self.windows > 0).sum(1)
         self.bits = max(1, len(self.vocab).bit_length())
-        top = np.where(self.windows > 0, self.windows, (1 << self.bits) - 1)
-        self.low, self.high = self.keys(self.windows), self.keys(top)
+        top = np.where(windows > 0, windows, (1 << self.bits) - 1)
+        self.low, self.high = self.keys(windows), self.keys(top)
         self.shortest = int(self.sizes.min()) if len(self.sizes) else n
+        self.arrange(inverse, owner, start)
+
+    def arrange(self, window: np.ndarray, owner: np.ndarray, start: np.ndarray) -> None:
+        """The suffix array over the full windows of all items, by doubling; a 0 ends each item."""
+        full = self.sizes[window] == self.n if len(window) else np.zeros(0, bool)
+        window, owner, start = window[full], owner[full], start[full]
+        at = np.arange(len(window)) + np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1]))) if len(window) else np.zeros(0, np.int64)
+        rank = np.zeros(int(at[-1]) + 2 if len(at) else 1, np.int64)
+        self.place = np.zeros((len(rank), 2), np.int64)  # item and word of each suffix
+        rank[at] = window + 1
+        self.place[at] = np.stack([owner, start], 1)
+        self.ranks, self.pairs = [rank], []
+        longest = int(np.bincount(owner).max()) if len(owner) else 0
+        for k in range(longest.bit_length()):
+            # Pairs of ranks of 2**k windows are the runs of 2**(k+1); what reaches over the end goes on with 0.
+            pair = (rank << 32) | np.concatenate((rank[1 << k :], np.zeros(min(1 << k, len(rank)), np.int64)))
+            known, rank = np.unique(pair, return_inverse=True)
+            self.pairs.append(known)
+            rank = rank.reshape(-1)
+            self.ranks.append(rank)
+        self.array = np.argsort(rank, kind="stable")
 
     def keys(self, rows: np.ndarray) -> list[np.ndarray]:
         """The n words of each row, packed into as few integers as hold them, in order."""
@@ -113,82 +142,161 @@ def occurrences(bench: Bench, docs: list[list[bytes]]) -> tuple[np.ndarray, np.n
     return window, at[array[place]], offsets
 
 
-def judge(bench: Bench, texts: list[str | None]) -> Iterator[tuple[int, int, int, list[int], np.ndarray]]:
-    """(n_words, n_hit, n_items, item numbers, hit words) of each text; the hits as [start, end) pairs of words."""
+def lengthened(bench: Bench, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, item, word of the item) of the longest match with this block that starts at each place of a full
+    window, by place; of equal ones, the first in the benchmark. All places are searched in the suffix array at once: for
+    each power of two, from the largest, the range of suffixes that agree so far is cut to those that go on alike."""
+    order = np.argsort(place, kind="stable")
+    window, place = window[order], place[order]
+    follows = np.concatenate((place[1:] == place[:-1] + 1, [False])) if len(place) else np.zeros(0, bool)
+    ends = np.flatnonzero(~follows)
+    left = ends[np.searchsorted(ends, np.arange(len(place)))] - np.arange(len(place)) + 1  # places to the end of the run
+    ranks = [window + 1]
+    for k, known in enumerate(bench.pairs):  # ranks of the runs of 2**(k+1) places, -1 where the benchmark has none
+        here, then = ranks[k], np.concatenate((ranks[k][1 << k :], np.full(min(1 << k, len(place)), -1)))
+        pair = (here << 32) | np.maximum(then, 0)
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        ranks.append(np.where((here >= 0) & (then >= 0) & (left >= 2 << k) & (known[at] == pair), at, -1))
+    lo, hi, length = np.zeros(len(place), np.int64), np.full(len(place), len(bench.array)), np.zeros(len(place), np.int64)
+    for k in reversed(range(len(ranks))):
+        at = np.arange(len(place)) + length
+        some = np.flatnonzero((at < len(place)) & (left - length >= 1 << k))
+        want = ranks[k][at[some]]
+        some, want = some[want >= 0], want[want >= 0]
+        first = narrowed(bench, k, lo[some], hi[some], length[some], want, False)
+        last = narrowed(bench, k, first, hi[some], length[some], want, True)
+        more = first < last
+        some, first, last = some[more], first[more], last[more]
+        lo[some], hi[some] = first, last
+        length[some] += 1 << k
+    where = bench.place[first_of(bench.array, lo, hi)] if len(place) else np.zeros((0, 2), np.int64)
+    return place, place + length + bench.n - 1, where[:, 0], where[:, 1]
+
+
+def narrowed(bench: Bench, k: int, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
+    """Where in [lo, hi) of the suffix array the next 2**k windows of the suffixes reach (right: exceed) a rank."""
+    rank = bench.ranks[k]
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = np.where(open_, (lo + hi) >> 1, 0)
+        x = rank[np.minimum(bench.array[mid] + length, len(rank) - 1)]
+        go = open_ & (x <= want if right else x < want)
+        lo, hi = np.where(go, mid + 1, lo), np.where(open_ & ~go, mid, hi)
+    return lo
+
+
+def first_of(array: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least entry of each non-empty range of an array, from minima of ranges of powers of two."""
+    minima, out = array, np.zeros(len(lo), np.int64)
+    level = np.frexp(hi - lo)[1] - 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(minima[lo[own]], minima[hi[own] - (1 << k)])
+        step = 1 << k
+        minima = np.minimum(minima, np.concatenate((minima[step:], np.full(min(step, len(minima)), len(array)))))
+    return out
+
+
+def longest_matches(bench: Bench, window: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows (start, end, item, word of the item): places in the shard that agree with the block word by word and can't be
+    lengthened, by start. Items of less than a window match as a whole."""
+    full = bench.sizes[window] == bench.n
+    short, at = window[~full], place[~full]
+    parts = [np.stack(lengthened(bench, window[full], place[full]), 1), np.stack([at, at + bench.sizes[short], bench.owners[bench.starts[short]], np.zeros(len(at), np.int64)], 1)]
+    return np.concatenate(parts)
+
+
+def outermost(rows: np.ndarray) -> np.ndarray:
+    """The rows (start, end, ...) that no other row contains; of those with an equal start and end the first."""
+    rows = rows[np.lexsort((-rows[:, 1], rows[:, 0]))]
+    before = np.concatenate(([-1], np.maximum.accumulate(rows[:, 1])[:-1])) if len(rows) else rows[:, 1]
+    return rows[rows[:, 1] > before]
+
+
+def judge(benches: list[Bench], texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[int, int]], np.ndarray]]:
+    """(n_words, n_hit, items, matches) of each text over all blocks; items are (block, number), a match is (start, end,
+    block, item, word of the item)."""
     docs = [words(t) for t in texts]
-    window, place, offsets = occurrences(bench, docs)
-    mark = np.zeros(int(offsets[-1]) + bench.n + 1, np.int64)
-    np.add.at(mark, place, 1)
-    np.add.at(mark, place + bench.sizes[window], -1)
+    offsets = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs]))).astype(np.int64)
+    mark, items, matches = np.zeros(int(offsets[-1]) + N + 1, np.int64), [set() for _ in docs], []
+    for b, bench in enumerate(benches):
+        window, place, _ = occurrences(bench, docs)
+        np.add.at(mark, place, 1)
+        np.add.at(mark, place + bench.sizes[window], -1)
+        owner = np.searchsorted(offsets, place, "right") - 1
+        for i, w in np.unique(np.stack([owner, window], 1), axis=0).tolist():
+            items[i].update((b, k) for k in bench.owners[bench.starts[w] : bench.starts[w + 1]].tolist())
+        m = longest_matches(bench, window, place)
+        matches.append(np.insert(m, 2, b, axis=1))
     hit = np.cumsum(mark) > 0
-    owner = np.searchsorted(offsets, place, "right") - 1
-    pairs = np.unique(np.stack([owner, window], 1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
-    cut = np.searchsorted(pairs[:, 0], np.arange(len(docs) + 1))
+    found = outermost(np.concatenate(matches))
+    cut = np.searchsorted(found[:, 0], offsets)
     for i, d in enumerate(docs):
-        items = sorted({int(k) for w in pairs[cut[i] : cut[i + 1], 1] for k in bench.owners[bench.starts[w] : bench.starts[w + 1]]})
-        own = hit[offsets[i] : offsets[i] + len(d)]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).reshape(-1, 2) if items else np.zeros((0, 2), int)
-        yield len(d), int(own.sum()), items, edges
+        own = found[cut[i] : cut[i + 1]].copy()
+        own[:, :2] -= offsets[i]
+        yield len(d), int(hit[offsets[i] : offsets[i] + len(d)].sum()), sorted(items[i]), own
 
 
-FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<start:int,end:int,item:string,item_start:int>>"
 
 
-def found(bench: Bench, text: Column) -> Column:
-    """Struct of FOUND for each text; spans are the longest runs of hit words, of one item or several."""
+def found(blocks: list[Broadcast], text: Column) -> Column:
+    """Struct of FOUND for each text; matches are the longest verbatim ones, in words, with a place in the benchmark."""
 
     @pandas_udf(FOUND)
     def look(s: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, benches = [], [b.value for b in blocks]
         for part in batches([t if t is not None else "" for t in s], 4_000_000):
-            rows += [(n, h, [bench.items[k] for k in items], [{"start": int(a), "end": int(b)} for a, b in e]) for n, h, items, e in judge(bench, part)]
+            for n, h, items, m in judge(benches, part):
+                at = [{"start": a, "end": e, "item": benches[b].items[k], "item_start": w} for a, e, b, k, w in m.tolist()]
+                rows.append((n, h, [benches[b].items[k] for b, k in items], at))
         release()
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
+        return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "matches"])
 
     return look(text)
 
 
-def bench_blocks(benchmark: DataFrame, max_bytes: int = 32_000_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[Bench]:
-    """The benchmark in blocks of bounded size, each checked before it is sent to the executors: items come to the
-    driver a partition at a time, and a block is closed when it holds `max_bytes` of text."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+def bench_blocks(benchmark: DataFrame, max_bytes: int = 1_000_000, id_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
+    """The benchmark in blocks of bounded size, each sent to the executors by a broadcast of its own.
+
+    Items come to the driver one by one in order of their ids and a block is closed when it holds `max_bytes` of text (an
+    item that is longer is a block of its own). The driver keeps a block only while it is built: broadcasts lie in files.
+    Python workers hold all blocks, about 50 bytes for each byte of the benchmark, which doesn't grow with the corpus.
+    """
+    block, size, out = [], 0, []
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
+    send = benchmark.sparkSession.sparkContext.broadcast
     for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size >= max_bytes:
-            yield Bench(block)
+        more = len(r.t.encode("utf-8", "replace"))
+        if block and size + more > max_bytes:
+            out.append(send(Bench(block)))
             block, size = [], 0
-    yield Bench(block)
+        block.append((r.i, r.t))
+        size += more
+    return [*out, send(Bench(block))]
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = 32_000_000, out: str = "_found") -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = 1_000_000, out: str = "_found") -> DataFrame:
     """`docs` with a struct column of FOUND over all blocks of the benchmark (one pass over the texts for all)."""
-    parts = [found(b, F.col(text_col)) for b in bench_blocks(benchmark, max_bytes)]
-    if len(parts) == 1:
-        return docs.withColumn(out, parts[0])
-    all_ = F.array(*parts)
-    spans = F.flatten(F.transform(all_, lambda x: x["spans"]))
-    spots = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["start"], x["end"] - 1))))
-    one = F.struct(parts[0]["n_words"].alias("n_words"), F.size(spots).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.transform(all_, lambda x: x["items"]))).alias("items"), spans.alias("spans"))
-    return docs.withColumn(out, one)
+    return docs.withColumn(out, found(bench_blocks(benchmark, max_bytes), F.col(text_col)))
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 32_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: a row for each row of `docs`.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1_000_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, matches: a row for each row of `docs`.
 
     Null and empty texts have no words and no hits. Null item texts count as absent; rows of an equal
     item_id are one item, and so are those with a null one, which is counted in n_items and not part of items_sha256. An empty
-    benchmark hits nothing. Other columns are not read.
+    benchmark hits nothing. Other columns are not read. matches are the longest verbatim ones (start and end in words of the
+    document, item, start in the item), those within another left out; of several places in the benchmark one is named.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     f = with_matches(d, benchmark, "text", max_bytes).select("doc_id", "_found.*")
     items = F.array_sort(F.array_distinct("items"))
-    return f.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), items.alias("items"), "spans")
+    return f.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), items.alias("items"), "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -300,6 +300,53 @@ def test_op6_items_without_id_hit(spark):
     assert [x.doc_id for x in suffix_decontam.decontaminate(docs, b).collect()] == [2]
 
 
+def longest(doc, items, n=13):
+    """All (start, end) of verbatim matches of at least a window (or a whole shorter item) that no other contains."""
+    d, found = suffix_decontam.words(doc), set()
+    for _, text in items:
+        w = suffix_decontam.words(text)
+        for i in range(len(d) if w else 0):
+            for j in range(len(w)):
+                k = 0
+                while i + k < len(d) and j + k < len(w) and d[i + k] == w[j + k]:
+                    k += 1
+                if k >= min(n, len(w)):
+                    found.add((i, i + k))
+    return sorted(x for x in found if not any(a <= x[0] and x[1] <= b and (a, b) != x for a, b in found))
+
+
+def test_op6_longest_matches_and_their_places():
+    r, n = random.Random(3), 0
+    for _ in range(300):
+        voc = "abc"[: r.choice([1, 2, 3])]
+        items = [(str(k), " ".join(r.choice(voc) for _ in range(r.choice([0, 1, 3, 8, 13, 14, 20, 45])))) for k in range(r.randint(0, 5))]
+        docs = []
+        for _ in range(3):
+            t = []
+            for _ in range(r.randint(0, 4)):
+                w = r.choice(items)[1].split() if items and r.random() < 0.6 else [r.choice(voc) for _ in range(15)]
+                a = r.randint(0, len(w))
+                t += w[a : a + r.randint(1, 45)]
+            docs.append(" ".join(t))
+        cut = r.randint(0, len(items))
+        for blocks in ([items], [items[:cut], items[cut:]]):
+            for t, (_, _, _, m) in zip(docs, suffix_decontam.judge([suffix_decontam.Bench(x) for x in blocks], docs)):
+                assert [(a, e) for a, e, *_ in m.tolist()] == longest(t, items), (t, items)
+                for a, e, b, k, w in m.tolist():
+                    assert suffix_decontam.words(blocks[b][k][1])[w : w + e - a] == suffix_decontam.words(t)[a:e]
+                n += len(m)
+    assert n > 1000
+
+
+def test_op6_adjacent_items_are_two_matches_and_long_repeats_end(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(13)) for c in "uv")
+    docs = spark.createDataFrame([(1, f"{one} {two}"), (2, "a " * 300_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(5, one), (6, f"x {two} y"), (7, "a " * 500)], "item_id long, text string")
+    got = {x.doc_id: x for x in suffix_decontam.contamination(docs, b).collect()}
+    assert [tuple(m) for m in got[1].matches] == [(0, 13, "5", 0), (13, 26, "6", 1)] and got[1].n_hit == 26
+    assert len(got[2].matches) == 299_501 and got[2].n_hit == 300_000
+
+
 def test_op7_brute_force(spark, docs, rows):
     got = collections.Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex) for x in secret_dfa.scan_secrets(docs).collect())
     want = collections.Counter()
