@@ -35,4 +35,9 @@ def hashed_vector(text: str, dim: int = 16) -> list[float]:
 
 
 register("embed_text", "array<double>", lambda s: s.map(hashed_vector))
+register("embed_image", "array<double>", lambda s: s.map(lambda b: hashed_vector(b.hex() if b is not None else "")))
+register("caption", "string", lambda s: s.map(lambda b: f"an image of {len(b)} bytes" if b is not None else None))
+register("detect", "array<struct<name:string,score:double>>", lambda s: s.map(lambda t: [{"name": w, "score": 1 / (k + 1)} for k, w in enumerate((t or "").split())]))
+register("segment", "array<int>", lambda s: s.map(lambda b: [int(b is not None), len(b or b"")]))
+register("entities", "array<string>", lambda s: s.map(lambda t: [w for w in (t or "").split() if w[:1].isupper()]))
 register("nouns", "array<string>", lambda s: s.map(lambda t: [w for w in (t or "").lower().split() if w.isalpha() and len(w) > 3]))

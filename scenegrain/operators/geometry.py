@@ -7,17 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenegrain.functions.scalar import pixel, rotation
+from scenegrain.operators.blocks import with_each
 
 
 def to_camera(points: DataFrame, frames: DataFrame) -> DataFrame:
     """Every point in every frame's camera. Frames (frame_id, r00..r22 by row as `rot`, `t`, fx, fy, cx, cy) are camera
-    to world; the inverse of a rigid pose is its transpose. Frames of a scene are few and checked in size before they
-    are broadcast; beyond that Spark chooses the join."""
-    few = frames.limit(10_001).count() <= 10_000
-    f = F.broadcast(frames) if few else frames
+    to world; the inverse of a rigid pose is its transpose. Frames are broadcast in blocks of bounded size."""
     d = [F.col(c) - F.col("t")[i] for i, c in enumerate("xyz")]
     cam = [sum((F.col("rot")[3 * r + c] * d[r] for r in (1, 2)), F.col("rot")[c] * d[0]) for c in range(3)]
-    return points.crossJoin(f).select("frame_id", "point_id", *(v.alias(n) for v, n in zip(cam, ("px", "py", "pz"))), "fx", "fy", "cx", "cy")
+    return with_each(points, frames, "frame_id").select("frame_id", "point_id", *(v.alias(n) for v, n in zip(cam, ("px", "py", "pz"))), "fx", "fy", "cx", "cy")
 
 
 def project(points: DataFrame, frames: DataFrame) -> DataFrame:
@@ -97,7 +95,7 @@ def voxelize(points: DataFrame, sizes: list[float], order: list[str], label: str
 
 def voxel_inverse(points: DataFrame, sizes: list[float], order: list[str]) -> DataFrame:
     """Each point with the first point of its voxel."""
-    v = points.select("*", *voxel([F.col(c) for c in "xyz"], sizes))
+    v = points.withColumns(dict(zip(("vx", "vy", "vz"), voxel([F.col(c) for c in "xyz"], sizes))))
     first = v.groupBy("vx", "vy", "vz").agg(F.min(F.struct(*order)).alias("first"))
     return v.join(first, ["vx", "vy", "vz"])
 
@@ -134,6 +132,14 @@ def voxelize_affine(points: DataFrame, matrix: list[list[float]], order: list[st
     return v.crossJoin(F.broadcast(low)).withColumns({c: F.col(c) - F.col(f"lo_{c}") for c in ("vx", "vy", "vz")}).drop(*low.columns)
 
 
+def affine_voxel_map(points: DataFrame, matrix: list[list[float]], order: list[str], half: float | None = None) -> DataFrame:
+    """The inverse map of voxelize_affine(): every point (after clipping) with its voxel, whose coordinates start at 0, and
+    `first`, the struct of the `order` columns of the voxel's first point, by which other columns can be linked."""
+    v = voxel_inverse(transformed(points if half is None else clip_box(points, half), matrix), [1, 1, 1], order)
+    low = v.agg(*(F.min(c).alias(f"lo_{c}") for c in ("vx", "vy", "vz")))
+    return v.crossJoin(F.broadcast(low)).withColumns({c: F.col(c) - F.col(f"lo_{c}") for c in ("vx", "vy", "vz")}).drop(*low.columns)
+
+
 def ravel_key(points: DataFrame) -> DataFrame:
     """Adds `key`: mixed-radix number of integer coordinates vx, vy, vz after subtracting their minimum."""
     b = points.agg(*(F.min(c).alias(f"lo_{c}") for c in ("vx", "vy", "vz")), *(F.max(c).alias(f"hi_{c}") for c in ("vx", "vy", "vz")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
@@ -24,13 +26,24 @@ def top_per_mask(cov: DataFrame, k: int = 10, seg: str = "spt_id", mask: str = "
     return cov.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
+def vector_sum(vec: str) -> Column:
+    """Sum of array columns by position, one buffer a group: rows aren't exploded, and partial sums meet before a shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(vec).cast("array<double>"))))
+
+
+def unit_rows(sums: DataFrame, key: str, scale: Column) -> DataFrame:
+    """key, pos, val from sums `_s`: divided by `scale`, then of unit length; a zero vector stays."""
+    m = sums.select(key, F.transform("_s", lambda x: x / scale).alias("_m"))
+    norm = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
+    m = m.withColumn("_n", norm).select(key, F.posexplode("_m").alias("pos", "_x"), "_n")
+    return m.select(key, "pos", (F.col("_x") / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("val"))
+
+
 def mean_vectors(df: DataFrame, key: str, vec: str, weight_eps: float = EPS) -> DataFrame:
-    """key, pos, val: the sum of the vectors over (count + eps), long form, of unit length over each key."""
-    n = df.groupBy(key).agg(F.count("*").alias("n"))
-    s = df.select(key, F.posexplode(vec).alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    m = s.join(n, key).select(key, "pos", (F.col("s") / (F.col("n") + weight_eps)).alias("m"))
-    norm = m.groupBy(key).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    return m.join(norm, key).select(key, "pos", F.when(F.col("norm") > 0, F.col("m") / F.col("norm")).otherwise(F.col("m")).alias("val"))
+    """key, pos, val: the sum of the vectors over (count + eps), long form, of unit length over each key. Null vectors
+    don't count; vectors of a key have one length."""
+    s = df.where(F.col(vec).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"), vector_sum(vec).alias("_s"))
+    return unit_rows(s, key, F.col("_c") + weight_eps)
 
 
 def as_arrays(long: DataFrame, key: str, out: str = "feat") -> DataFrame:
@@ -41,11 +54,8 @@ def as_arrays(long: DataFrame, key: str, out: str = "feat") -> DataFrame:
 def point_features(hits: DataFrame, visible: DataFrame, masks: DataFrame) -> DataFrame:
     """point_id, pos, val: features of all covering masks of a point, summed, over the number of its visible frames."""
     frames = visible.groupBy("point_id").agg(F.countDistinct("frame_id").alias("seen"))
-    f = hits.join(masks, ["frame_id", "mask_id"]).select("point_id", F.posexplode("feat").alias("pos", "x"))
-    s = f.groupBy("point_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("s")).join(frames, "point_id")
-    m = s.select("point_id", "pos", (F.col("s") / F.col("seen")).alias("m"))
-    norm = m.groupBy("point_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    return m.join(norm, "point_id").select("point_id", "pos", (F.col("m") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("val"))
+    f = hits.join(masks.where("feat IS NOT NULL"), ["frame_id", "mask_id"])
+    return unit_rows(f.groupBy("point_id").agg(vector_sum("feat").alias("_s")).join(frames, "point_id"), "point_id", F.col("seen"))
 
 
 def segment_confidence(cov: DataFrame, scores: DataFrame, seg: str = "spt_id") -> DataFrame:
@@ -53,13 +63,25 @@ def segment_confidence(cov: DataFrame, scores: DataFrame, seg: str = "spt_id") -
     return g.select(seg, F.greatest(F.lit(0.0), F.col("a") / (F.col("b") + EPS)).alias("conf"))
 
 
-def relation_matrix(members: DataFrame, group: str, item: str) -> DataFrame:
-    """i, j, inter, iou, precision, recall of every two groups that share an item (also with themselves). Pairs meet on
-    the item after repeats are dropped; AQE splits items that many groups share."""
+def relation_matrix(members: DataFrame, group: str, item: str, weights: DataFrame | None = None) -> DataFrame:
+    """i, j, inter, iou, precision, recall of every two groups that share an item (also with themselves).
+
+    Pairs meet on the item once, i <= j, are counted there, and mirrored after the count. `weights` (item, weight) makes
+    sums of weights of the counts; items without a weight count 0, so those of weight 0 can be left out of it. Repeated
+    members count once; null groups and items are ignored. An item of n groups makes n * (n + 1) / 2 pairs.
+    """
     m = members.select(F.col(group).alias("g"), F.col(item).alias("p")).where("g IS NOT NULL AND p IS NOT NULL").distinct()
-    n = m.groupBy("g").agg(F.count("*").alias("n"))
-    pairs = m.withColumnRenamed("g", "i").join(m.withColumnRenamed("g", "j"), "p").groupBy("i", "j").agg(F.count("*").alias("inter"))
+    if weights is None:
+        m, total = m.withColumn("w", F.lit(1)), F.count("*")
+    else:
+        m, total = m.join(weights.select(F.col(item).alias("p"), F.col("weight").alias("w")), "p"), F.sum("w")
+    n = m.groupBy("g").agg(total.alias("n"))
+    other = m.select("p", F.col("g").alias("j"))
+    pairs = m.withColumnRenamed("g", "i").join(other, "p").where("i <= j").groupBy("i", "j").agg(total.alias("inter"))
     d = pairs.join(n.select(F.col("g").alias("i"), F.col("n").alias("ni")), "i").join(n.select(F.col("g").alias("j"), F.col("n").alias("nj")), "j")
+    side = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(f"n{i}").alias("ni"), F.col(f"n{j}").alias("nj"))
+    both = F.when(F.col("i") == F.col("j"), F.array(side("i", "j"))).otherwise(F.array(side("i", "j"), side("j", "i")))
+    d = d.select("inter", F.explode(both).alias("s")).select("inter", "s.*")
     return d.select("i", "j", "inter", (F.col("inter") / (F.col("ni") + F.col("nj") - F.col("inter") + EPS)).alias("iou"), (F.col("inter") / (F.col("nj") + EPS)).alias("precision"), (F.col("inter") / (F.col("ni") + EPS)).alias("recall"))
 
 
@@ -89,8 +111,11 @@ def argmax(df: DataFrame, key: str, cls: str, score: str) -> DataFrame:
     return df.groupBy(key).agg(best.alias("b")).select(key, (-F.col("b.c")).alias(cls), F.col("b.s").alias(score))
 
 
-def resolve_masks(hits: DataFrame, scores: DataFrame, item: str, threshold: float | None = None) -> DataFrame:
-    """The best mask of each item (smallest id of equal ones); with a threshold all of the best score or above it."""
+def resolve_masks(hits: DataFrame, scores: DataFrame, item: str, threshold: float | None = None, items: DataFrame | None = None) -> DataFrame:
+    """The best mask of each item (smallest id of equal ones); with a threshold all of the best score or above it. With
+    `items`, those that no mask covers come too, with nulls."""
+    if items is not None:
+        return items.select(item).join(resolve_masks(hits, scores, item, threshold), item, "left")
     d = hits.join(scores, "mask_id")
     if threshold is None:
         return d.withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("score"), "mask_id"))).where("_r = 1").drop("_r")
@@ -118,10 +143,12 @@ def last_writer(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return df.groupBy(key).agg(F.max(F.struct(*order, value)).alias("_l")).select(key, F.col(f"_l.{value}").alias(value))
 
 
-def lookup(df: DataFrame, key: str, vocab: DataFrame, vkey: str, value: str, default) -> DataFrame:
-    """`value` of the first row of the vocabulary with the key, or the default."""
-    v = vocab.select(F.col(vkey).alias("_k"), F.col(value).alias("_v")).groupBy("_k").agg(F.min("_v").alias("_v"))
-    return df.join(v, df[key] == v["_k"], "left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_k", "_v")
+def lookup(df: DataFrame, key: str, vocab: DataFrame, vkey: str, value: str, default, order: list[str] | None = None) -> DataFrame:
+    """`value` of the first row of the vocabulary with the key, by `order` (or the least value), or the default."""
+    k, v = (f"{c}_of_{value}" for c in ("key", "first"))  # names of their own
+    first = F.min(F.struct(*(order or []), value))[value]
+    few = vocab.groupBy(F.col(vkey).alias(k)).agg(first.alias(v))
+    return df.join(few, F.col(key) == F.col(k), "left").withColumn(value, F.coalesce(v, F.lit(default))).drop(k, v)
 
 
 def revise_labels(gt: DataFrame, probs: DataFrame, key: str, t: float = 0.6) -> DataFrame:

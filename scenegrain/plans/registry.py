@@ -15,6 +15,7 @@ from scenegrain.operators import geometry as g
 from scenegrain.operators import graph as gr
 from scenegrain.operators import polygons as pg
 from scenegrain.operators import segments as sg
+from scenegrain.operators.blocks import with_each
 from scenegrain.sources.tables import save, table
 
 QUERIES: dict = {}
@@ -80,10 +81,10 @@ r6 = lambda col: F.round(col, 6)
 # ---- scalar arithmetic
 
 
-@q("q_adjust_intrinsic", "SELECT frame_id, round(577.870605*floor(968*640/480.0)/1296, 6) AS fx, round(577.870605*968.0/968, 6) AS fy, round(319.5*1295.0/1295, 6) AS cx, round(239.5*967.0/967, 6) AS cy FROM (SELECT DISTINCT label AS frame_id FROM embeddings) WHERE false UNION ALL SELECT vec_id, round(577.870605*floor(968*640/480.0)/640, 6), round(577.870605*968.0/480, 6), round(319.5*1295.0/639, 6), round(239.5*967.0/479, 6) FROM embeddings")
+@q("q_adjust_intrinsic", "WITH k AS (SELECT vec_id AS frame_id, 500 + 100*embedding[1]::DOUBLE AS fx, 500 + 100*embedding[2]::DOUBLE AS fy, 320 + embedding[3]::DOUBLE AS cx, 240 + embedding[4]::DOUBLE AS cy FROM embeddings) SELECT frame_id, round(fx*floor(968*640/480.0)/640, 6) AS fx, round(fy*968.0/480, 6) AS fy, round(cx*1295.0/639, 6) AS cx, round(cy*967.0/479, 6) AS cy FROM k")
 def q_adjust_intrinsic(spark, d):
-    k = s.adjust_intrinsic(F.lit(s.FX), F.lit(s.FY), F.lit(s.CX), F.lit(s.CY), (640, 480), (1296, 968))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), *(r6(v).alias(n) for v, n in zip(k, ("fx", "fy", "cx", "cy"))))
+    k = [b + a * F.col("embedding")[i].cast("double") for i, (a, b) in enumerate(((100, 500), (100, 500), (1, 320), (1, 240)))]
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), *(r6(v).alias(n) for v, n in zip(s.adjust_intrinsic(*k, (640, 480), (1296, 968)), ("fx", "fy", "cx", "cy"))))
 
 
 @q("q_project", VIEW + "SELECT frame_id, point_id, u, v, round(pz,6) AS pz FROM proj")
@@ -117,11 +118,9 @@ def vocabulary(spark, d):
 
 
 def class_scores(spark, d):
-    """Every point against the classes, whose number is checked before they are broadcast."""
-    v = vocabulary(spark, d)
-    v = save(v, "classes")
-    v = F.broadcast(v) if v.count() <= 10_000 else v
-    return points(spark, d).select("point_id", "spt_id", "feat").crossJoin(v).select("point_id", "spt_id", "class_id", s.dot(F.col("feat"), F.col("t")).alias("logit"))
+    """Every point against the classes, in blocks of checked size."""
+    v = save(vocabulary(spark, d), "classes")
+    return with_each(points(spark, d).select("point_id", "spt_id", "feat"), v, "class_id").select("point_id", "spt_id", "class_id", s.dot(F.col("feat"), F.col("t")).alias("logit"))
 
 
 CLS = f"WITH {P_SQL}, {CENTRE}, lg AS (SELECT point_id, spt_id, class_id, list_dot_product(feat::DOUBLE[], t) AS logit FROM p, voc), sm AS (SELECT *, exp(logit-max(logit) OVER w)/sum(exp(logit)) OVER w*exp(max(logit) OVER w) AS p FROM lg WINDOW w AS (PARTITION BY point_id)) "
@@ -221,11 +220,20 @@ def q_visibility(spark, d):
     return visible(spark, d).groupBy("point_id").agg(F.countDistinct("frame_id").alias("n_frames"))
 
 
-@q("q_resize_mask", VIEW + ", px AS (SELECT frame_id, mask_id, unnest(range(0,240)) AS y FROM rect), pxx AS (SELECT frame_id, mask_id, y, unnest(range(0,320)) AS x FROM px) SELECT r.frame_id, r.mask_id, count(*) AS area, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, (SELECT count(*) FROM embeddings) AS n_points FROM pxx JOIN rect r USING (mask_id) WHERE x*2>=x0 AND x*2<x1 AND y*2>=y0 AND y*2<y1 GROUP BY 1,2")
+#: Vectors as masks: a rectangle of up to 20 by 20 pixels for each.
+BOX_SQL = "b AS (SELECT vec_id AS mask_id, CAST(label AS BIGINT) AS frame_id, CAST(floor(abs(embedding[1]::DOUBLE)*300) AS INTEGER) AS x0, CAST(floor(abs(embedding[2]::DOUBLE)*200) AS INTEGER) AS y0, 1+CAST(floor(abs(embedding[3]::DOUBLE)*19) AS INTEGER) AS w, 1+CAST(floor(abs(embedding[4]::DOUBLE)*19) AS INTEGER) AS h FROM embeddings)"
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    size = lambda i, k: F.floor(F.abs(F.col("embedding")[i].cast("double")) * k).cast("int")
+    b = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("frame_id"), F.col("vec_id").alias("mask_id"), size(0, 300).alias("x0"), size(1, 200).alias("y0"), (size(2, 19) + 1).alias("w"), (size(3, 19) + 1).alias("h"))
+    return b.select("frame_id", "mask_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+
+
+@q("q_resize_mask", f"WITH {BOX_SQL}, px AS (SELECT frame_id, mask_id, x, y0, h FROM b, LATERAL (SELECT unnest(range(CAST(ceil(x0*1.5) AS BIGINT), CAST(ceil((x0+w)*1.5) AS BIGINT))) AS x)), p AS (SELECT frame_id, mask_id, x, y FROM px, LATERAL (SELECT unnest(range(CAST(ceil(y0*1.5) AS BIGINT), CAST(ceil((y0+h)*1.5) AS BIGINT))) AS y)) SELECT frame_id, mask_id, count(*) AS area, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM p GROUP BY 1,2")
 def q_resize_mask(spark, d):
-    p = g.resize_pixels(g.mask_pixels(rects(spark)), (640, 480), (320, 240))
-    n = points(spark, d).agg(F.count("*").alias("n_points"))
-    return p.groupBy("frame_id", "mask_id").agg(F.count("*").alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy")).crossJoin(F.broadcast(n))
+    p = g.resize_pixels(g.mask_pixels(boxes(spark, d)), (640, 480), (960, 720))
+    return p.groupBy("frame_id", "mask_id").agg(F.count("*").alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
 @q("q_mask_bbox", VIEW + "SELECT frame_id, mask_id, min(u) AS x0, min(v) AS y0, max(u)+1 AS x1, max(v)+1 AS y1, count(*) AS area FROM (SELECT DISTINCT h.frame_id, h.mask_id, u, v FROM hits h JOIN vis USING (frame_id, point_id)) GROUP BY 1,2 HAVING count(*) >= 32")
@@ -294,6 +302,19 @@ def q_resolve_3d(spark, d):
     return sg.resolve_masks(hits(spark, d), rects(spark).select("mask_id", "score"), "point_id").select("point_id", "mask_id")
 
 
+@q("q_resolve_3d_all", VIEW + "SELECT p.point_id, mask_id IS NOT NULL AS covered, coalesce(mask_id, -1) AS mask_id FROM p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY score DESC, mask_id) AS r FROM hits) h ON h.point_id=p.point_id AND r=1")
+def q_resolve_3d_all(spark, d):
+    r = sg.resolve_masks(hits(spark, d), rects(spark).select("mask_id", "score"), "point_id", items=points(spark, d))
+    return r.select("point_id", F.col("mask_id").isNotNull().alias("covered"), F.coalesce("mask_id", F.lit(-1)).alias("mask_id"))
+
+
+@q("q_relation_weighted", "WITH m AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS p FROM lineitem JOIN part ON p_partkey=l_partkey WHERE p_size % 2 = 1), n AS (SELECT g, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.g AS i, b.g AS j, count(*) AS inter FROM m a JOIN m b USING (p) GROUP BY 1,2) SELECT i, j, inter, round(inter/(a.n+b.n-inter+1e-6),6) AS iou FROM x JOIN n a ON a.g=i JOIN n b ON b.g=j")
+def q_relation_weighted(spark, d):
+    """Only items of odd size weigh."""
+    w = table(spark, d, "part").where("p_size % 2 = 1").select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("weight"))
+    return sg.relation_matrix(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", w).select("i", "j", "inter", r6("iou").alias("iou"))
+
+
 @q("q_resolve_2d", VIEW + "SELECT point_id, mask_id FROM (SELECT *, rank() OVER (PARTITION BY point_id ORDER BY score DESC) AS r FROM hits) WHERE r=1 OR score > 0.65")
 def q_resolve_2d(spark, d):
     return sg.resolve_masks(hits(spark, d), rects(spark).select("mask_id", "score"), "point_id", 0.65).select("point_id", "mask_id")
@@ -493,10 +514,10 @@ def q_semi_segments(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left_semi")
 
 
-@q("q_label_lookup", "SELECT p_partkey, coalesce(CAST((SELECT min(n_nationkey) FROM nation WHERE n_nationkey = p_size) AS INTEGER), 0) AS n_nationkey FROM part")
+@q("q_label_lookup", "WITH v AS (SELECT s_nationkey AS k, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS s_suppkey FROM supplier GROUP BY 1) SELECT p_partkey, coalesce(s_suppkey, 0) AS s_suppkey FROM part LEFT JOIN v ON k = p_size")
 def q_label_lookup(spark, d):
-    v = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_nationkey")
-    return sg.lookup(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", v, "k", "n_nationkey", 0).select("p_partkey", "n_nationkey")
+    v = table(spark, d, "supplier").select("s_nationkey", "s_acctbal", "s_suppkey")
+    return sg.lookup(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", v, "s_nationkey", "s_suppkey", 0, ["s_acctbal"]).select("p_partkey", "s_suppkey")
 
 
 @q("q_annotate", "SELECT l_partkey, arg_max(l_quantity, (l_orderkey, l_linenumber, l_suppkey, l_quantity)) AS quantity FROM lineitem GROUP BY 1")
@@ -512,9 +533,10 @@ def q_first_match(spark, d):
 
 @q("q_split", "SELECT c_custkey, CASE WHEN c_custkey % 10 < 7 THEN 'train' WHEN c_custkey % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM customer")
 def q_split(spark, d):
-    cu = table(spark, d, "customer").select("c_custkey")
-    tr, va = cu.where("c_custkey % 10 < 7").withColumn("t", F.lit("train")), cu.where("c_custkey % 10 IN (7, 8)").withColumn("v", F.lit("val"))
-    return cu.join(tr, "c_custkey", "left").join(va, "c_custkey", "left").select("c_custkey", F.coalesce("t", "v", F.lit("test")).alias("split"))
+    """Customers by the last digit against one split list, which is as small as its keys."""
+    cu = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("k"))
+    listed = spark.range(9).select(F.col("id").alias("k"), F.when(F.col("id") < 7, "train").otherwise("val").alias("split"))
+    return cu.join(F.broadcast(listed), "k", "left").select("c_custkey", F.coalesce("split", F.lit("test")).alias("split"))
 
 
 @q("q_coarse_labels", "SELECT c_custkey, r_name FROM customer JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey")
@@ -587,15 +609,15 @@ def q_clean_labels(spark, d):
     return table(spark, d, "part").select("p_partkey", s.clean_label(F.concat("p_name", F.lit("!"))).alias("t"))
 
 
-@q("q_after_marker", "SELECT conv_id, turn, lower(string_split('ask [/INST] ' || text, '[/INST]')[-1]) AS t FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@q("q_after_marker", r"SELECT conv_id, turn, lower(string_split('ask [/INST] ' || text, '[/INST]')[-1]) AS t FROM conversations")
 def q_after_marker(spark, d):
-    return table(spark, d, "conversations").where(r"text IS NOT NULL AND NOT text RLIKE '[^\\x00-\\x7F]'").select("conv_id", "turn", s.after_marker(F.concat(F.lit("ask [/INST] "), "text")).alias("t"))
+    return table(spark, d, "conversations").select("conv_id", "turn", s.after_marker(F.concat(F.lit("ask [/INST] "), "text")).alias("t"))
 
 
 @q("q_after_marker_all")
 def q_after_marker_all(spark, d):
-    """All conversations, those with null or non-ASCII texts too, which q_after_marker and its SQL leave out: engines lower these differently."""
-    return table(spark, d, "conversations").select("conv_id", "turn", s.after_marker(F.concat(F.lit("ask [/INST] "), "text")).alias("t"))
+    """As q_after_marker, held against Python's lower() instead of SQL."""
+    return q_after_marker(spark, d)
 
 
 @q("q_tokens", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) WHERE w <> '' GROUP BY 1")
@@ -728,3 +750,9 @@ def q_mask_polygons(spark, d):
 @q("q_voxelize_affine", f"WITH {P_SQL}, v AS (SELECT CAST(floor(-10*y) AS BIGINT) AS vx, CAST(floor(10*x) AS BIGINT) AS vy, CAST(floor(10*z) AS BIGINT) AS vz, point_id FROM p) SELECT vx-min(vx) OVER () AS vx, vy-min(vy) OVER () AS vy, vz-min(vz) OVER () AS vz, n, point_id FROM (SELECT vx, vy, vz, count(*) AS n, min(point_id) AS point_id FROM v GROUP BY 1,2,3)")
 def q_voxelize_affine(spark, d):
     return g.voxelize_affine(points(spark, d), [[0, -10, 0], [10, 0, 0], [0, 0, 10]], ["point_id"])
+
+
+@q("q_affine_voxel_map", f"WITH {P_SQL}, v AS (SELECT CAST(floor(-10*y) AS BIGINT) AS vx, CAST(floor(10*x) AS BIGINT) AS vy, CAST(floor(10*z) AS BIGINT) AS vz, point_id FROM p) SELECT point_id, min(point_id) OVER (PARTITION BY vx, vy, vz) AS first_id, vx-min(vx) OVER () AS vx, vy-min(vy) OVER () AS vy, vz-min(vz) OVER () AS vz FROM v")
+def q_affine_voxel_map(spark, d):
+    m = g.affine_voxel_map(points(spark, d), [[0, -10, 0], [10, 0, 0], [0, 0, 10]], ["point_id"])
+    return m.select("point_id", F.col("first.point_id").alias("first_id"), "vx", "vy", "vz")

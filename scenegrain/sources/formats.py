@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -23,6 +23,8 @@ def ply_tables(raw: bytes) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(vertices, their property names, triangles) of an ASCII or little-endian PLY file; no vertices raise."""
     head, _, body = raw.partition(b"end_header\n")
     parts, ascii_ = [], b"format ascii" in head
+    if b"format binary_big_endian" in head:
+        raise ValueError("big-endian meshes aren't read")
     for line in head.decode().splitlines():
         w = line.split()
         if w[:1] == ["element"]:
@@ -102,10 +104,10 @@ def stream_frames(raw: bytes) -> Iterator[dict]:
         pose = list(take("16f"))
         ts_color, ts_depth, n_color, n_depth = take("QQQQ")
         c, d = take(f"{n_color}s{n_depth}s")
-        yield {"sensor": sensor, "frame_id": i, "pose": pose, "intrinsic_color": matrices[0], "ts_color": ts_color, "ts_depth": ts_depth, "color_kind": COLOR_CODES[color], "depth_kind": DEPTH_CODES[depth], "depth_width": dw, "depth_height": dh, "depth_shift": shift, "color": c, "depth": d}
+        yield {"sensor": sensor, "frame_id": i, "pose": pose, "intrinsic_color": matrices[0], "extrinsic_color": matrices[1], "intrinsic_depth": matrices[2], "extrinsic_depth": matrices[3], "ts_color": ts_color, "ts_depth": ts_depth, "color_kind": COLOR_CODES[color], "depth_kind": DEPTH_CODES[depth], "depth_width": dw, "depth_height": dh, "depth_shift": shift, "color": c, "depth": d}
 
 
-STREAM = "path string, sensor string, frame_id long, pose array<float>, intrinsic_color array<float>, ts_color decimal(20,0), ts_depth decimal(20,0), color_kind string, depth_kind string, depth_width int, depth_height int, depth_shift double, color binary, depth binary"
+STREAM = "path string, sensor string, frame_id long, pose array<float>, intrinsic_color array<float>, extrinsic_color array<float>, intrinsic_depth array<float>, extrinsic_depth array<float>, ts_color decimal(20,0), ts_depth decimal(20,0), color_kind string, depth_kind string, depth_width int, depth_height int, depth_shift double, color binary, depth binary"
 
 
 def read_streams(spark: SparkSession, path: str) -> DataFrame:
@@ -173,8 +175,8 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 def run_length_pixels(masks: DataFrame, width: int) -> DataFrame:
     """mask_id, y, x from run lengths (`runs`: absent, present, absent, ...) along rows."""
-    ends = F.transform("runs", lambda x, i: F.aggregate(F.slice(F.col("runs"), 1, i + 1), F.lit(0), lambda a, b: a + b))
-    on = masks.select("mask_id", "runs", F.posexplode(ends).alias("k", "end")).where("k % 2 = 1").withColumn("begin", F.col("end") - F.col("runs")[F.col("k")]).where("begin < end")
+    to = F.sum("n").over(Window.partitionBy("mask_id").orderBy("k")).cast("int")
+    on = masks.select("mask_id", F.posexplode("runs").alias("k", "n")).withColumn("end", to).where("k % 2 = 1").withColumn("begin", (F.col("end") - F.col("n")).cast("int")).where("begin < end")
     return on.select("mask_id", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("at")).select("mask_id", F.floor(F.col("at") / width).cast("int").alias("y"), (F.col("at") % width).alias("x"))
 
 
@@ -188,3 +190,116 @@ def list_frames(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     n = F.regexp_extract("path", r"(\d+)\.[^./]*$", 1)
     return f.where(n != "").select("path", n.cast("int").alias("number"))
+
+
+def png_gray16(raw: bytes) -> np.ndarray:
+    """Rows of a 16-bit grey PNG without interlacing; anything else raises."""
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, packed, head = 8, [], None
+    while at < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, at)
+        body = raw[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += size + 12
+    if head is None or (head[2], head[3], head[6]) != (16, 0, 0):
+        raise ValueError("not a plain 16-bit grey PNG")
+    width, height = head[:2]
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + 2 * width)
+    out = np.zeros((height + 1, 2 * width), np.uint8)  # the row above the first is 0
+    for y, (kind, line) in enumerate(zip(lines[:, 0].tolist(), lines[:, 1:]), 1):
+        up, row = out[y - 1], out[y]
+        if kind == 0:
+            row[:] = line
+        elif kind == 1:
+            row[:] = np.cumsum(line.reshape(-1, 2), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            row[:] = line + up
+        else:  # a pixel needs the one before it
+            above, now = up.tolist(), line.tolist()
+            for x in range(2 * width):
+                a, b, c = (now[x - 2], above[x], above[x - 2]) if x > 1 else (0, above[x], 0)
+                if kind == 3:
+                    guess = (a + b) >> 1
+                else:
+                    p = a + b - c
+                    guess = min((a, b, c), key=lambda v: abs(p - v))
+                now[x] = (now[x] + guess) & 255
+            row[:] = now
+    return out[1:].reshape(height, width, 2).view(">u2")[..., 0].astype(np.int32)
+
+
+def read_depth_images(spark: SparkSession, path: str, scale: float = 1000.0) -> DataFrame:
+    """path, width, height, depth (array by rows, in metres) of all depth PNGs under a path. Files that aren't 16-bit grey
+    PNGs raise."""
+
+    def decode(parts):
+        for pdf in parts:
+            for p, raw in zip(pdf.path, pdf.content):
+                d = png_gray16(raw)
+                yield pd.DataFrame({"path": [p], "width": [d.shape[1]], "height": [d.shape[0]], "depth": [(d.reshape(-1) / scale).tolist()]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(decode, "path string, width int, height int, depth array<double>")
+
+
+def resize_depth(images: DataFrame, width: int, height: int) -> DataFrame:
+    """Depth images brought to another size by bilinear interpolation between pixel centres; the edge is repeated."""
+
+    def axis(i, src, dst):
+        at = F.greatest(F.lit(0.0), F.least((i + 0.5) * F.col(src) / dst - 0.5, F.col(src) - 1.0))
+        low = F.floor(at).cast("int")
+        return low, F.least(low + 1, F.col(src) - 1), at - low
+
+    def pixel(i):
+        (x0, x1, fx), (y0, y1, fy) = axis(i % width, "width", width), axis(F.floor(i / width), "height", height)
+        d = lambda y, x: F.col("depth")[(y * F.col("width") + x).cast("int")]
+        return (d(y0, x0) * (1 - fx) + d(y0, x1) * fx) * (1 - fy) + (d(y1, x0) * (1 - fx) + d(y1, x1) * fx) * fy
+
+    sized = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel)
+    out = images.withColumn("depth", F.when((F.col("width") == width) & (F.col("height") == height), F.col("depth")).otherwise(sized))
+    return out.withColumns({"width": F.lit(width), "height": F.lit(height)})
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height, channels, data (row-major, blue green red) of all images under a path, decoded by Spark."""
+    i = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path)
+    return i.select(F.col("image.origin").alias("path"), *(F.col(f"image.{c}").alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))))
+
+
+def write_masks(masks: DataFrame, path: str) -> None:
+    """Masks of frames (split, scene_id, frame_id, mask_id, runs), a folder for each split and scene; those written replace
+    what was there, other scenes stay."""
+    masks.write.mode("overwrite").partitionBy("split", "scene_id").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_masks(spark: SparkSession, path: str, split: str, scene_id: str, frame_id: int | None = None) -> DataFrame:
+    """The masks of a scene, or of one of its frames; only that scene's folder is read."""
+    m = spark.read.parquet(path).where((F.col("split") == split) & (F.col("scene_id") == scene_id))
+    return m if frame_id is None else m.where(F.col("frame_id") == frame_id)
+
+
+def list_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """scene_id and folder of every folder right under a path that holds a file, by path; contents are not read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    root = path.rstrip("/").split("://")[-1].split(":", 1)[-1].lstrip("/")
+    at = F.locate(root, F.col("path")) + len(root)
+    rest = F.expr("substring(path, at + 1)")
+    d = f.withColumn("at", at).where("at > 0").withColumn("scene_id", F.split(rest, "/")[0]).where(F.contains(rest, F.lit("/")))
+    return d.select("scene_id", F.concat(F.expr("substring(path, 1, at)"), "scene_id").alias("folder")).distinct().orderBy("folder")
+
+
+def write_ply(points: DataFrame, path: str, label: bool = False) -> None:
+    """One ASCII PLY of the points of each scene (scene_id, point_id, x, y, z, red, green, blue and, `label`, label), as the
+    text of a row in a folder for each scene; a scene is one group, sorted by point_id."""
+    cols = ["x", "y", "z", "red", "green", "blue", *(["label"] if label else [])]
+
+    def text(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("point_id")[cols].to_numpy(float)
+        return pd.DataFrame({"scene_id": [pdf.scene_id.iloc[0]], "value": [ply_bytes(v, with_label=label).decode().rstrip("\n")]})
+
+    d = points.select("scene_id", "point_id", *cols).groupBy("scene_id").applyInPandas(text, "scene_id string, value string")
+    d.write.mode("overwrite").partitionBy("scene_id").text(path)

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from scenegrain.functions import models
 from scenegrain.functions import scalar as s
+from scenegrain.operators import blocks
 from scenegrain.operators import cluster as c
+from scenegrain.operators import crops
 from scenegrain.operators import geometry as g
 from scenegrain.operators import graph as gr
 from scenegrain.operators import polygons as pg
+from scenegrain.operators import segments as sg
 from scenegrain.sources import formats as fm
 from scenegrain.streaming import accumulate
 
@@ -168,3 +171,95 @@ def test_list_frames(spark, tmp_path):
     for n in ("10.jpg", "2.jpg", "frame-7.png", "notes.txt"):
         (tmp_path / n).write_bytes(b"x")
     assert [r.number for r in fm.list_frames(spark, str(tmp_path)).orderBy("number").collect()] == [2, 7, 10]
+
+
+def test_blocks_make_all_pairs_once(spark):
+    a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(25).withColumnRenamed("id", "b")
+    for most in (4, 10_000):
+        got = [tuple(r) for r in blocks.with_each(a, b, "b", most).collect()]
+        assert sorted(got) == [(i, j) for i in range(7) for j in range(25)]
+
+
+def png16(image, kinds):
+    """A 16-bit grey PNG whose line y is filtered by kinds[y]."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines, up = b"", [0] * (2 * image.shape[1])
+    for kind, row in zip(kinds, image):
+        raw = list(row.astype(">u2").tobytes())
+        out = []
+        for x, v in enumerate(raw):
+            left, corner = (raw[x - 2], up[x - 2]) if x > 1 else (0, 0)
+            p = left + up[x] - corner
+            paeth = min((left, up[x], corner), key=lambda q: abs(p - q))
+            out.append((v - (0, left, up[x], (left + up[x]) // 2, paeth)[kind]) % 256)
+        lines, up = lines + bytes([kind, *out]), raw
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 16, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_depth_images(spark, tmp_path):
+    image = np.random.default_rng(1).integers(0, 65536, (10, 7))
+    (tmp_path / "3.png").write_bytes(png16(image, [0, 1, 2, 3, 4, 4, 3, 2, 1, 0]))
+    d = fm.read_depth_images(spark, str(tmp_path))
+    r = d.first()
+    assert (r.width, r.height) == (7, 10) and np.allclose(np.array(r.depth).reshape(10, 7), image / 1000)
+    assert fm.resize_depth(d, 7, 10).first().depth == r.depth
+    for w, h in ((14, 5), (3, 20)):
+        got = np.array(fm.resize_depth(d, w, h).first().depth).reshape(h, w)
+        at = lambda n, src: np.clip((np.arange(n) + 0.5) * src / n - 0.5, 0, src - 1)
+        rows = np.array([np.interp(at(w, 7), np.arange(7), row) for row in image / 1000])
+        want = np.array([np.interp(at(h, 10), np.arange(10), col) for col in rows.T]).T
+        assert np.allclose(got, want)
+    for raw in (b"no image", png16(image, [0] * 10)[:20]):
+        try:
+            fm.png_gray16(raw)
+            raise AssertionError("read")
+        except (ValueError, struct.error):
+            pass
+
+
+def test_images_masks_scenes_and_meshes(spark, tmp_path):
+    for scene in ("scene_b", "scene_a"):
+        (tmp_path / "scans" / scene).mkdir(parents=True)
+        (tmp_path / "scans" / scene / "x.txt").write_text("x")
+    assert [r.scene_id for r in fm.list_scenes(spark, str(tmp_path / "scans")).collect()] == ["scene_a", "scene_b"]
+    m = spark.createDataFrame([("train", "a", 0, 1, [0, 2]), ("train", "b", 1, 1, [1, 3]), ("val", "a", 0, 2, [4])], "split string, scene_id string, frame_id long, mask_id long, runs array<int>")
+    fm.write_masks(m, str(tmp_path / "masks"))
+    fm.write_masks(m.where("scene_id = 'b'").withColumn("mask_id", F.lit(9)), str(tmp_path / "masks"))
+    assert [r.mask_id for r in fm.read_masks(spark, str(tmp_path / "masks"), "train", "b", 1).collect()] == [9]
+    assert fm.read_masks(spark, str(tmp_path / "masks"), "train", "a").count() == 1
+    p = spark.createDataFrame([("s", i, i / 2, 0.0, 1.0, 1, 2, 3) for i in range(5)], "scene_id string, point_id long, x double, y double, z double, red int, green int, blue int")
+    fm.write_ply(p, str(tmp_path / "ply"))
+    files = list((tmp_path / "ply" / "scene_id=s").glob("*.txt"))
+    v, names, _ = fm.ply_tables(files[0].read_bytes())
+    assert len(files) == 1 and names == ["x", "y", "z", "red", "green", "blue"] and v[3].tolist() == [1.5, 0, 1, 1, 2, 3]
+    try:
+        fm.ply_tables(b"ply\nformat binary_big_endian 1.0\nelement vertex 1\nproperty float x\nend_header\n\0\0\0\0")
+        raise AssertionError("read")
+    except ValueError:
+        pass
+
+
+def test_crops_are_the_boxes_of_large_masks(spark):
+    w, h = 12, 9
+    data = np.arange(w * h * 3, dtype=np.uint8).reshape(h, w, 3)
+    images = spark.createDataFrame([(1, w, 3, bytearray(data.tobytes()))], "frame_id long, width int, channels int, data binary")
+    px = [(1, 1, x, y) for x in range(2, 10) for y in range(1, 6)] + [(1, 2, 0, 0)] + [(2, 3, x, y) for x in range(8) for y in range(8)]
+    pixels = spark.createDataFrame(px, "frame_id long, mask_id long, x long, y long")
+    got = crops.crop_features(images, pixels).collect()
+    assert [(r.mask_id, r.area) for r in got] == [(1, 40)]
+    assert np.allclose(got[0].feat, models.hashed_vector(data[1:6, 2:10].tobytes().hex()))
+
+
+def test_weights_first_matches_and_uncovered_items(spark):
+    m = spark.createDataFrame([(g, p) for g, ps in {1: [1, 2, 3], 2: [2, 3, 3], 3: [9], None: [1]}.items() for p in ps] + [(1, None)], "g long, p long")
+    w = spark.createDataFrame([(1, 1.0), (2, 0.5), (3, 2.0)], "p long, weight double")
+    got = {(r.i, r.j): (r.inter, round(r.precision, 3), round(r.recall, 3)) for r in sg.relation_matrix(m, "g", "p", w).collect()}
+    assert got == {(1, 1): (3.5, 1.0, 1.0), (1, 2): (2.5, 1.0, 0.714), (2, 1): (2.5, 0.714, 1.0), (2, 2): (2.5, 1.0, 1.0)}
+    v = spark.createDataFrame([(1, 5, 70), (1, 4, 80)], "k long, at long, value long")
+    df = spark.createDataFrame([(1, 0), (2, 0)], "key long, _k long")
+    assert [tuple(r) for r in sg.lookup(df, "key", v, "k", "value", -1, ["at"]).orderBy("key").collect()] == [(1, 0, 80), (2, 0, -1)]
+    e = spark.createDataFrame([(1, [3.0, 0.0]), (1, [0.0, 4.0]), (1, None), (2, [0.0, 0.0])], "k long, v array<double>")
+    assert sorted((r.k, r.pos, round(r.val, 6)) for r in sg.mean_vectors(e, "k", "v").collect()) == [(1, 0, 0.6), (1, 1, 0.8), (2, 0, 0.0), (2, 1, 0.0)]
+    runs = spark.createDataFrame([(1, [2, 3, 1, 0, 4, 1])], "mask_id long, runs array<int>")
+    assert sorted((r.y, r.x) for r in fm.run_length_pixels(runs, 4).collect()) == [(0, 2), (0, 3), (1, 0), (2, 2)]
