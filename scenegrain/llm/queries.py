@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenegrain.llm import bitplanes, budget_mix, byte_cnn, fragment_jaccard, gru_lm, heap_bpe, pivots, secret_dfa, suffix_decontam, url_temporal
+from scenegrain.llm import (
+    bitplanes,
+    budget_mix,
+    byte_cnn,
+    fragment_jaccard,
+    gru_lm,
+    heap_bpe,
+    lexical_scan,
+    pivots,
+    secret_dfa,
+    suffix_decontam,
+    toxic_grammar,
+    url_temporal,
+    whitening,
+)
 from scenegrain.sources.tables import shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,7 +89,36 @@ def op10_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_temporal.temporal_filter(captures(pages), list_entries(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_token_ids, op2_pivot_near_vectors, op3_gru_lm_score, op4_heap_bpe_count, op5_byte_cnn_language, op6_suffix_decontamination, op7_secret_dfa, op8_fragment_jaccard, op9_budget_mix, op10_temporal_url_list)}
+def op11_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_grammar.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bitplane_token_ids,
+        op2_pivot_near_vectors,
+        op3_gru_lm_score,
+        op4_heap_bpe_count,
+        op5_byte_cnn_language,
+        op6_suffix_decontamination,
+        op7_secret_dfa,
+        op8_fragment_jaccard,
+        op9_budget_mix,
+        op10_temporal_url_list,
+        op11_toxic_grammar,
+        op12_block_whitening,
+        op13_automaton_search,
+    )
+}
 
 ORACLES = {
     "op2_pivot_near_vectors": """
@@ -153,6 +196,21 @@ WITH p AS (
 best AS (SELECT page_id, url, count(DISTINCT domain) AS n, arg_max(domain, (length(domain), domain)) AS matched, arg_max(day, (length(domain), domain)) AS active_from FROM runs GROUP BY ALL)
 SELECT DISTINCT p.page_id, host, fetch_day, CAST(coalesce(n, 0) AS BIGINT) AS n_active, matched, CAST(coalesce(active_from, -1) AS BIGINT) AS active_from, coalesce(n, 0) > 0 AS blocked
 FROM p LEFT JOIN best ON best.page_id = p.page_id AND best.url = p.url
+""",
+    "op13_automaton_search": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+), s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t WHERE term IN (SELECT term FROM b) GROUP BY term),
+p AS (
+  SELECT doc_id, t.term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part
+  FROM t JOIN f ON f.term = t.term, s
+), scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM p JOIN b ON b.term = p.term GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """,
 }
 
