@@ -296,21 +296,27 @@ def pruned(counts: dict[str, tuple[int, int]], toxic: int, clean: int, least_odd
     return out
 
 
-def learn(labelled: DataFrame, per_label: int = 10_000, least: int = 3, most: int = 8, most_stems: int = 20_000) -> Model:
-    """From (text, toxic): fits on a bounded sample, about `per_label` different texts of each label by hash, whole.
-
-    Stems are counted by Spark over the sample; those in few toxic texts or hardly more often in toxic ones don't come to
-    the driver, nor more than `most_stems`, the commonest in toxic texts. Without texts of both labels there is the fixed
-    lexicon and the prior alone.
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = 10_000, least: int = 3, most: int = 8, most_stems: int = 20_000) -> Model:
+    """From (doc_id, text) and (labelled, toxic): fits on a bounded sample, about `per_label` different texts of each label
+    by hash, whole.
+
+    Ids and hashes alone meet the labels; the hashes that are drawn, about 2 * per_label of them, are broadcast to fetch the
+    texts. Stems are counted by Spark over the sample; those in few toxic texts or hardly more often in toxic ones don't
+    come to the driver, nor more than `most_stems`, the commonest in toxic texts. Without texts of both labels there is the
+    fixed lexicon and the prior alone.
     """
-    d = labelled.where("toxic IN (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), "text", text_hash(F.col("text")).alias("h"))
-    sizes = {r.toxic: r.n for r in d.groupBy("toxic").agg(F.countDistinct("h").alias("n")).collect()}
+    h = text_hash(F.col("text"))
+    d = docs.select("doc_id", h.alias("h")).join(labels.where("toxic IN (0, 1)"), F.col("doc_id") == F.col("labelled"))
+    # Of each label and different text the smallest id.
+    d = save(d.groupBy(F.col("toxic").cast("int").alias("toxic"), "h").agg(F.min("doc_id").alias("doc_id")), "labelled")
+    sizes = {r.toxic: r.n for r in d.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model({}, PRIOR)
     full = 1 << 31
     share = {k: min(full, -(-per_label * full // n)) for k, n in sizes.items()}
     drawn = d.where(F.pmod("h", F.lit(full)) < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
-    sample = save(drawn.dropDuplicates(["toxic", "h"]).select("toxic", "text"), "toxic")
+    texts = docs.withColumn("h", h).join(F.broadcast(drawn), ["doc_id", "h"])
+    sample = save(texts.dropDuplicates(["toxic", "h"]).select("toxic", "text"), "toxic")
     got = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = got.get(1, 0), got.get(0, 0)
     if not toxic or not clean:
@@ -371,6 +377,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col("doc_id").alias("labelled"), "toxic").where("labelled IS NOT NULL AND toxic IS NOT NULL").distinct()
     with small_batches(docs.sparkSession):
-        model = learn(d.where(crc_fold(F.col("doc_id"), folds) != held_out).join(known, F.col("doc_id") == F.col("labelled")).select("text", "toxic"))
+        model = learn(d.where(crc_fold(F.col("doc_id"), folds) != held_out), known)
     out = d.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), toxicity(model, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= least_score).cast("int"))
