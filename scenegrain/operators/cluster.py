@@ -151,22 +151,6 @@ def kmeans_groups(points: DataFrame, group: str, n: int, max_cells: int = 50_000
     return points.select(group, "point_id", "x", "y", "z").groupBy(group).applyInPandas(run, f"{group} long, id long, cluster long")
 
 
-def transport(scores: DataFrame, group: str, hard: bool = False) -> DataFrame:
-    """group, row, col, p: entropic transport between the rows and columns of each group's scores, equal marginals; hard:
-    the column of each row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bounded(pdf["row"].nunique() * pdf["col"].nunique(), 50_000_000, "scores")
-        m = pdf.pivot(index="row", columns="col", values="s").fillna(-10.0)
-        if hard:
-            return pd.DataFrame({group: pdf[group].iloc[0], "row": m.index, "col": m.columns.to_numpy()[sinkhorn_hard(m.to_numpy(float))], "p": 1.0})
-        plan = sinkhorn(m.to_numpy(float))
-        i, j = np.indices(plan.shape)
-        return pd.DataFrame({group: pdf[group].iloc[0], "row": m.index.to_numpy()[i.ravel()], "col": m.columns.to_numpy()[j.ravel()], "p": plan.ravel()})
-
-    return scores.select(group, "row", "col", "s").groupBy(group).applyInPandas(run, f"{group} long, row long, col long, p double")
-
-
 def spectral_point_labels(points: DataFrame, edges: DataFrame, group: str, n_clusters: int, seg: str = "spt_id", auto: bool = False) -> tuple[DataFrame, DataFrame]:
     """(point labels: point_id, cluster; segment labels: group, id, cluster): the segments' graph is clustered in each
     group and every point takes its segment's cluster. Segments without an edge have no cluster (null)."""

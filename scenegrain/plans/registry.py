@@ -657,16 +657,6 @@ def q_label_distinct(spark, d):
 # ---- iterative, without SQL
 
 
-@q("q_fps")
-def q_fps(spark, d):
-    return c.farthest_points(points(spark, d), "label", 16)
-
-
-@q("q_fps_center")
-def q_fps_center(spark, d):
-    return c.farthest_points(points(spark, d), "label", 16, centre=True)
-
-
 def label_graph(spark, d):
     e, p = near_edges(spark, d, 0.2), points(spark, d).select("point_id", "label")
     e = e.join(p.select(F.col("point_id").alias("src"), F.col("label").alias("g")), "src").join(p.select(F.col("point_id").alias("dst"), F.col("label").alias("h")), "dst")
@@ -704,23 +694,6 @@ def q_eigengap(spark, d):
     return c.eigengaps(label_graph(spark, d), "scene")
 
 
-@q("q_wkmeans")
-def q_wkmeans(spark, d):
-    return c.kmeans_groups(points(spark, d), "label", 6)
-
-
-@q("q_sinkhorn_rpm")
-def q_sinkhorn_rpm(spark, d):
-    sc = class_scores(spark, d).select((F.col("point_id") % 20).alias("g"), F.col("point_id").alias("row"), F.col("class_id").alias("col"), F.col("logit").alias("s"))
-    return c.transport(sc, "g", hard=True)
-
-
-@q("q_sinkhorn")
-def q_sinkhorn(spark, d):
-    sc = class_scores(spark, d).select((F.col("point_id") % 20).alias("g"), F.col("point_id").alias("row"), F.col("class_id").alias("col"), F.col("logit").alias("s"))
-    return c.transport(sc, "g")
-
-
 # ---- polygons and affine voxels
 
 #: Three neighbouring components of a vector make a triangle of whole pixels.
@@ -756,3 +729,6 @@ def q_voxelize_affine(spark, d):
 def q_affine_voxel_map(spark, d):
     m = g.affine_voxel_map(points(spark, d), [[0, -10, 0], [10, 0, 0], [0, 0, 10]], ["point_id"])
     return m.select("point_id", F.col("first.point_id").alias("first_id"), "vx", "vy", "vz")
+
+
+from scenegrain.plans import iterative  # noqa: E402, F401  registers its queries
