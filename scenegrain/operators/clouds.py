@@ -331,7 +331,7 @@ def balanced_kmeans(points: DataFrame, n: int, iters: int = 10, in_iters: int =
     def distances(x, mu):
         return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (mu**2).sum(1) - 2 * x @ mu.T, 0))
 
-    label = None
+    label, centres = None, np.zeros(0)
     for _ in range(iters):
         if cosine:
             mu = unit_rows(mu)
@@ -354,7 +354,9 @@ def balanced_kmeans(points: DataFrame, n: int, iters: int = 10, in_iters: int =
             total = task_sums(rows, columns, (m,))
             # exp(v) times the sums without it, and 1 for the slack row.
             with np.errstate(divide="ignore"):
-                v = -np.logaddexp(0, np.log(total) - v)
+                was, v = v, -np.logaddexp(0, np.log(total) - v)
+            if np.abs(v - was).max() < 1e-13:  # further passes would repeat this one
+                break
         label = lambda x, v=v, score=score: (score(x) + v).argmax(1)
 
         def means(x, label=label, seen=seen):
@@ -362,7 +364,10 @@ def balanced_kmeans(points: DataFrame, n: int, iters: int = 10, in_iters: int =
             return np.column_stack((hot.T @ seen(x), hot.sum(0)))
 
         sums = task_sums(rows, means, (m, len(names) + 1))
-        mu = sums[:, :-1] / (sums[:, -1:] + 1e-5)
+        new = sums[:, :-1] / (sums[:, -1:] + 1e-5)
+        if new.shape == centres.shape and np.allclose(new, centres, rtol=0, atol=1e-14):
+            break  # so would further rounds
+        centres = mu = new
 
     def assign(parts):
         for pdf in parts:

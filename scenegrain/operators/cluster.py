@@ -153,10 +153,13 @@ def kmeans_groups(points: DataFrame, group: str, n: int, max_cells: int = 50_000
 
 def spectral_point_labels(points: DataFrame, edges: DataFrame, group: str, n_clusters: int, seg: str = "spt_id", auto: bool = False) -> tuple[DataFrame, DataFrame]:
     """(point labels: point_id, cluster; segment labels: group, id, cluster): the segments' graph is clustered in each
-    group and every point takes its segment's cluster. Segments without an edge have no cluster (null)."""
+    group and every point takes its segment's cluster. Segments without an edge have no cluster (null). Where points have
+    the column `group`, segment ids may repeat in other groups."""
     labels = spectral_clusters(edges, group, n_clusters, auto)
-    of = labels.select(F.col("id").alias("seg"), "cluster")
-    return points.join(of, F.col(seg) == F.col("seg"), "left").select("point_id", "cluster"), labels
+    of = labels.select(F.col("id").alias("seg"), F.col(group).alias("of_group"), "cluster")
+    on = F.col(seg) == F.col("seg")
+    on = on & (F.col(group) == F.col("of_group")) if group in points.columns else on
+    return points.join(of, on, "left").select("point_id", "cluster"), labels
 
 
 def cluster_and_merge(points: DataFrame, edges: DataFrame, conf: DataFrame, group: str, n_clusters: int, t: float = 0.5, seg: str = "spt_id", auto: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenegrain.functions import scalar as s
-from scenegrain.operators import clouds, superpoints
-from scenegrain.plans.registry import CLS, P_SQL, class_scores, points, q, r6
+from scenegrain.operators import clouds, spectral, superpoints
+from scenegrain.plans.registry import CLS, P_SQL, class_scores, near_edges, points, q, r6
 
 # ---- farthest points
 
@@ -113,3 +113,9 @@ def with_normals(spark, d):
 @q("q_superpoints")
 def q_superpoints(spark, d):
     return superpoints.superpoints(with_normals(spark, d), k=50, r=0.1, threshold=0.01, least=20)
+
+
+@q("q_spectral_graph")
+def q_spectral_graph(spark, d):
+    """All points as one graph, whose size has no bound."""
+    return spectral.spectral_clusters(near_edges(spark, d, 0.2), 8, iters=3, in_iters=4, tol=1e-3)
