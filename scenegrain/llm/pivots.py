@@ -80,13 +80,16 @@ def met(x: np.ndarray, ref: np.ndarray, reach: float, nearest: int = 8) -> tuple
 def similar_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): equal vectors of a label form a class; classes link.
 
-    members: vec_id, node (the class, null for vectors that link with nothing); classes: node, size; links: a, b, n with
-    b <= a, rows of several tasks: a's links of the task lead to n vectors, and b is the smallest class that they reach
-    there. Vectors link only when labels are equal and not null and lengths are equal. Null, zero and non-finite ones
+    members: vec_id, node (the class, null for vectors that link with nothing); classes: node, size, low (its smallest
+    vec_id, null if all are null); links: a, b, n with b <= a, rows of several tasks: a's links of the task lead to n vectors,
+    and b is the smallest class that they reach there. Classes have numbers of their own, so ids may be null, repeat or be
+    of any size. Vectors link only when labels are equal and not null and lengths are equal. Null, zero and non-finite ones
     link with nothing.
     """
     d = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
-    good = save(d.where(F.col("label").isNotNull() & usable(F.col("vec").cast("array<double>"), F.size("vec"))).groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "classes")
+    ok = F.col("label").isNotNull() & usable(F.col("vec").cast("array<double>"), F.size("vec"))
+    classes = d.where(ok).groupBy("label", "vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("size"))
+    good = save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = d.join(good.select("label", "vec", "node"), ["label", "vec"], "left").select("vec_id", "node")
     p = n_pivots(good.count())
     # A sample of 4 p vectors, by hash: bounded by n_pivots(), 4 x 4096 vectors at most.
@@ -170,18 +173,25 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 2048,
         return pd.concat(out)
 
     links = save(dealt.groupBy("label", "dim", "pivot", "first", "second").applyInPandas(verify, "a long, b long, n long"), "links")
-    return members, good.select("node", "size"), links
+    return members, good.select("node", "size", "low"), links
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, **names) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of `vectors`.
 
     Rows of equal vectors and label link with each other. A vector that links with nothing has n_links 0, itself as
-    component_id and is kept; a null vec_id stays null. An empty table gives an empty one.
+    component_id and is kept. A null vec_id names nothing: component_id is the smallest id that isn't null, or null if there
+    is none, and a row with a null id is kept only then. Rows that share an id, of equal or different vectors, are judged each
+    by its own vector. Vectors of any length are compared, with those of their length. An empty table gives an empty one.
     """
     members, classes, links = similar_vectors(vectors, cosine, **names)
     around = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("around"))
     comps = connected_components(links.where("a <> b").select("a", "b").distinct(), "b", "a").withColumnRenamed("id", "node")
-    known = classes.join(around, "node", "left").join(comps, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    known = classes.join(around, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = save(known.select("node", "component", "low", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("n_links")), "known")
+    least = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = known.join(least, "component").select("node", "n_links", "component_id")
     out = members.join(known, "node", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    first = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
