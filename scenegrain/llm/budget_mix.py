@@ -1,9 +1,9 @@
 """Mixing sources to target weights by fitting subset sums to word budgets.
 
 Documents are counted by source, exact length and a slice of a seeded hash. Each source takes whole rounds of all its
-documents while they fit its target, then documents whose lengths sum to the rest as nearly as can be: the same share
-of every length, then long ones while they fit, then a bounded knapsack by dynamic programming over what remains. The
-documents of a length are taken in the order of the hash.
+documents while they fit its target, then documents whose lengths sum to the rest as nearly as can be, by a bounded
+knapsack in dynamic programming: an even share of every length if that meets the target, else whatever meets it best.
+The documents of a length are taken in the order of the hash.
 """
 
 from __future__ import annotations
@@ -52,27 +52,19 @@ def targets(sizes: DataFrame, limit: int = 3, weights: tuple[int, ...] = WEIGHTS
         d = save(d.withColumn("capped", F.col("capped") | over), "targets")
 
 
-def fitted(lengths: list[int], counts: list[int], budget: int, bound: int = 20_000) -> list[int]:
-    """How many of each length to take so that the sum comes as near to `budget` as it can.
+def nearest(lengths: list[int], copies: list[int], goal: int) -> list[int]:
+    """How many of each length to take so that the sum is the nearest to `goal` that can be reached, the smaller in a tie.
 
-    The same share of each length, then the longest that fit while the rest is above `bound`, then a bounded knapsack:
-    bit b of a row is set if b words can be reached with the lengths so far; rows are kept, to find the numbers again.
+    A bounded knapsack: bit b of a row is set if b words can be reached with the lengths so far; rows are kept, to find
+    the numbers again. Sums beyond twice the goal are farther from it than 0.
     """
-    total = sum(a * n for a, n in zip(lengths, counts))
-    if budget >= total:
-        return list(counts)
-    take = [n * budget // total for n in counts]
-    rest = budget - sum(a * k for a, k in zip(lengths, take))
-    for i in sorted((i for i, a in enumerate(lengths) if a), key=lambda i: -lengths[i]):
-        if rest <= bound:
-            break
-        k = min(counts[i] - take[i], (rest - bound + lengths[i] - 1) // lengths[i], rest // lengths[i])
-        take[i] += k
-        rest -= k * lengths[i]
-    most = 2 * rest  # beyond it, taking no more is nearer
-    items = []  # (index, copies): binary splitting of the copies that are left and fit
+    total = sum(a * n for a, n in zip(lengths, copies))
+    if goal <= 0 or goal >= total:
+        return [n if goal > 0 else 0 for n in copies]
+    most = min(total, 2 * goal)
+    items = []  # (index, copies): binary splitting of the copies that fit
     for i, a in enumerate(lengths):
-        left, k = (min(counts[i] - take[i], most // a), 1) if 0 < a <= most else (0, 1)
+        left, k = (min(copies[i], most // a), 1) if 0 < a <= most else (0, 1)
         while left:
             items.append((i, min(k, left)))
             left -= items[-1][1]
@@ -80,12 +72,13 @@ def fitted(lengths: list[int], counts: list[int], budget: int, bound: int = 20_0
     mask, rows = (1 << (most + 1)) - 1, [1]
     for i, k in items:
         rows.append((rows[-1] | (rows[-1] << (k * lengths[i]))) & mask)
-        if rows[-1] >> rest & 1:
+        if rows[-1] >> goal & 1:
             break
-    below = (rows[-1] & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    over = rows[-1] >> rest
-    above = rest + (over & -over).bit_length() - 1 if over else most + 1
-    at = above if above - rest < rest - below else below
+    below = (rows[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    over = rows[-1] >> goal
+    above = goal + (over & -over).bit_length() - 1 if over else most + 1
+    at = above if above - goal < goal - below else below
+    take = [0] * len(lengths)
     for row, (i, k) in reversed(list(zip(rows, items[: len(rows) - 1]))):
         if not row >> at & 1:
             at -= k * lengths[i]
@@ -93,6 +86,69 @@ def fitted(lengths: list[int], counts: list[int], budget: int, bound: int = 20_0
     return take
 
 
+def even(lengths: list[int], counts: list[int], budget: int, bound: int) -> list[int]:
+    """The same share of each length, then the longest that fit while the rest is above `bound`, then a knapsack."""
+    total = sum(a * n for a, n in zip(lengths, counts))
+    take = [n * budget // total for n in counts]
+    rest = budget - sum(a * k for a, k in zip(lengths, take))
+    for i in sorted((i for i, a in enumerate(lengths) if a), key=lambda i: -lengths[i]):
+        if rest <= bound:
+            break
+        k = min(counts[i] - take[i], (rest - bound + lengths[i] - 1) // lengths[i], rest // lengths[i])
+        take[i] += k
+        rest -= k * lengths[i]
+    return [k + x for k, x in zip(take, nearest(lengths, [n - k for n, k in zip(counts, take)], rest))] if rest <= bound else take
+
+
+def coarse(lengths: list[int], counts: list[int], goal: int, work: int, spare: int = 2) -> list[int]:
+    """About `goal` words: the same share of each length, of which up to `spare` copies are taken back and as many more may
+    be added, by a knapsack over words scaled so that its rows have `work` bits at most."""
+    total = sum(a * n for a, n in zip(lengths, counts))
+    if goal <= 0 or goal >= total:
+        return [n if goal > 0 else 0 for n in counts]
+    base = [max(0, n * goal // total - spare) for n in counts]
+    free = [min(n - k, 2 * spare) for n, k in zip(counts, base)]
+    words = sum(a * n for a, n in zip(lengths, free))
+    items = sum(n.bit_length() for n in free)
+    unit = max(1, words * items // work)
+    rest = goal - sum(a * k for a, k in zip(lengths, base))
+    return [k + x for k, x in zip(base, nearest([max(1, round(a / unit)) for a in lengths], free, round(rest / unit)))]
+
+
+def fitted(lengths: list[int], counts: list[int], budget: int, bound: int = 20_000, work: int = 1 << 29) -> list[int]:
+    """How many of each length to take so that the sum comes as near to `budget` as it can.
+
+    An even choice that meets the budget is taken as it is. Otherwise nothing of it stands: a knapsack over all copies finds
+    the best sum there is, as long as its rows have `work` bits at most (for 1000 documents, about 500,000 words). Beyond, the
+    longer ones are chosen by a scaled knapsack and the short ones exactly for what these leave; the better choice counts.
+    """
+    total = sum(a * n for a, n in zip(lengths, counts))
+    if budget >= total:
+        return list(counts)
+    take = even(lengths, counts, budget, bound)
+    error = lambda t: abs(sum(a * k for a, k in zip(lengths, t)) - budget)
+    if not error(take):
+        return take
+    pool, size, items = [0] * len(lengths), 0, 0
+    for i in sorted((i for i, a in enumerate(lengths) if a and counts[i]), key=lambda i: lengths[i]):
+        n = counts[i]
+        while n and (size + lengths[i] * n) * (items + n.bit_length()) > work:
+            n //= 2
+        pool[i], size, items = n, size + lengths[i] * n, items + n.bit_length()
+        if n < counts[i]:
+            break
+    rest = [n - k if a else 0 for a, n, k in zip(lengths, counts, pool)]
+    far = [i for i, n in enumerate(rest) if n]
+    other = [0] * len(lengths)
+    if far:
+        goal = budget * sum(lengths[i] * rest[i] for i in far) // total
+        for i, k in zip(far, coarse([lengths[i] for i in far], [rest[i] for i in far], goal, work)):
+            other[i] = k
+    fine = nearest(lengths, pool, budget - sum(a * k for a, k in zip(lengths, other)))
+    both = [k + x for k, x in zip(other, fine)]
+    return min(take, both, key=error)
+
+
 def slices(n: int) -> int:
     """Slices of the hash: no group of a source and length, even with a third of `n` rows, has a large slice."""
     return max(64, 1 << (int(n) // 100_000).bit_length())
