@@ -75,13 +75,16 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """A dated list made of the pages whose id is divisible by 20: their host, or for every second one the domain above
-    it, is added, or for every third one removed, on a day spread by the id."""
-    n = F.floor(F.col("page_id") / 20)
+    """A dated list made of all pages: the host, or for every second page the domain above it, is added, or for every third
+    one removed, on a day spread by the id."""
     host = url_temporal.host_of(F.col("url"))
     above = F.regexp_replace(host, r"^[^.]*\.", "")
-    e = pages.where("page_id % 20 = 0")
-    return e.select(F.when(n % 2 == 0, host).otherwise(above).alias("domain"), (F.col("page_id") * 104729 % DAYS).alias("day"), F.when(n % 3 == 2, "remove").otherwise("add").alias("action"), F.col("page_id").alias("entry_id"))
+    return pages.select(
+        F.when(F.col("page_id") % 2 == 0, host).otherwise(above).alias("domain"),
+        (F.col("page_id") * 104729 % DAYS).alias("day"),
+        F.when(F.col("page_id") % 3 == 2, "remove").otherwise("add").alias("action"),
+        F.col("page_id").alias("entry_id"),
+    )
 
 
 def op10_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +186,9 @@ WITH p AS (
   SELECT page_id, url, page_id * 7919 % 720 AS fetch_day,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host FROM pages
 ), e AS (
-  SELECT CASE WHEN (page_id // 20) % 2 = 0 THEN host ELSE regexp_replace(host, '^[^.]*\.', '') END AS domain,
-    page_id * 104729 % 720 AS day, CASE WHEN (page_id // 20) % 3 = 2 THEN 'remove' ELSE 'add' END AS action, page_id AS entry_id
-  FROM p WHERE page_id % 20 = 0
+  SELECT CASE WHEN page_id % 2 = 0 THEN host ELSE regexp_replace(host, '^[^.]*\.', '') END AS domain,
+    page_id * 104729 % 720 AS day, CASE WHEN page_id % 3 = 2 THEN 'remove' ELSE 'add' END AS action, page_id AS entry_id
+  FROM p
 ), asked AS (
   SELECT page_id, url, fetch_day, array_to_string(list_slice(l, i, len(l)), '.') AS domain
   FROM (SELECT page_id, url, fetch_day, string_split(host, '.') AS l, unnest(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1))) AS i FROM p WHERE host IS NOT NULL)
@@ -194,7 +197,7 @@ WITH p AS (
   FROM asked a JOIN e ON e.domain = a.domain AND e.day <= a.fetch_day GROUP BY ALL
 ), runs AS (SELECT * FROM last WHERE action = 'add'),
 best AS (SELECT page_id, url, count(DISTINCT domain) AS n, arg_max(domain, (length(domain), domain)) AS matched, arg_max(day, (length(domain), domain)) AS active_from FROM runs GROUP BY ALL)
-SELECT DISTINCT p.page_id, host, fetch_day, CAST(coalesce(n, 0) AS BIGINT) AS n_active, matched, CAST(coalesce(active_from, -1) AS BIGINT) AS active_from, coalesce(n, 0) > 0 AS blocked
+SELECT p.page_id, host, fetch_day, CAST(coalesce(n, 0) AS BIGINT) AS n_active, matched, CAST(coalesce(active_from, -1) AS BIGINT) AS active_from, coalesce(n, 0) > 0 AS blocked
 FROM p LEFT JOIN best ON best.page_id = p.page_id AND best.url = p.url
 """,
     "op13_automaton_search": r"""

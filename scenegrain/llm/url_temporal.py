@@ -41,23 +41,38 @@ def validity(entries: DataFrame) -> DataFrame:
     return day.withColumn("day_to", until).where("action = 'add'").select("domain", F.col("day").alias("day_from"), "day_to")
 
 
-def temporal_filter(captures: DataFrame, entries: DataFrame, period: int = 30, last_day: int | None = None) -> DataFrame:
-    """page_id, host, fetch_day, n_active, matched, active_from, blocked: a row for each distinct (page_id, url,
-    fetch_day) of `captures`.
+def temporal_filter(captures: DataFrame, entries: DataFrame, period: int = 30, last_day: int | None = None, salts: int = 16) -> DataFrame:
+    """page_id, host, fetch_day, n_active, matched, active_from, blocked: a row for each row of `captures`.
 
     n_active is the number of domains (the host or above) listed that day, `matched` the longest of them, active_from
-    its day, or -1. Captures without a host or day match nothing and aren't blocked.
+    its day, or -1. Captures without a host or day match nothing and aren't blocked; of a URL, however long, only the host
+    is looked at. Repeated captures and null ids stay. An empty list blocks nothing, no captures give no rows; other
+    columns are not read. Each different host and day is judged once; captures find their judgement by both, dealt over
+    `salts` groups, so that a host with a large share of the captures is no single key.
     """
-    c = captures.select("page_id", "url", "fetch_day", host_of(F.col("url")).alias("host"))
+    c = captures.select("page_id", "fetch_day", host_of(F.col("url")).alias("host"))
+    asked = c.where("host IS NOT NULL AND fetch_day IS NOT NULL").select("host", "fetch_day").distinct()
     last = F.lit(last_day) if last_day is not None else F.lit(None)
     spans = validity(entries)
     # An open interval covers the periods up to the last fetch only: the largest day is one number.
     top = captures.agg(F.max("fetch_day").alias("top")) if last_day is None else captures.sparkSession.range(1).select(last.alias("top"))
     spans = spans.crossJoin(F.broadcast(top)).where("day_from <= top")
     spans = spans.withColumn("period", F.explode(F.sequence(F.floor(F.col("day_from") / period), F.floor(F.least(F.col("day_to") - 1, F.col("top")) / period)))).drop("top")
-    asked = c.withColumn("domain", F.explode(domains_of(F.col("host")))).where("fetch_day IS NOT NULL").select("page_id", "url", "fetch_day", "domain", F.floor(F.col("fetch_day") / period).alias("period"))
-    hits = asked.join(spans, ["domain", "period"]).where("day_from <= fetch_day AND fetch_day < day_to")
-    found = hits.select("page_id", "url", "fetch_day", F.struct(F.length("domain").alias("n"), "domain", "day_from").alias("hit"))
-    none = c.select("page_id", "url", "fetch_day", F.lit(None).cast(found.schema["hit"].dataType).alias("hit"))
-    all_ = found.union(none).groupBy("page_id", "url", "fetch_day").agg(F.max("hit").alias("best"), F.countDistinct("hit.domain").alias("n_active"))
-    return all_.select("page_id", host_of(F.col("url")).alias("host"), "fetch_day", F.col("n_active").cast("long").alias("n_active"), F.col("best.domain").alias("matched"), F.coalesce(F.col("best.day_from").cast("long"), F.lit(-1)).alias("active_from"), (F.col("n_active") > 0).alias("blocked"))
+    domains = asked.withColumn("domain", F.explode(domains_of(F.col("host")))).withColumn("period", F.floor(F.col("fetch_day") / period))
+    hits = domains.join(spans, ["domain", "period"]).where("day_from <= fetch_day AND fetch_day < day_to")
+    # Intervals of a domain don't overlap: one hit a domain.
+    hit = F.struct(F.length("domain").alias("n"), "domain", "day_from")
+    judged = hits.groupBy("host", "fetch_day").agg(F.max(hit).alias("best"), F.count("*").alias("n_active"))
+    judged = judged.select(F.col("host").alias("of_host"), F.col("fetch_day").alias("of_day"), "best", "n_active").withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = c.withColumn("salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    same = (F.col("host") == F.col("of_host")) & (F.col("fetch_day") == F.col("of_day")) & (F.col("salt") == F.col("of_salt"))
+    n = F.coalesce("n_active", F.lit(0)).cast("long")
+    return salted.join(judged, same, "left").select(
+        "page_id",
+        "host",
+        "fetch_day",
+        n.alias("n_active"),
+        F.col("best.domain").alias("matched"),
+        F.coalesce(F.col("best.day_from").cast("long"), F.lit(-1)).alias("active_from"),
+        (n > 0).alias("blocked"),
+    )
