@@ -183,17 +183,19 @@ def packed(shard: int, chunk: int, before: int, docs: list, parts: list[np.ndarr
     return {"shard": shard, "chunk": chunk, "n_ids": len(ids), "before": before, "block": block, "width": width, "bit_planes": bits, "doc_ids": docs, "doc_sizes": [len(p) for p in parts], "plane_ends": np.cumsum([len(p) for p in planes]).tolist(), "planes": b"".join(planes)}
 
 
-def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, block: int = 16_384, chunk_ids: int = 262_144, bits: bool = False, level: int = 1, batch_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, block: int = 16_384, chunk_ids: int = 262_144, bits: bool = False, level: int = 1, batch_chars: int = 12_000_000, shard_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes `path`/chunks and `path`/index with Spark's writers.
 
     Documents are dealt by ranges of doc_id and their text's hash, one shard a task; so rows of one id, or without an id,
-    may be in several shards. A chunk is closed after the document with which it reaches `chunk_ids` ids, however long
+    may be in several shards. There are as many shards as the session has shuffle partitions, and more if they would hold
+    over `shard_bytes` bytes of text on average. A chunk is closed after the document with which it reaches `chunk_ids` ids, however long
     that is. A task encodes about `batch_chars` characters at once: more find more repeated pieces, fewer take less memory;
     the files are the same. Null texts are empty (only the end id), null ids come first, equal ids are ordered by their text's hash. An
     empty table gives empty files. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("before", pa.int64()), ("block", pa.int32()), ("width", pa.int32()), ("bit_planes", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32())), ("plane_ends", pa.list_(pa.int32())), ("planes", pa.binary())])
