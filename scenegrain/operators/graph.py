@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrain.operators.names import free_names
 from scenegrain.sources.tables import save
 
 
@@ -15,18 +16,17 @@ def threshold_edges(edges: DataFrame, t: float, w: str = "w") -> DataFrame:
     return edges.withColumn(w, finite).withColumn(w, F.when(F.col(w) > t, F.col(w)).otherwise(F.lit(0.0)))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every id that an edge names; component is the smallest id reachable.
 
     Each round takes the smallest label of the neighbours, then follows labels twice (pointer jumping), so the
     number of rounds is about the logarithm of the longest path. Rounds are written to the shared folder, which cuts
     the lineage. Null ends are ignored, loops and repeated edges are harmless, no edges give an empty table.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = save(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         hooked = labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         up = labels.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
@@ -34,7 +34,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         labels = new.select("id", "component")
         if new.where("was <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds on {spark.sparkContext.appName}")
 
 
 def component_members(components: DataFrame) -> DataFrame:
@@ -50,14 +49,17 @@ def dense_ids(df: DataFrame, key: Column | str, out: str = "dense_id", void: int
     """
     key = F.col(key) if isinstance(key, str) else key
     spark = df.sparkSession
-    ids = save(df.select(key.alias("_k")).where(F.col("_k").isNotNull() & ((F.col("_k") != void) if void is not None else F.lit(True))).distinct(), "ids")
-    dealt = save(ids.repartitionByRange(spark.sparkContext.defaultParallelism, "_k").sortWithinPartitions("_k").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)), "ids")
-    from pyspark.sql import Window
-
-    sizes = dealt.groupBy("_p").count()
-    starts = sizes.select("_p", (F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_s"))
-    ranks = dealt.join(F.broadcast(starts), "_p").select("_k", (F.col("_i") + F.col("_s")).alias("_r"))
-    return df.join(ranks, key == ranks["_k"], "left").withColumn(out, F.when(key == void, F.lit(void).cast("long")).otherwise(F.col("_r"))).drop("_k", "_r") if void is not None else df.join(ranks, key == ranks["_k"], "left").withColumnRenamed("_r", out).drop("_k")
+    k, part, at, start, rank = free_names(df, "k", "part", "at", "start", "rank")
+    wanted = F.col(k).isNotNull() & ((F.col(k) != void) if void is not None else F.lit(True))
+    ids = save(df.select(key.alias(k)).where(wanted).distinct(), "ids")
+    dealt = ids.repartitionByRange(spark.sparkContext.defaultParallelism, k).sortWithinPartitions(k)
+    dealt = save(dealt.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() % (1 << 33)), "ids")
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(part).agg(F.count("*").alias(at)).select(part, F.coalesce(F.sum(at).over(w), F.lit(0)).alias(start))
+    ranks = dealt.join(F.broadcast(starts), part).select(k, (F.col(at) + F.col(start)).alias(rank))
+    d = df.withColumn(k, key).join(ranks.withColumnRenamed(k, part), F.col(k) == F.col(part), "left")
+    name = F.col(rank) if void is None else F.when(F.col(k) == void, F.lit(void).cast("long")).otherwise(F.col(rank))
+    return d.withColumn(out, name).drop(*({k, part, rank} - {out}))
 
 
 def radius_pairs(points: DataFrame, r: float, key: str = "point_id", others: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrain.operators.names import free_names
+
 EPS = 1e-6
 
 
@@ -99,10 +101,12 @@ def cluster_confidence(labels: DataFrame, conf: DataFrame) -> DataFrame:
     return g.select("cluster", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c"))).alias("conf"))
 
 
-def softmax(df: DataFrame, key: str, logit: str) -> DataFrame:
+def softmax(df: DataFrame, key: str, logit: str, out: str = "p") -> DataFrame:
+    """Adds `out`, each row's share among the rows of its key; a column of that name is replaced."""
     w = Window.partitionBy(key)
-    e = df.withColumn("_e", F.exp(F.col(logit) - F.max(logit).over(w)))
-    return e.withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    (e,) = free_names(df, "e")
+    d = df.withColumn(e, F.exp(F.col(logit) - F.max(logit).over(w)))
+    return d.withColumn(out, F.col(e) / F.sum(e).over(w)).drop(e)
 
 
 def argmax(df: DataFrame, key: str, cls: str, score: str) -> DataFrame:
@@ -157,6 +161,7 @@ def revise_labels(gt: DataFrame, probs: DataFrame, key: str, t: float = 0.6) ->
 
 
 def detections(found: DataFrame, threshold: float = 0.4, name: str = "name", score: str = "score") -> DataFrame:
-    """The detections above the threshold, labels closed by a full stop as the detector's prompts are; null scores go."""
+    """The detections strictly above the threshold, as detection pipelines keep them, labels closed by a full stop as the
+    detector's prompts are; null scores go."""
     closed = F.when(F.col(name).endswith("."), F.col(name)).otherwise(F.concat(F.col(name), F.lit(".")))
     return found.where(F.col(score) > threshold).withColumn(name, closed)

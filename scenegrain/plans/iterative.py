@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenegrain.functions import scalar as s
-from scenegrain.operators import clouds, spectral, superpoints
+from scenegrain.operators import clouds, runs, spectral, superpoints
 from scenegrain.plans.registry import CLS, P_SQL, class_scores, near_edges, points, q, r6
+from scenegrain.sources.tables import table
 
 # ---- farthest points
 
@@ -119,3 +120,60 @@ def q_superpoints(spark, d):
 def q_spectral_graph(spark, d):
     """All points as one graph, whose size has no bound."""
     return spectral.spectral_clusters(near_edges(spark, d, 0.2), 8, iters=3, in_iters=4, tol=1e-3)
+
+
+# ---- masks as runs; SQL counts their pixels
+
+WIDTH, HEIGHT = 64, 48
+#: A rectangle a vector, of whole pixels of a small image; twenty vectors share a frame.
+RUN_SQL = f"""r AS (
+  SELECT vec_id // 20 AS frame_id, vec_id AS mask_id, abs(CAST(floor(embedding[1]::DOUBLE*100) AS BIGINT)) % 40 AS x0, abs(CAST(floor(embedding[2]::DOUBLE*100) AS BIGINT)) % 30 AS y0,
+    abs(CAST(floor(embedding[3]::DOUBLE*100) AS BIGINT)) % 24 AS w, abs(CAST(floor(embedding[4]::DOUBLE*100) AS BIGINT)) % 18 AS h FROM embeddings
+), px AS (
+  SELECT frame_id, mask_id, x, y FROM (SELECT *, unnest(generate_series(x0, x0+w-1)) AS x FROM r), unnest(generate_series(y0, y0+h-1)) u(y)
+)"""
+
+
+def vector_rects(spark, d):
+    n = lambda k, m: F.abs(F.floor(F.col("embedding")[k].cast("double") * 100)) % m
+    at = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("frame_id"), F.col("vec_id").alias("mask_id"), n(0, 40).alias("x0"), n(1, 30).alias("y0"), n(2, 24).alias("w"), n(3, 18).alias("h"))
+    return at.select("frame_id", "mask_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+
+
+def vector_runs(spark, d):
+    return runs.runs_of_rects(vector_rects(spark, d), WIDTH)
+
+
+IOU_SQL = f"""WITH {RUN_SQL}, n AS (SELECT mask_id, count(*) AS n FROM px GROUP BY 1),
+i AS (SELECT p.frame_id, p.mask_id AS a, q.mask_id AS b, count(*) AS inter FROM px p JOIN px q ON p.frame_id=q.frame_id AND p.x=q.x AND p.y=q.y AND p.mask_id<q.mask_id GROUP BY 1,2,3)
+SELECT frame_id, a, b, inter, round(inter/(x.n+y.n-inter)::DOUBLE,6) AS iou FROM i JOIN n x ON x.mask_id=a JOIN n y ON y.mask_id=b"""
+
+
+@q("q_run_iou", IOU_SQL)
+def q_run_iou(spark, d):
+    return runs.iou(vector_runs(spark, d)).withColumn("iou", r6("iou"))
+
+
+ALGEBRA_SQL = f"""WITH {RUN_SQL}, f AS (SELECT frame_id, x, y, bool_or(mask_id % 2 = 0) AS a, bool_or(mask_id % 2 = 1) AS b FROM px GROUP BY 1,2,3)
+SELECT frame_id, count(*) FILTER (a OR b) AS n_or, count(*) FILTER (a AND b) AS n_and, count(*) FILTER (a AND NOT b) AS n_minus, count(*) FILTER (a <> b) AS n_xor FROM f GROUP BY 1"""
+
+
+@q("q_run_algebra", ALGEBRA_SQL)
+def q_run_algebra(spark, d):
+    """Pixels of a frame's even and odd masks, together and apart."""
+    r, a, b = vector_runs(spark, d), F.col("in_a"), F.col("in_b")
+    even, odd = r.where("mask_id % 2 = 0"), r.where("mask_id % 2 = 1")
+    kinds = {"n_or": a | b, "n_and": a & b, "n_minus": a & ~b, "n_xor": a != b}
+    parts = [runs.combined(even, odd, keep, "frame_id").select("frame_id", *(F.when(F.lit(k == n), F.col("stop") - F.col("start")).otherwise(F.lit(0)).alias(k) for k in kinds)) for n, keep in kinds.items()]
+    whole = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return whole.groupBy("frame_id").agg(*(F.sum(k).alias(k) for k in kinds))
+
+
+RESIZE_SQL = f"""WITH {RUN_SQL}, t AS (SELECT x2, y2, x2*{WIDTH}//100 AS x, y2*{HEIGHT}//30 AS y FROM range(100) a(x2), range(30) b(y2))
+SELECT frame_id, mask_id, count(*) AS area, min(y2*100+x2) AS first, max(y2*100+x2) AS last FROM px JOIN t USING (x, y) GROUP BY 1,2"""
+
+
+@q("q_run_resize", RESIZE_SQL)
+def q_run_resize(spark, d):
+    r = runs.resized(vector_runs(spark, d), (WIDTH, HEIGHT), (100, 30))
+    return r.groupBy("frame_id", "mask_id").agg(F.sum(F.col("stop") - F.col("start")).alias("area"), F.min("start").alias("first"), (F.max("stop") - 1).alias("last"))
