@@ -1,12 +1,15 @@
-"""Near-duplicate vectors by a complete pivot index.
-
-Unit vectors are mixed by an isometry and cut into sections. Of two vectors at the cosine or above, one section at least
-is no farther apart than `reach`, its share of the distance. Each section has reference points (pivots): a bounded
-sample, spread apart, so a dense group gets few of them. The middle of two close sections is in the cell of some pivot,
-and both are within reach / 2 of that cell; so a vector is in the inverted lists of all pivots whose cell may be that
-near, and each pair that qualifies shares a list. Pairs of a list are verified by their cosine in double precision, in
-the list of the smallest pivot that they share. Long lists are cut into blocks, and pairs of blocks are dealt to tasks,
-so there is no cap on a list. Tasks return the number of links of each vector and a forest of them, not the links.
+"""Near-duplicate vectors by a complete pivot-permutation index.
+
+Unit vectors are mixed by an isometry and cut into S sections. Each section has reference points (pivots): a bounded
+sample, spread apart, so a dense group gets few of them. Of two vectors at the cosine or above, whose distance is at most
+D, two sections at least are no farther apart than `reach` = D / sqrt(S - 1): else S - 1 of them would make up more than
+D. The middle of two such sections is in the cell of some pivot, and both are within reach / 2 of that cell. So a vector is
+described by the pivots whose cell may be that near, nearest first, and a pair that qualifies shares pivots in two
+sections at least (in one, if there is one section only). Vectors are in the inverted lists of their pivots, but for the
+last section, where no pair can have its smallest shared pivot. In a list shared pivots are counted from ids alone; only
+pairs that share enough, and here their smallest, are verified by their cosine in double precision. Long lists are cut
+into blocks, and pairs of blocks are dealt to tasks, so there is no cap on a list. Tasks return the number of links of each
+vector and a forest of them, not the links.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def spread(sample: np.ndarray, most: int, apart: float) -> np.ndarray:
 
 def met(x: np.ndarray, ref: np.ndarray, reach: float, nearest: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(row, pivot) for each pivot whose cell may be within reach / 2 of the row: those that are no farther than that
-    beyond the bisecting plane to each of the row's nearest pivots."""
+    beyond the bisecting plane to each of the row's nearest pivots. In order of rows, the nearest pivot first."""
     square = (ref**2).sum(1)
     d = (x**2).sum(1)[:, None] + square - 2 * x @ ref.T
     k = min(nearest, len(ref))
@@ -74,7 +77,42 @@ def met(x: np.ndarray, ref: np.ndarray, reach: float, nearest: int = 8) -> tuple
         q = near[i, c]
         ok = d[i, p] - d[i, q] <= np.linalg.norm(ref[p] - ref[q], axis=1) * reach + 1e-9
         i, p = i[ok], p[ok]
-    return i, p
+    order = np.lexsort((d[i, p], i))
+    return i[order], p[order]
+
+
+def common(pivot: np.ndarray, owner: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Which pairs of rows and columns share one of these pivots; entries are (pivot, owner)."""
+    sides = []
+    for some in (rows, cols):
+        at = np.full(int(max(owner.max(initial=-1), some.max(initial=-1))) + 1, -1)
+        at[some] = np.arange(len(some))
+        own = at[owner]
+        sides.append((pivot[own >= 0], own[own >= 0], len(some)))
+    both, out = np.intersect1d(sides[0][0], sides[1][0]), np.zeros((len(rows), len(cols)), bool)
+    for k in range(0, len(both), 1024):
+        some, has = both[k : k + 1024], []
+        for ids, own, n in sides:
+            m, hit = np.zeros((n, len(some)), np.float32), np.isin(ids, some)
+            m[own[hit], np.searchsorted(some, ids[hit])] = 1
+            has.append(m)
+        out |= has[0] @ has[1].T > 0
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, ok: np.ndarray, cosine: float) -> np.ndarray:
+    """`ok` without the pairs of unit rows below the cosine: pair by pair if few are asked for, else by a product."""
+    step = max(1, (1 << 20) // x.shape[1])
+    if 8 * np.count_nonzero(ok) < ok.size:
+        a, b = np.nonzero(ok)
+    else:
+        s = x @ y.T
+        ok = ok & (s >= cosine - 1e-9)
+        a, b = np.nonzero(ok & (s < cosine + 1e-9))
+    for k in range(0, len(a), step):
+        i, j = a[k : k + step], b[k : k + step]
+        ok[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+    return ok
 
 
 def similar_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,8 +138,10 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 2048,
     pivots = {}
     for dim, x in by_dim.items():
         parts = sections(unit(np.array(x, float)))
-        reach = float(np.sqrt(max(0.0, 2 - 2 * cosine) / len(parts)))
+        reach = float(np.sqrt(max(0.0, 2 - 2 * cosine) / max(1, len(parts) - 1)))
         pivots[dim] = reach, [spread(s, p, 2 * reach) for s in parts]
+    # Where the pivots of each section start, and where the last one ends.
+    starts = {dim: np.cumsum([0, *map(len, refs)]) for dim, (_, refs) in pivots.items()}
 
     def describe(parts):
         for pdf in parts:
@@ -116,49 +156,45 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 2048,
                         for i, k in zip(*map(np.ndarray.tolist, met(y, ref, reach))):
                             lists[s + i].append(first + k)
                         first += len(ref)
-                yield pd.DataFrame({"label": g.label, "dim": dim, "node": g.node, "size": g["size"], "vec": g.vec, "met": lists})
+                last = starts[dim][-2] if len(refs) > 1 else np.inf
+                listed = [sum(k < last for k in m) for m in lists]
+                cols = {"label": g.label, "dim": dim, "node": g.node, "size": g["size"], "vec": g.vec, "met": lists, "listed": listed}
+                yield pd.DataFrame(cols)
 
     kind = good.schema["vec"].dataType.simpleString()
-    codes = save(good.select(F.xxhash64("label").alias("label"), F.size("vec").alias("dim"), "node", "size", "vec").mapInPandas(describe, f"label long, dim int, node long, size long, vec {kind}, met array<int>"), "codes")
-    lists = codes.withColumn("pivot", F.explode("met"))
+    codes = save(good.select(F.xxhash64("label").alias("label"), F.size("vec").alias("dim"), "node", "size", "vec").mapInPandas(describe, f"label long, dim int, node long, size long, vec {kind}, met array<int>, listed int"), "codes")
+    lists = codes.withColumn("pivot", F.explode(F.slice("met", F.lit(1), F.col("listed"))))
     sizes = lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     dealt = lists.join(sizes, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("label", "dim", "pivot", "own", "node", "size", "vec", "met", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
 
     def verify(key, pdf):
         pivot, first, second = int(key[2]), key[3], key[4]
-        x, node, size = unit(np.array(pdf.vec.tolist(), float)), pdf.node.to_numpy(), pdf["size"].to_numpy(float)
+        cuts = starts.get(int(key[1]), np.array([0, 1]))
+        after = cuts[np.searchsorted(cuts, pivot, "right")]  # where the next section starts
+        x, node, size = None, pdf.node.to_numpy(), pdf["size"].to_numpy(float)
         flat, owner = np.concatenate(pdf.met.tolist()), np.repeat(np.arange(len(pdf)), [len(m) for m in pdf.met])
-        flat, owner = flat[flat < pivot], owner[flat < pivot]
-
-        def holds(rows):
-            at = np.full(len(pdf), -1)
-            at[rows] = np.arange(len(rows))
-            return flat[at[owner] >= 0], at[owner][at[owner] >= 0]
-
+        _, of, count = np.unique(flat, return_inverse=True, return_counts=True)
+        flat, owner = flat[count[of] > 1], owner[count[of] > 1]  # what one vector alone has isn't shared
+        smaller, later = flat < pivot, flat >= after
         i = np.flatnonzero(pdf.own.to_numpy() == first)
         j = np.flatnonzero(pdf.own.to_numpy() == second)
         out = [pd.DataFrame({"a": np.array([], "int64"), "b": np.array([], "int64"), "n": np.array([], "int64")})]
         for part in np.array_split(i, max(1, -(-len(i) // 1024))):
-            s = x[part] @ x[j].T
-            ok = s >= cosine - 1e-9
+            # Shared pivots: this one, none that is smaller (those pairs are verified there), one in another section.
+            if len(cuts) > 2:
+                ok = common(flat[later], owner[later], part, j)
+            else:
+                ok = np.ones((len(part), len(j)), bool)
             if first == second:
                 ok &= node[part][:, None] < node[j][None, :]
             r, c = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-            if not len(r):
+            rows, cols = part[r], j[c]
+            ok = ok[np.ix_(r, c)] & ~common(flat[smaller], owner[smaller], rows, cols)
+            if not ok.any():
                 continue
-            rows, cols, ok, s = part[r], j[c], ok[np.ix_(r, c)], s[np.ix_(r, c)]
-            a, b = np.nonzero(ok & (s < cosine + 1e-9))
-            ok[a, b] = np.einsum("ij,ij->i", x[rows[a]], x[cols[b]]) >= cosine
-            (f, at_f), (g, at_g) = holds(rows), holds(cols)
-            both = np.intersect1d(f, g)
-            for k in range(0, len(both), 1024):  # pairs that share a smaller pivot are verified there
-                some, has = both[k : k + 1024], []
-                for ids, at, n in ((f, at_f, len(rows)), (g, at_g, len(cols))):
-                    m, hit = np.zeros((n, len(some)), np.float32), np.isin(ids, some)
-                    m[at[hit], np.searchsorted(some, ids[hit])] = 1
-                    has.append(m)
-                ok &= has[0] @ has[1].T == 0
+            x = unit(np.array(pdf.vec.tolist(), float)) if x is None else x
+            ok = similar(x[rows], x[cols], ok, cosine)
             around, least, big = np.zeros(len(pdf)), node.copy(), np.iinfo(np.int64).max
             around[rows] += ok @ size[cols]
             around[cols] += size[rows] @ ok
