@@ -21,6 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from scenegrain.llm.chunks import release
 from scenegrain.llm.heap_bpe import batches
 from scenegrain.llm.rows import free_names
+from scenegrain.sources.tables import save
 
 N = 13
 #: Bytes to blanks: all ASCII but digits and letters; A-Z to a-z; bytes of other characters stay.
@@ -261,7 +262,7 @@ def bench_blocks(benchmark: DataFrame, max_bytes: int = 1_000_000, id_col: str =
 
     Items come to the driver one by one in order of their ids and a block is closed when it holds `max_bytes` of text (an
     item that is longer is a block of its own). The driver keeps a block only while it is built: broadcasts lie in files.
-    Python workers hold all blocks, about 50 bytes for each byte of the benchmark, which doesn't grow with the corpus.
+    Python workers hold about 50 bytes for each byte of the blocks that they search (see with_matches).
     """
     block, size, out = [], 0, []
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
@@ -276,31 +277,106 @@ def bench_blocks(benchmark: DataFrame, max_bytes: int = 1_000_000, id_col: str =
     return [*out, send(Bench(block))]
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = 1_000_000, out: str = "_found") -> DataFrame:
-    """`docs` with a struct column of FOUND over all blocks of the benchmark (one pass over the texts for all)."""
-    return docs.withColumn(out, found(bench_blocks(benchmark, max_bytes), F.col(text_col)))
+HITS = "items array<string>, matches array<struct<start:int,end:int,item:string,item_start:int>>"
+#: What doesn't belong to a word, of texts in whatever case.
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def hits(blocks: list[Broadcast], d: DataFrame) -> DataFrame:
+    """row and HITS of the rows of `d` (row, text) that hold a window of these blocks."""
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        benches = [b.value for b in blocks]
+        for pdf in parts:
+            rows, at = [], 0
+            for some in batches([t if t is not None else "" for t in pdf.text], 4_000_000):
+                for k, (_, n, items, m) in zip(pdf.row.iloc[at:], judge(benches, some)):
+                    if n:
+                        own = [{"start": a, "end": e, "item": benches[b].items[i], "item_start": w} for a, e, b, i, w in m.tolist()]
+                        rows.append((k, [benches[b].items[i] for b, i in items], own))
+                at += len(some)
+            yield pd.DataFrame(rows, columns=["row", "items", "matches"])
+        release()
+
+    return d.mapInPandas(look, f"row long, {HITS}")
+
+
+def widest(matches: Column) -> Column:
+    """The matches of several groups of blocks without those within another."""
+
+    @pandas_udf("array<struct<start:int,end:int,item:string,item_start:int>>")
+    def keep(s: pd.Series) -> pd.Series:
+        out = []
+        for found in s:
+            rows = np.array([(m["start"], m["end"], k) for k, m in enumerate(found)], np.int64).reshape(-1, 3)
+            out.append([found[k] for k in outermost(rows)[:, 2]])
+        return pd.Series(out)
+
+    return keep(matches)
+
+
+def with_matches(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = 1_000_000, out: str = "_found", held: int = 8_000_000
+) -> DataFrame:
+    """`docs` with a struct column of FOUND over all blocks of the benchmark.
+
+    A task searches blocks of `held` bytes of the benchmark at most (one item at least), whatever its size. If that is all,
+    documents stay where they are. A larger benchmark is cut into groups of blocks, each a pass over the written texts with
+    tasks of its own; only documents with hits meet again, by a number of their row.
+    """
+    blocks = bench_blocks(benchmark, max_bytes)
+    per = max(1, held // max_bytes)
+    groups = [blocks[k : k + per] for k in range(0, len(blocks), per)]
+    if len(groups) == 1:
+        return docs.withColumn(out, found(blocks, F.col(text_col)))
+    (key,) = free_names(docs, "row")
+    docs = save(docs.withColumn(key, F.monotonically_increasing_id()), "texts")
+    texts = docs.select(F.col(key).alias("row"), F.col(text_col).alias("text"))
+    some = hits(groups[0], texts)
+    for g in groups[1:]:
+        some = some.union(hits(g, texts))
+    some = some.groupBy(F.col("row").alias("_of")).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "matches")))
+    # Matches cover all words that are hit: the length of their union, from left to right.
+    step = lambda at, m: F.struct(
+        F.greatest(at["end"], m["end"]).alias("end"), (at["n"] + F.greatest(F.lit(0), m["end"] - F.greatest(at["end"], m["start"]))).alias("n")
+    )
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    n_hit = F.aggregate(F.array_sort("matches"), zero, step, lambda at: at["n"].cast("long"))
+    some = save(some.select("_of", n_hit.alias("n_hit"), "items", widest(F.col("matches")).alias("matches")), "hits")
+    # Row numbers and hits under one name, so that no column of the documents is hidden.
+    some = some.select(F.struct("_of", "n_hit", "items", "matches").alias(out))
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    none = {c: F.array().cast(t) for c, t in (f.split(" ", 1) for f in HITS.split(", "))}
+    both = docs.join(some, docs[key] == some[f"{out}._of"], "left")
+    whole = F.struct(
+        n_words,
+        F.coalesce(F.col(f"`{out}`.n_hit"), F.lit(0).cast("long")).alias("n_hit"),
+        *(F.coalesce(F.col(f"`{out}`.{c}"), none[c]).alias(c) for c in none),
+    )
+    return both.withColumn(out, whole).drop(key)
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1_000_000, held: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, matches: a row for each row of `docs`.
 
     Null and empty texts have no words and no hits. Null item texts count as absent; rows of an equal
     item_id are one item, and so are those with a null one, which is counted in n_items and not part of items_sha256. An empty
     benchmark hits nothing. Other columns are not read. matches are the longest verbatim ones (start and end in words of the
     document, item, start in the item), those within another left out; of several places in the benchmark one is named.
+    Very long texts are searched whole, repeated rows each on its own; an empty table gives an empty one.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    f = with_matches(d, benchmark, "text", max_bytes).select("doc_id", "_found.*")
+    f = with_matches(d, benchmark, "text", max_bytes, held=held).select("doc_id", "_found.*")
     items = F.array_sort(F.array_distinct("items"))
     return f.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), items.alias("items"), "matches")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_bytes: int = 1_000_000, held: int = 8_000_000) -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated."""
     (name,) = free_names(docs, "found")
-    f = with_matches(docs, benchmark, text_col, out=name)
+    f = with_matches(docs, benchmark, text_col, max_bytes, name, held)
     return f.where(~contaminated(F.col(f"`{name}`.n_words"), F.col(f"`{name}`.n_hit"))).select(*docs.columns)

@@ -360,6 +360,22 @@ def test_op6_adjacent_items_are_two_matches_and_long_repeats_end(spark):
     assert len(got[2].matches) == 299_501 and got[2].n_hit == 300_000
 
 
+def test_op6_benchmark_in_passes(spark, docs, rows):
+    some = [t for _, t in rows if t and len(t.split()) > 40]
+    bench = [(str(k), " ".join(t.split()[k : k + 30])) for k, t in enumerate(some[:6])]
+    bench += [("long", some[7]), ("part", " ".join(some[7].split()[3:25])), ("short", "one two"), ("none", None), ("same", bench[0][1])]
+    b = spark.createDataFrame(bench, "item_id string, text string")
+    clash = docs.withColumn("row", F.lit(1)).withColumn("_of", F.lit(2)).withColumn("n_hit", F.lit(3))
+    flat = lambda x: (x.doc_id, x.n_words, x.n_hit, x.items_sha256, x.contaminated, tuple((m.start, m.end) for m in x.matches))
+    one = collections.Counter(flat(x) for x in suffix_decontam.contamination(clash, b).collect())
+    many = collections.Counter(flat(x) for x in suffix_decontam.contamination(clash, b, max_bytes=300, held=600).collect())
+    assert one == many and sum(x[2] > 0 for x in one) > 3
+    kept = [suffix_decontam.decontaminate(clash, b, "text", 300, h) for h in (600, 10**9)]
+    assert kept[0].columns == clash.columns and collections.Counter(kept[0].collect()) == collections.Counter(kept[1].collect())
+    assert 0 < kept[0].count() < clash.count()
+    assert suffix_decontam.contamination(docs.limit(0), b, max_bytes=300, held=600).count() == 0
+
+
 def test_op7_brute_force(spark, docs, rows):
     got = collections.Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex) for x in secret_dfa.scan_secrets(docs).collect())
     want = collections.Counter()
