@@ -10,18 +10,27 @@ from scenegrain.functions.scalar import pixel, rotation
 from scenegrain.operators.blocks import with_each
 
 
+def in_camera(pairs: DataFrame) -> DataFrame:
+    """Points beside their frames (as to_camera() describes them) in these frames' cameras: px, py, pz."""
+    d = [F.col(c) - F.col("t")[i] for i, c in enumerate("xyz")]
+    cam = [sum((F.col("rot")[3 * r + c] * d[r] for r in (1, 2)), F.col("rot")[c] * d[0]) for c in range(3)]
+    return pairs.select("frame_id", "point_id", *(v.alias(n) for v, n in zip(cam, ("px", "py", "pz"))), "fx", "fy", "cx", "cy")
+
+
 def to_camera(points: DataFrame, frames: DataFrame) -> DataFrame:
     """Every point in every frame's camera. Frames (frame_id, r00..r22 by row as `rot`, `t`, fx, fy, cx, cy) are camera
     to world; the inverse of a rigid pose is its transpose. Frames are broadcast in blocks of bounded size."""
-    d = [F.col(c) - F.col("t")[i] for i, c in enumerate("xyz")]
-    cam = [sum((F.col("rot")[3 * r + c] * d[r] for r in (1, 2)), F.col("rot")[c] * d[0]) for c in range(3)]
-    return with_each(points, frames, "frame_id").select("frame_id", "point_id", *(v.alias(n) for v, n in zip(cam, ("px", "py", "pz"))), "fx", "fy", "cx", "cy")
+    return in_camera(with_each(points, frames, "frame_id"))
+
+
+def pixels(c: DataFrame) -> DataFrame:
+    """frame_id, point_id, u, v (pixel), pz of points in cameras."""
+    return c.select("frame_id", "point_id", pixel(F.col("px"), F.col("fx"), F.col("pz"), F.col("cx")).alias("u"), pixel(F.col("py"), F.col("fy"), F.col("pz"), F.col("cy")).alias("v"), "pz")
 
 
 def project(points: DataFrame, frames: DataFrame) -> DataFrame:
     """frame_id, point_id, u, v (pixel), pz (depth in the camera)."""
-    c = to_camera(points, frames)
-    return c.select("frame_id", "point_id", pixel(F.col("px"), F.col("fx"), F.col("pz"), F.col("cx")).alias("u"), pixel(F.col("py"), F.col("fy"), F.col("pz"), F.col("cy")).alias("v"), "pz")
+    return pixels(to_camera(points, frames))
 
 
 def in_image(df: DataFrame, width: int, height: int, cut: int = 0) -> DataFrame:

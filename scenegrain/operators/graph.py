@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,20 +66,73 @@ def dense_ids(df: DataFrame, key: Column | str, out: str = "dense_id", void: int
     return d.withColumn(out, name).drop(*({k, part, rank} - {out}))
 
 
-def radius_pairs(points: DataFrame, r: float, key: str = "point_id", others: DataFrame | None = None) -> DataFrame:
-    """src < dst and their distance d < r: both sides meet by grid cell, one of them in the 27 cells around it. With
-    `others`: from each of the points to all others but itself, in one direction."""
-    import math
-
+def finite(points: DataFrame) -> DataFrame:
+    """Points whose coordinates are neither null nor infinite nor NaN."""
+    return points.where(reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in "xyz")))
+
+
+def with_few(df: DataFrame, few: DataFrame, n: int, keys: list[str], most: int = 100_000) -> DataFrame:
+    """A left join with a table of `n` rows: broadcast up to `most` of them, else as Spark chooses."""
+    return df.join(F.broadcast(few) if n <= most else few, keys, "left")
+
+
+def split_cells(a: DataFrame, b: DataFrame, hot: DataFrame, n_hot: int, r: float, dense: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a radius join with finer keys for the cells in `hot`: sub-cells of a quarter of the side, of which a
+    point on the asking side only visits those within reach, and blocks of about `dense` rows by hash where a sub-cell
+    holds more (a spot of equal points, say); there each block of one side meets each block of the other."""
+    cell = ["cx", "cy", "cz"]
+    digit = {"x": 16, "y": 4, "z": 1}
+    sub = sum(((F.floor(F.col(f"{c}b") / r * 4) - 4 * F.col(f"c{c}")) * k for c, k in digit.items()), F.lit(0))
+    b = with_few(b, hot, n_hot, cell).withColumn("sub", F.when(F.col("hot"), sub).otherwise(-1).cast("int")).drop("hot")
+
+    def reached(s: Column) -> Column:
+        """Whether sub-cell `s` of the cell is within the radius; lengths are in radii, with room for rounding."""
+        gaps, size = F.lit(0.0), F.lit(0.0)
+        for c, k in digit.items():
+            at = F.col(f"{c}a") / r
+            low = F.col(f"c{c}") + F.floor(s / k) % 4 / F.lit(4.0)
+            gap = F.greatest(low - at, at - low - 0.25, F.lit(0.0))
+            gaps, size = gaps + gap * gap, size + F.abs(at)
+        return gaps <= F.lit(1.0001) + size * 1e-14
+
+    some = F.filter(F.sequence(F.lit(0), F.lit(63)), reached)
+    a = with_few(a, hot, n_hot, cell).withColumn("sub", F.explode(F.when(F.col("hot"), some).otherwise(F.array(F.lit(-1))))).drop("hot")
+    keys = [*cell, "sub"]
+    parts = lambda df, n: df.groupBy(keys).agg(F.ceil(F.count("*") / dense).alias(n)).where(F.col(n) > 1)
+    crowded = save(parts(a, "na").join(parts(b, "nb"), keys, "full"), "cells")  # a crowded cell's neighbours too
+    n = crowded.count()
+    own = lambda ids, k: F.pmod(F.xxhash64(*ids), F.coalesce(k, F.lit(1)))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(k, F.lit(1)) - 1))
+    a = with_few(a, crowded, n, keys).withColumn("ka", own(["src", "xa", "ya", "za"], F.col("na"))).withColumn("kb", every(F.col("nb")))
+    b = with_few(b, crowded, n, keys).withColumn("kb", own(["dst", "xb", "yb", "zb"], F.col("nb"))).withColumn("ka", every(F.col("na")))
+    return a.drop("na", "nb"), b.drop("na", "nb"), [*keys, "ka", "kb"]
+
+
+def radius_pairs(points: DataFrame, r: float, key: str = "point_id", others: DataFrame | None = None, dense: int = 4096) -> DataFrame:
+    """src < dst and their distance d < r: both sides meet by grid cell, one of them in its own cell and the 13 ahead of it.
+    With `others`: from each of the points to all others but itself, in one direction, by all 27 cells.
+
+    Cells of more than `dense` points are split further, so no task holds one (see split_cells()). Points with a null or
+    non-finite coordinate or a null id have no pairs; points of one id are no pair; repeated rows give repeated pairs."""
+    if not (math.isfinite(r) and r > 0):
+        raise ValueError("the radius must be positive and finite")
     cell = [F.floor(F.col(c) / F.lit(r)).alias(f"c{c}") for c in "xyz"]
-    a = points.select(F.col(key).alias("src"), *(F.col(c).alias(f"{c}a") for c in "xyz"), *cell)
-    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    for c in "xyz":
-        a = a.withColumn("_o", F.explode(near)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_o")).drop("_o")
-    b = (points if others is None else others).select(F.col(key).alias("dst"), *(F.col(c).alias(f"{c}b") for c in "xyz"), *cell)
-    d = F.sqrt(sum(((F.col(f"{c}a") - F.col(f"{c}b")) * (F.col(f"{c}a") - F.col(f"{c}b")) for c in "yz"), (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))))
-    assert math.isfinite(r) and r > 0
-    return a.join(b, ["cx", "cy", "cz"]).where("src < dst" if others is None else "src <> dst").withColumn("d", d).where(F.col("d") < r).select("src", "dst", "d")
+    a = finite(points).select(F.col(key).alias("src"), *(F.col(c).cast("double").alias(f"{c}a") for c in "xyz"), *cell)
+    b = finite(points if others is None else others).select(F.col(key).alias("dst"), *(F.col(c).cast("double").alias(f"{c}b") for c in "xyz"), *cell)
+    steps = [o for o in product((-1, 0, 1), repeat=3) if others is not None or o >= (0, 0, 0)]
+    around = F.array(*(F.struct(*(F.lit(i).alias(c) for c, i in zip("xyz", o)), F.lit(o == (0, 0, 0)).alias("own")) for o in steps))
+    a = a.withColumn("o", F.explode(around)).select("src", "xa", "ya", "za", *((F.col(f"c{c}") + F.col(f"o.{c}")).alias(f"c{c}") for c in "xyz"), "o.own")
+    keys = ["cx", "cy", "cz"]
+    hot = save(b.groupBy(keys).count().where(F.col("count") > dense).select(*keys, F.lit(True).alias("hot")), "cells")
+    n_hot = hot.count()
+    if n_hot:
+        a, b, keys = split_cells(a, b, hot, n_hot, r, dense)
+    gap = {c: F.col(f"{c}a") - F.col(f"{c}b") for c in "xyz"}
+    d = F.sqrt(sum((gap[c] * gap[c] for c in "yz"), gap["x"] * gap["x"]))
+    near = a.join(b, keys).where("src <> dst" if others is not None else "src <> dst AND (src < dst OR NOT own)").withColumn("d", d).where(F.col("d") < r)
+    if others is not None:
+        return near.select("src", "dst", "d")
+    return near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d")
 
 
 def group_distances(pairs: DataFrame, points: DataFrame, group: str, key: str = "point_id") -> DataFrame:
@@ -89,12 +146,7 @@ def nearest_neighbours(points: DataFrame, k: int, r: float, key: str = "point_id
     """src, dst, d, rn: the k nearest points of each point, ties by id. Cells of side r; a point whose k-th neighbour
     isn't within r looks again with twice the side, so the result is exact; only those look again. Points with a null or
     non-finite coordinate have no neighbours and are none."""
-    from pyspark.sql import Window
-
-    from scenegrain.sources.tables import save
-
-    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in "xyz"]
-    points = points.where(finite[0] & finite[1] & finite[2])
+    points = finite(points)
     n = points.count()
     want, done, left = min(k, max(0, n - 1)), None, points.select(F.col(key).alias("src"))
     while want:
@@ -130,8 +182,6 @@ def mask_overlap(pairs: DataFrame, contrib: DataFrame, n_mask: int = 8) -> DataF
     """a, b, overlap: shared over all masks of two segments, of the first n_mask masks of either."""
     a = pairs.join(contrib.select(F.col("spt_id").alias("a"), "mask_id"), "a").select("a", "b", "mask_id", F.lit(1).alias("l"), F.lit(0).alias("r"))
     b = pairs.join(contrib.select(F.col("spt_id").alias("b"), "mask_id"), "b").select("a", "b", "mask_id", F.lit(0).alias("l"), F.lit(1).alias("r"))
-    from pyspark.sql import Window
-
     m = a.union(b).groupBy("a", "b", "mask_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     m = m.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy("mask_id"))).where(F.col("rn") <= n_mask)
     return m.groupBy("a", "b").agg((F.sum(F.col("l") * F.col("r")) / (F.count("*") + 1e-6)).alias("overlap"))

@@ -731,4 +731,4 @@ def q_affine_voxel_map(spark, d):
     return m.select("point_id", F.col("first.point_id").alias("first_id"), "vx", "vy", "vz")
 
 
-from scenegrain.plans import captions, iterative  # noqa: E402, F401  they register their queries
+from scenegrain.plans import captions, iterative, views  # noqa: E402, F401  they register their queries
