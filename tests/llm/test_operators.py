@@ -166,6 +166,43 @@ def test_op3_probabilities_sum_to_one_and_state_is_carried():
         assert np.allclose(gru_lm.score(net, t, docs, **kw), whole, atol=1e-3)
 
 
+def plain_forward(net, t, ids):
+    """log10 of a document's probability word by word in plain Python floats: the equations of the network, no batches."""
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    h, sigmoid = net.h, lambda v: 1 / (1 + math.exp(-v))
+    times = lambda state, m: [sum(s * row[j] for s, row in zip(state, m)) for j in range(len(m[0]))]
+
+    def log_softmax(logits, k):
+        top = max(logits)
+        return logits[k] - top - math.log(sum(math.exp(v - top) for v in logits))
+
+    state, total = [0.0] * h, 0.0
+    for i in map(int, ids):
+        c, slot = int(t.cls[i]), int(t.slot[i])
+        total += log_softmax([a + b for a, b in zip(times(state, p["c"]), p["cb"])], c) / math.log(10)
+        total += float(t.share[i]) if slot < 0 else log_softmax([a + b for a, b in zip(times(state, p["w"][c]), p["wb"][c])], slot) / math.log(10)
+        e, u = p["e"][int(t.row[i])], times(state, p["u"])
+        keep = [sigmoid(e[j] + u[j]) for j in range(h)]
+        reset = [sigmoid(e[h + j] + u[h + j]) for j in range(h)]
+        fresh = [math.tanh(e[2 * h + j] + reset[j] * u[2 * h + j]) for j in range(h)]
+        state = [z * s + (1 - z) * n for z, s, n in zip(keep, state, fresh)]
+    return total
+
+
+def test_op3_score_equals_a_plain_forward_pass():
+    words = [b"", *(f"w{i}".encode() for i in range(90))]
+    c = np.arange(150, 150 - len(words), -1).astype(float)
+    t = gru_lm.frequent_table(words, c, int(c.sum()) + 30, soft=70, bins=3)
+    net, r = gru_lm.Gru(t, hidden=5), np.random.default_rng(6)
+    docs = [np.append(r.integers(1, len(words) + 1, n), 0) for n in (0, 1, 2, 7, 40, 90, 250)]
+    for _ in range(8):
+        gru_lm.train(net, t, docs, width=3, window=8)
+    assert np.abs(net.p["w"]).max() > 0 and np.abs(net.p["c"]).max() > 0
+    want = [plain_forward(net, t, d) for d in docs]
+    for kw in ({}, {"width": 2, "window": 4}):
+        assert np.allclose(gru_lm.score(net, t, docs, **kw), want, rtol=1e-5, atol=1e-3)
+
+
 def test_op3_gradient():
     words = [b"", *(f"w{i}".encode() for i in range(10))]
     c = np.full(len(words), 5.0)
