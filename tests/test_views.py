@@ -38,7 +38,7 @@ def test_views_join_fewer_rows(scene):
     points, frames = scene
     shown = views.project_in_view(points, frames, 640, 480).count()
     joined = views.near_views(points, frames, 640, 480).count()
-    blocks = views.near_views(points, frames, 640, 480, most=3000)
+    blocks = views.near_views(points, frames, 640, 480, most=500)
     assert blocks.count() == joined and blocks.rdd.getNumPartitions() > points.rdd.getNumPartitions()
     assert shown <= joined < 0.35 * points.count() * frames.count()
 
