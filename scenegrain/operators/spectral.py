@@ -62,6 +62,20 @@ def turned(v: DataFrame, n: int, m: np.ndarray) -> DataFrame:
     return save(v.mapInPandas(turn, v.select("id", *x, *y).schema), "vectors")
 
 
+def best_within(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, falling; the turn to their vectors, n by n; their residuals) of the best vectors within a block, by the matrix
+    of products of its images x = S y and vectors y. A block that spans less than its width has fewer values; the rest of
+    the turn stays empty."""
+    xx, xy, yy = g[:n, :n], g[:n, n:], g[n:, n:]
+    e, q = np.linalg.eigh(yy)
+    keep = e > e[-1] * 1e-13
+    base = q[:, keep] / np.sqrt(e[keep])
+    theta, c = np.linalg.eigh(base.T @ ((xy + xy.T) / 2) @ base)
+    theta, c = theta[::-1], base @ c[:, ::-1]
+    left = np.einsum("ij,ij->j", c, xx @ c) - 2 * theta * np.einsum("ij,ij->j", c, xy @ c) + theta**2 * np.einsum("ij,ij->j", c, yy @ c)
+    return theta, np.pad(c, ((0, 0), (0, n - len(theta)))), np.sqrt(np.maximum(left, 0))
+
+
 def eigenvectors(edges: DataFrame, k: int, extra: int = 8, degree: int = 8, tol: float = 1e-5, rounds: int = 40, eps: float = 1e-5) -> tuple[np.ndarray, DataFrame]:
     """(the k smallest eigenvalues of the normalised Laplacian, a table id, x0.. of their vectors) of a graph (src, dst, w).
 
@@ -81,16 +95,7 @@ def eigenvectors(edges: DataFrame, k: int, extra: int = 8, degree: int = 8, tol:
     v = times(s, save(v, "vectors"), n)  # x is S times y
     for _ in range(rounds):
         g = products(v, n)
-        xx, xy, yy = g[:n, :n], g[:n, n:], g[n:, n:]  # x = S y
-        e, q = np.linalg.eigh(yy)
-        keep = e > e[-1] * 1e-13
-        base = q[:, keep] / np.sqrt(e[keep])
-        theta, c = np.linalg.eigh(base.T @ ((xy + xy.T) / 2) @ base)
-        theta, c = theta[::-1], base @ c[:, ::-1]
-        left = np.einsum("ij,ij->j", c, xx @ c) - 2 * theta * np.einsum("ij,ij->j", c, xy @ c) + theta**2 * np.einsum("ij,ij->j", c, yy @ c)
-        residual = np.sqrt(np.maximum(left, 0))
-        if len(theta) < n:  # the block spans less than its width: the rest stays empty
-            c = np.pad(c, ((0, 0), (0, n - len(theta))))
+        theta, c, residual = best_within(g, n)
         v = turned(v, n, c)
         if len(theta) >= k and residual[:k].max() <= tol or count <= n and residual.max() <= tol:
             got = v.select("id", *(F.col(f"y{i}").alias(f"x{i}") for i in range(min(k, len(theta)))))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenegrain.functions import scalar as s
-from scenegrain.operators import clouds, runs, spectral, superpoints
-from scenegrain.plans.registry import CLS, P_SQL, class_scores, near_edges, points, q, r6
+from scenegrain.operators import clouds, kernel, runs, superpoints
+from scenegrain.plans.registry import CLS, P_SQL, class_scores, points, q, r6
 from scenegrain.sources.tables import table
 
 # ---- farthest points
@@ -119,7 +119,7 @@ def q_superpoints(spark, d):
 @q("q_spectral_graph")
 def q_spectral_graph(spark, d):
     """All points as one graph, whose size has no bound."""
-    return spectral.spectral_clusters(near_edges(spark, d, 0.2), 8, iters=3, in_iters=4, tol=1e-3)
+    return kernel.spectral_graph(points(spark, d), 0.2, 8, iters=3, in_iters=4, tol=1e-3)
 
 
 # ---- masks as runs; SQL counts their pixels
