@@ -64,21 +64,24 @@ def iou(runs: DataFrame, tile: int = 4096) -> DataFrame:
     return d.select("frame_id", "a", "b", "inter", (F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("iou"))
 
 
-def combined(a: DataFrame, b: DataFrame, keep: Column, *keys: str) -> DataFrame:
-    """keys, start, stop: pixels for which `keep` holds, a condition on the booleans in_a and in_b (F.col("in_a") & ~F.col("in_b")
-    is the difference). It must be false where both are. Ends of runs are swept in order, within a key."""
-
-    def ends(d, n):
-        d = merged(d, *keys)
-        x = [F.lit(v).cast("long") for v in ((1, 0), (0, 1))[n]]
-        up = d.select(*keys, F.col("start").alias("at"), x[0].alias("da"), x[1].alias("db"))
-        return up.union(d.select(*keys, F.col("stop").alias("at"), -x[0], -x[1]))
-
-    steps = ends(a, 0).union(ends(b, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+def swept(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """keys, start, stop, in_a, in_b: the stretches of pixels between any two ends of runs, and in which of the tables they
+    are (in neither: a gap). Ends are swept in order, within a key."""
+    long = [F.lit(v).cast("long") for v in (1, 0, 0, 1)]
+    runs = a.select(*keys, "start", "stop", long[0].alias("da"), long[1].alias("db")).union(b.select(*keys, "start", "stop", long[2], long[3]))
+    # A run counts up at its start and down at its end, however many of its table overlap there.
+    both = F.explode(F.array(F.struct(F.col("start").alias("at"), "da", "db"), F.struct(F.col("stop").alias("at"), (-F.col("da")).alias("da"), (-F.col("db")).alias("db"))))
+    steps = runs.where("start < stop").select(*keys, both.alias("e")).select(*keys, "e.*").groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     w = Window.partitionBy(*keys).orderBy("at")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     d = steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), (F.sum("da").over(so_far) > 0).alias("in_a"), (F.sum("db").over(so_far) > 0).alias("in_b"))
-    return merged(d.where(F.col("stop").isNotNull() & keep), *keys)
+    return d.where(F.col("stop").isNotNull())
+
+
+def combined(a: DataFrame, b: DataFrame, keep: Column, *keys: str) -> DataFrame:
+    """keys, start, stop: pixels for which `keep` holds, a condition on the booleans in_a and in_b (F.col("in_a") & ~F.col("in_b")
+    is the difference). It must be false where both are."""
+    return merged(swept(a, b, *keys).where(keep), *keys)
 
 
 def resized(runs: DataFrame, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:

@@ -164,9 +164,8 @@ def q_run_algebra(spark, d):
     r, a, b = vector_runs(spark, d), F.col("in_a"), F.col("in_b")
     even, odd = r.where("mask_id % 2 = 0"), r.where("mask_id % 2 = 1")
     kinds = {"n_or": a | b, "n_and": a & b, "n_minus": a & ~b, "n_xor": a != b}
-    parts = [runs.combined(even, odd, keep, "frame_id").select("frame_id", *(F.when(F.lit(k == n), F.col("stop") - F.col("start")).otherwise(F.lit(0)).alias(k) for k in kinds)) for n, keep in kinds.items()]
-    whole = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return whole.groupBy("frame_id").agg(*(F.sum(k).alias(k) for k in kinds))
+    d = runs.swept(even, odd, "frame_id").where(a | b).withColumn("n", F.col("stop") - F.col("start"))
+    return d.groupBy("frame_id").agg(*(F.sum(F.when(k, F.col("n")).otherwise(F.lit(0))).alias(n) for n, k in kinds.items()))
 
 
 RESIZE_SQL = f"""WITH {RUN_SQL}, t AS (SELECT x2, y2, x2*{WIDTH}//100 AS x, y2*{HEIGHT}//30 AS y FROM range(100) a(x2), range(30) b(y2))

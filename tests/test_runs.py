@@ -44,3 +44,17 @@ def test_helper_names_do_not_clash(spark):
     assert sorted((x.k is None, x.k or 0, x.part, x.rank, x.dense_id) for x in got) == [(False, -1, "d", 5, -1), (False, 3, "b", 5, 0), (False, 7, "a", 5, 1), (False, 7, "c", 5, 1), (True, 0, "e", 5, None)]
     soft = segments.softmax(df.withColumn("p", F.lit("mine")), "k", "e", "share").where("k = 7").collect()
     assert {x.p for x in soft} == {"mine"} and abs(sum(x.share for x in soft) - 1) < 1e-12 and all(x.e in (1.0, 3.0) for x in soft)
+
+
+def test_one_sweep_counts_all_of_an_algebra(spark):
+    rows = [(0, 2, 0, 9), (0, 4, 5, 12), (0, 1, 8, 20), (0, 3, 8, 10), (1, 2, 3, 4), (2, 1, 0, 2), (2, 1, 1, 5), (2, 2, 5, 5), (2, 2, None, 3)]
+    df = spark.createDataFrame(rows, "frame_id long, mask_id long, start long, stop long")
+    d = runs.swept(df.where("mask_id % 2 = 0"), df.where("mask_id % 2 = 1"), "frame_id")
+    got = {f: {k: set() for k in ("a", "b")} for f in range(3)}
+    for x in d.collect():
+        assert x.start < x.stop
+        for k in "ab":
+            got[x.frame_id][k] |= set(range(x.start, x.stop)) if x[f"in_{k}"] else set()
+    assert got == {0: {"a": set(range(12)), "b": set(range(8, 20))}, 1: {"a": {3}, "b": set()}, 2: {"a": set(), "b": set(range(5))}}
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") + plan.count("Window[") <= 2  # runs aren't made disjoint first
