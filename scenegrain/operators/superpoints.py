@@ -4,12 +4,16 @@ The rule is sequential: edges by rising weight join two segments if the weight i
 largest weight inside a segment plus `k` over its size); after that, segments under a least size join whatever their next
 edge leads to. Here blocks of segments that lie near each other are worked on side by side, each with all edges that touch
 it, in the same order. An edge is decided only when it would be decided the same way whatever other blocks do; what it
-leaves undecided waits, with all that depends on it, for a later round over other blocks. So the result is that of the
-sequential rule, no round sees more than a block in a task, and each round leaves far fewer edges.
+leaves undecided waits, with all that depends on it, for a later round over other blocks. Where that leaves more than half of
+the edges, the next round decides the lightest ones, as many as a block holds. So the result is that of the sequential rule,
+and no round sees more than a block in a task. Edges too heavy to join anything are left out of the first phase, those
+between large segments of the second.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,32 +74,30 @@ def decide(a, b, w, known: dict, k: float, least: int | None):
     return {x: root(x) for x in parent}, open_
 
 
-def rounds(edges: DataFrame, segments: DataFrame, k: float, least: int | None, block_edges: int, max_rounds: int = 60):
+def rounds(edges: DataFrame, segments: DataFrame, k: float, least: int | None, block_edges: int):
     """(id, segment) of all that merged, as a table of changes: each round's rows rename segments of the one before.
 
-    edges: a < b, w, e (a number that orders equal weights); segments: id, size, threshold, x, y, z.
+    edges: a < b, w, u, v (the first ends, which order equal weights); segments: id, size, threshold, x, y, z.
     """
-    spark = edges.sparkSession
-    changes, before = [], None
-    for turn in range(max_rounds):
-        n = edges.count()
-        if not n:
-            return changes, segments
-        blocks = -(-n // block_edges)
+    changes, before, turn = [], None, 0
+    while n := edges.count():
+        blocks, late = -(-n // block_edges), None
         if blocks == 1:
             placed = segments.withColumn("block", F.lit(0).cast("long"))
-        elif before is not None and n > 0.9 * before:
-            # Hardly anything was decided: segments that are each other's first edge meet in one block.
-            ends = edges.select(F.col("a").alias("id"), F.col("b").alias("to"), "w", "e").union(edges.select("b", "a", "w", "e"))
-            first = ends.groupBy("id").agg(F.min(F.struct("w", "e", "to")).alias("f")).select("id", F.least("id", "f.to").alias("block"))
-            placed = segments.join(first, "id", "left").withColumn("block", F.coalesce("block", "id"))
+        elif before is not None and n > 0.5 * before:
+            # Segments that reach through all blocks wait for each other: the lightest edges of all go first, in one block.
+            # Nothing comes before them, so all of them are decided.
+            dealt = save(edges.repartitionByRange(blocks, "w", "u", "v").withColumn("part", F.spark_partition_id()), "edges")
+            edges, late = dealt.where("part = 0").drop("part"), dealt.where("part > 0").drop("part")
+            placed = segments.withColumn("block", F.lit(0).cast("long"))
         else:
             # Slabs along one axis after the other hold about the same number of segments.
             axis = "xyz"[turn % 3]
             cuts = segments.approxQuantile(axis, [(i + (0.5 if turn // 3 % 2 else 0)) / blocks for i in range(1, blocks)], 0.2 / blocks)
             low = F.lit(0).cast("long")
             placed = segments.withColumn("block", low if not cuts else F.size(F.filter(F.lit([float(c) for c in cuts]), lambda c: c <= F.col(axis))).cast("long"))
-        before = n
+            turn += 1
+        before = n if late is None else None
         placed = save(placed, "placed")
         own = lambda s: placed.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "threshold", "block")))
         both = edges.join(own("a"), F.col("a") == F.col("id_a")).join(own("b"), F.col("b") == F.col("id_b")).drop("id_a", "id_b")
@@ -103,7 +105,7 @@ def rounds(edges: DataFrame, segments: DataFrame, k: float, least: int | None, b
 
         def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
             block = int(key[0])
-            pdf = pdf.sort_values(["w", "e"])
+            pdf = pdf.sort_values(["w", "u", "v"])
             known: dict = {}
             for s in "ab":
                 for x, size, t, home in zip(pdf[s].tolist(), pdf[f"size_{s}"].tolist(), pdf[f"threshold_{s}"].tolist(), pdf[f"block_{s}"].tolist()):
@@ -111,23 +113,23 @@ def rounds(edges: DataFrame, segments: DataFrame, k: float, least: int | None, b
             merged, open_ = decide(pdf.a.tolist(), pdf.b.tolist(), pdf.w.tolist(), known, k, least)
             left = pdf.iloc[open_]
             roots = set(merged.values())
-            out = [pd.DataFrame({"kind": 0, "x": list(merged), "y": [merged[x] for x in merged], "w": 0.0, "e": 0, "size": 0})]
-            out.append(pd.DataFrame({"kind": 1, "x": list(roots), "y": 0, "w": [known[x][1] for x in roots], "e": 0, "size": [known[x][0] for x in roots]}))
-            out.append(pd.DataFrame({"kind": 2, "x": left.a, "y": left.b, "w": left.w, "e": left.e, "size": 0}))
+            out = [pd.DataFrame({"kind": 0, "x": list(merged), "y": [merged[x] for x in merged], "w": 0.0, "u": 0, "v": 0, "size": 0})]
+            out.append(pd.DataFrame({"kind": 1, "x": list(roots), "y": 0, "w": [known[x][1] for x in roots], "u": 0, "v": 0, "size": [known[x][0] for x in roots]}))
+            inner = (left.block_a == left.block_b).astype(int)
+            out.append(pd.DataFrame({"kind": 2, "x": left.a, "y": left.b, "w": left.w, "u": left.u, "v": left.v, "size": 1 + inner}))
             return pd.concat(out)
 
-        done = save(dealt.groupBy("block").applyInPandas(work, "kind int, x long, y long, w double, e long, size long"), "decided")
+        done = save(dealt.groupBy("block").applyInPandas(work, "kind int, x long, y long, w double, u long, v long, size long"), "decided")
         change = done.where("kind = 0").select(F.col("x").alias("was"), F.col("y").alias("now"))
         grown = done.where("kind = 1").select(F.col("x").alias("id"), F.col("size").alias("new_size"), F.col("w").alias("new_threshold"))
         changes.append(change)
         segments = segments.join(change, segments.id == change.was, "left_anti").join(grown, "id", "left")
         segments = save(segments.select("id", F.coalesce("new_size", "size").alias("size"), F.coalesce("new_threshold", "threshold").alias("threshold"), "x", "y", "z"), "segments")
-        # An edge between two blocks is open only if both leave it open; an inner one is there once.
-        left = done.where("kind = 2").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "w", "e").agg(F.count("*").alias("n"))
-        spots = placed.select("id", "block")
-        left = left.join(spots.withColumnsRenamed({"id": "a", "block": "at"}), "a").join(spots.withColumnsRenamed({"id": "b", "block": "bt"}), "b")
-        edges = save(relabelled(left.where((F.col("at") == F.col("bt")) | (F.col("n") == 2)).select("a", "b", "w", "e"), change), "edges")
-    raise RuntimeError(f"superpoints did not settle in {max_rounds} rounds on {spark.sparkContext.appName}")
+        # An edge between two blocks is open only if both leave it open; an inner one is there once and counts as two.
+        left = done.where("kind = 2").groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "w", "u", "v").agg(F.sum("size").alias("n")).where("n = 2")
+        left = left.select("a", "b", "w", "u", "v")
+        edges = save(relabelled(left if late is None else left.union(late), change), "edges")
+    return changes, segments
 
 
 def relabelled(edges: DataFrame, change: DataFrame) -> DataFrame:
@@ -135,18 +137,36 @@ def relabelled(edges: DataFrame, change: DataFrame) -> DataFrame:
     for s in "ab":
         c = change.select(F.col("was").alias(f"was_{s}"), F.col("now").alias(f"now_{s}"))
         edges = edges.join(c, F.col(s) == F.col(f"was_{s}"), "left").withColumn(s, F.coalesce(f"now_{s}", s)).drop(f"was_{s}", f"now_{s}")
-    pair = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "e")
-    return pair.groupBy("a", "b").agg(F.min(F.struct("w", "e")).alias("f")).select("a", "b", "f.w", "f.e")
+    pair = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "u", "v")
+    return pair.groupBy("a", "b").agg(F.min(F.struct("w", "u", "v")).alias("f")).select("a", "b", "f.w", "f.u", "f.v")
 
 
 def named(ids: DataFrame, changes: list[DataFrame]) -> DataFrame:
     """id, segment after all changes."""
     out = ids.select("id", F.col("id").alias("segment"))
-    for c in changes:
+    for i, c in enumerate(changes, 1):
         out = out.join(c, out.segment == c.was, "left").select("id", F.coalesce("now", "segment").alias("segment"))
+        out = save(out, "names") if i % 8 == 0 else out
     return out
 
 
+def heaviest(edges: DataFrame, k: float, most: int = 100_000) -> float:
+    """A weight above which no edge joins in the first phase.
+
+    Segments have a threshold of `k` at first, and of at most `k` / 2 above the edge that joined them last. So where edges up
+    to some weight of at least `k` are followed by none within `k` / 2, no heavier one joins. Looked for between
+    intervals of `k` up to `most`, of which only the lightest and heaviest edge are collected."""
+    if not (k > 0 and math.isfinite(k)):
+        return math.inf
+    at = F.floor(F.greatest(F.least(F.col("w") / k, F.lit(float(most))), F.lit(-1.0)))
+    reach = float(k)
+    for r in edges.groupBy(at.alias("at")).agg(F.min("w").alias("low"), F.max("w").alias("high")).orderBy("at").collect():
+        if r.low > reach and r.low > reach + k / 2:
+            return reach
+        reach = max(reach, r.high)
+    return reach
+
+
 def segment_graph(points: DataFrame, edges: DataFrame, k: float = 0.01, least: int = 20, block_edges: int = 500_000) -> DataFrame:
     """point_id, segment: each point with the smallest id in its segment, from points (point_id, x, y, z) and edges (src, dst, w).
 
@@ -162,11 +182,14 @@ def segment_graph(points: DataFrame, edges: DataFrame, k: float = 0.01, least: i
     e = e.where("src IS NOT NULL AND dst IS NOT NULL AND a <> b AND w IS NOT NULL AND NOT isnan(w)").groupBy("a", "b").agg(F.min("w").alias("w"))
     ids = p.select("id")
     e = e.join(ids.select(F.col("id").alias("a")), "a").join(ids.select(F.col("id").alias("b")), "b")
-    e = save(graph.dense_ids(e, F.struct("w", "a", "b"), "e", void=None), "edges")
-    first, segments = rounds(e, p, k, None, block_edges)
+    e = save(e.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")), "edges")
+    first, segments = rounds(e.where(F.col("w") <= heaviest(e, k)), p, k, None, block_edges)
     of = save(named(ids, first), "segments")
+    # Only edges of segments under the least size matter in the second phase.
+    small = save(of.join(segments.where(F.col("size") < least).select(F.col("id").alias("segment")), "segment", "left_semi").select("id"), "small")
+    of_small = lambda s: e.join(small, F.col(s) == F.col("id"), "left_semi")
     renamed = of.where("id <> segment").select(F.col("id").alias("was"), F.col("segment").alias("now"))
-    second, _ = rounds(save(relabelled(e, renamed), "edges"), segments, k, least, block_edges)
+    second, _ = rounds(save(relabelled(of_small("a").union(of_small("b")), renamed), "edges"), segments, k, least, block_edges)
     of = named(of.select(F.col("segment").alias("id")).distinct(), second).withColumnsRenamed({"id": "was", "segment": "now"}).join(of, F.col("was") == of.segment)
     return points.select("point_id").distinct().join(of.select("id", F.col("now").alias("segment")), F.col("point_id") == F.col("id"), "left").select("point_id", "segment")
 
