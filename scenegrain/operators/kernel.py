@@ -8,6 +8,8 @@ in the task where the two meet. Memory is bounded by two blocks; time stays the
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenegrain.operators import clouds, cluster, graph, segments, spectral
+from scenegrain.operators import bands, clouds, cluster, graph, segments, spectral
 from scenegrain.sources.tables import save
 
 STATE = "g long, block long, ids array<long>, c array<double>, root array<double>, x array<double>, y array<double>"
@@ -303,20 +305,46 @@ def cluster_and_merge(points: DataFrame, conf: DataFrame, group: str, r: float,
     return every.select("id", "cluster"), every.select("id", "merged"), scores
 
 
-def eigengaps(points: DataFrame, group: str, r: float, key: str = "point_id", max_nodes: int = 12_000) -> DataFrame:
-    """group, rank, value, gap: all eigenvalues of each group's normalised Laplacian and the step to the next. A group is one
-    matrix in one task, made from its points, and values alone are asked for; more than `max_nodes` points in it raise."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cluster.bounded(len(pdf), max_nodes, "points")
-        ids, a = linked(pdf, r)
-        if not len(ids):
-            return pd.DataFrame({group: [], "rank": [], "value": [], "gap": []})
-        s = 1 / np.sqrt(np.maximum(a.sum(1), 1e-5))
-        a *= -s[:, None]
-        a *= s
-        a.flat[:: len(a) + 1] += 1
-        value = np.linalg.eigvalsh(a)
-        return pd.DataFrame({group: pdf.g.iloc[0], "rank": range(len(value)), "value": value, "gap": np.append(np.diff(value), 0.0)})
-
-    return placed(points, group, key).groupBy("g").applyInPandas(run, f"{group} long, rank int, value double, gap double")
+def laplacian(xyz: np.ndarray, r: float, strips: list[np.ndarray] | bands.Filed, side: int = 512, chunk: int = 256) -> int:
+    """The number of points that have a link; adds the lower half of their normalised Laplacian to `strips` as bands.to_band()
+    takes it."""
+    sums = np.zeros(len(xyz))
+    for i in range(0, len(xyz), chunk):
+        w = weights(xyz[i : i + chunk], xyz[i:], r)
+        w[np.arange(len(w)), np.arange(len(w))] = 0
+        sums[i : i + chunk] += w.sum(1)
+        sums[i + len(w) :] += w[:, len(w) :].sum(0)
+    xyz, sums = xyz[sums > 0], sums[sums > 0]
+    root = 1 / np.sqrt(np.maximum(sums, 1e-5))
+    for i in range(0, len(xyz), side):
+        strip = np.empty((len(xyz) - i, min(side, len(xyz) - i)))
+        for j in range(0, len(strip), chunk):
+            strip[j : j + chunk] = weights(xyz[i + j : i + j + chunk], xyz[i : i + side], r) * -root[i + j : i + j + chunk, None] * root[i : i + side]
+        strip[np.arange(strip.shape[1]), np.arange(strip.shape[1])] = 1
+        strips.append(strip)
+    return len(xyz)
+
+
+def eigengaps(points: DataFrame, group: str, r: float, key: str = "point_id", max_nodes: int | None = None, held: int = 20_000) -> DataFrame:
+    """group, rank, value, gap: all eigenvalues of each group's normalised Laplacian and the step to the next. A group is half
+    a matrix in a task of its own, made from its points, and values alone are asked for. Up to `held` points (1.6 GB) the half
+    is in memory, beyond in files of the task's temp folder, of which a strip of 512 columns is read at a time. Time is the
+    cube of a group. With `max_nodes`, more points in it raise."""
+
+    def run(parts):
+        for pdf in parts:
+            for g, x, y, z in pdf.itertuples(index=False):
+                cluster.bounded(len(x), max_nodes or len(x), "points")
+                with tempfile.TemporaryDirectory(prefix="strips-") as folder:
+                    large = len(x) > held
+                    strips = bands.Filed(folder) if large else []
+                    if not laplacian(np.column_stack((x, y, z)), r, strips):
+                        continue
+                    value = bands.values(strips, bands.WIDTH * (4 if large else 1))
+                yield pd.DataFrame({group: g, "rank": range(len(value)), "value": value, "gap": np.append(np.diff(value), 0.0)})
+
+    of = placed(points, group, key).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "x", "y", "z"))).alias("m"))
+    of = save(of.select("g", *(F.col(f"m.{c}").alias(c) for c in "xyz")), "groups")
+    # By range each of the groups, which are few rows, has a task; by hash some would share one.
+    of = of.repartitionByRange(max(1, min(of.count(), 2000)), "g")
+    return of.mapInPandas(run, f"{group} long, rank int, value double, gap double")
